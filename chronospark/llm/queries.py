@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embeddings, fingerprints, mixing, pii, quality, secrets
+from . import bpe, embeddings, fingerprints, mixing, pii, quality, secrets, substrings
 from ._store import table
 from .spans import base_only, count_of, joined
 
@@ -45,6 +45,10 @@ def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup_digests(table(spark, sf_dir, "documents"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -56,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_bpe": op4_bpe,
     "op5_secrets": op5_secrets,
     "op8_embeddings": op8_embeddings,
+    "op9_substrings": op9_substrings,
     "op10_quality": op10_quality,
 }
 
