@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embeddings, fingerprints, mixing, pii, quality, secrets, substrings
+from . import bpe, embeddings, fingerprints, mixing, ngrams, pii, quality, secrets, substrings
 from ._store import table
 from .spans import base_only, count_of, joined
 
@@ -41,6 +41,10 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(joined(base_only(F.col("spans"))), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
+def op7_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngrams.link_documents(table(spark, sf_dir, "documents"))
+
+
 def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mixing": op3_mixing,
     "op4_bpe": op4_bpe,
     "op5_secrets": op5_secrets,
+    "op7_ngrams": op7_ngrams,
     "op8_embeddings": op8_embeddings,
     "op9_substrings": op9_substrings,
     "op10_quality": op10_quality,
