@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embeddings, fingerprints, mixing, ngrams, pii, quality, secrets, substrings
+from . import bpe, embeddings, fingerprints, mixing, ngrams, pii, quality, secrets, substrings, warc
 from ._store import table
 from .spans import base_only, count_of, joined
 
@@ -41,6 +41,18 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(joined(base_only(F.col("spans"))), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
+def damaged(pages: DataFrame) -> DataFrame:
+    """A second replica as bit rot and a lost tail would leave it."""
+    bad = F.coalesce(F.pmod("page_id", F.lit(1009)) == 13, F.lit(False))
+    lost = F.coalesce((F.pmod("page_id", F.lit(512)) == 511) & (F.pmod(F.floor(F.col("page_id") / 512), F.lit(3)) == 2), F.lit(False))
+    return pages.where(~lost).withColumn("html", F.when(bad, F.concat(F.lit("#"), F.expr("substring(html, 2)"))).otherwise(F.col("html")))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return warc.audited(warc.pack(pages), warc.pack(damaged(pages))).withColumnRenamed("id", "page_id")
+
+
 def op7_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngrams.link_documents(table(spark, sf_dir, "documents"))
 
@@ -63,10 +75,29 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mixing": op3_mixing,
     "op4_bpe": op4_bpe,
     "op5_secrets": op5_secrets,
+    "op6_warc": op6_warc,
     "op7_ngrams": op7_ngrams,
     "op8_embeddings": op8_embeddings,
     "op9_substrings": op9_substrings,
     "op10_quality": op10_quality,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_warc": """
+with a as (select page_id, url, html from pages),
+b as (select page_id, url, case when page_id % 1009 = 13 then '#' || substring(html, 2) else html end as html
+      from pages where not (page_id % 512 = 511 and (page_id // 512) % 3 = 2)),
+ra as (select page_id, page_id // 512 as file, 'WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:' || page_id
+       || '>\r\nWARC-Target-URI: ' || url || '\r\nContent-Type: text/html\r\nContent-Length: '
+       || strlen(html) || '\r\n\r\n' || html || '\r\n\r\n' as rec from a),
+rb as (select page_id, page_id // 512 as file, 'WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:' || page_id
+       || '>\r\nWARC-Target-URI: ' || url || '\r\nContent-Type: text/html\r\nContent-Length: '
+       || strlen(html) || '\r\n\r\n' || html || '\r\n\r\n' as rec from b),
+oa as (select *, strlen(rec) as len, coalesce(sum(strlen(rec)) over (partition by file order by page_id rows between unbounded preceding and 1 preceding), 0) as off from ra),
+ob as (select *, strlen(rec) as len, coalesce(sum(strlen(rec)) over (partition by file order by page_id rows between unbounded preceding and 1 preceding), 0) as off from rb)
+select cast(coalesce(oa.file, ob.file) as bigint) as file, cast(coalesce(oa.off, ob.off) as bigint) as "offset",
+       cast(coalesce(oa.len, ob.len) as bigint) as length, coalesce(oa.page_id, ob.page_id) as page_id,
+       case when ob.rec is null then 'missing' when oa.rec is null then 'extra' when oa.rec <> ob.rec then 'corrupt' else 'ok' end as status
+from oa full join ob on oa.file = ob.file and oa.off = ob.off
+""",
+}
