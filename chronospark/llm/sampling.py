@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 
 def smallest_hashes(df: DataFrame, col: str, rows: int) -> DataFrame:
-    """``rows`` rows with distinct values of ``col``; the same ones for the same input.
+    """About ``rows`` rows with distinct values of ``col``; the same ones for the same input.
 
-    Each task keeps its own smallest ones, so at most ``rows`` of each reach the last.
+    Only hashes are ordered over all tasks; the rows themselves are then picked by the
+    largest hash that is still in the sample, so no task gathers texts of the others.
     """
     hashed = df.where(F.col(col).isNotNull()).withColumn("__h", F.xxhash64(F.lit(97), F.col(col)))
-    top = hashed.orderBy("__h", col).limit(2 * rows)
-    return top.dropDuplicates([col]).orderBy("__h", col).limit(rows).drop("__h")
+    top = hashed.select("__h").orderBy("__h").limit(2 * rows).agg(F.max("__h")).first()[0]
+    if top is None:
+        return df.limit(0)
+    return hashed.where(F.col("__h") <= top).dropDuplicates(["__h"]).orderBy("__h").limit(rows).drop("__h")
