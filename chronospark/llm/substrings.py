@@ -4,12 +4,12 @@ Every text is cut into non-overlapping reference blocks of half a window (25 of
 words); whatever 50 words two documents share, those of one hold a whole block of the
 other.  The hashes of all blocks are indexed.  Every rolling window of 25 words of every
 text probes the index, and each hit is extended to all the windows of 50 words around
-it.  Only these can repeat; they are hashed with 128 bits, and one that also starts in a
-document with a smaller id has its words removed.
+it.  Only these can repeat; a sketch drops most that do not.  The others are hashed with
+128 bits, and one that also starts in a document with a smaller id has its words removed.
 
 The index is a bit filter of bounded size (at most 2 ** ``filter_bits`` bits, broadcast)
 with a second one for the blocks that two documents index alike, because a block always
-hits itself.  A filter that is too small for its input lets more windows pass to the
+hits itself; the sketch has the same size.  A filter that is too small for its input lets more windows pass to the
 exact comparison and changes no result.
 
 A null text has no words.  Rows with a null id keep all words.  Of rows that repeat an
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import filters
 from ._store import materialize
-from ._text import Words, chunks, sequence_hashes
+from ._text import U, Words, chunks, sequence_hashes
 
 
 def _texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -62,34 +62,50 @@ def repeated_windows(texts: DataFrame, window: int, filter_bits: int) -> DataFra
     bits = filters.size_for(index.count(), filter_bits)
     shared = texts.sparkSession.sparkContext.broadcast(filters.build(index, bits, ("shared",)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def open_windows(part: pa.RecordBatch) -> tuple[Words, np.ndarray, np.ndarray]:
+        """Windows around the hits of a slice of texts, and the hashes of all words."""
         every, twice = shared.value
+        w = Words(part.column(1))
+        h = w.hashes()
+        begin = w.windows(size)
+        probe = sequence_hashes(h, begin, begin + size)
+        at = begin - np.repeat(w.first[:-1], w.counts)[begin]
+        own = at % size == 0
+        hit = np.zeros(len(begin), bool)
+        hit[~own] = every.test(probe[~own])
+        hit[own] = twice.test(probe[own])
+        # A window is open if any of the anchors inside it hits.
+        total = np.zeros(len(w.start) + 1, np.int64)
+        total[begin[hit] + 1] = 1
+        np.cumsum(total, out=total)
+        whole = w.windows(window)
+        return w, h, whole[total[whole + window - size + 1] > total[whole]]
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            seen = [np.zeros(0, U)]
             for part in chunks(batch, "text"):
-                w = Words(part.column(1))
-                h = w.hashes()
-                begin = w.windows(size)
-                probe = sequence_hashes(h, begin, begin + size)
-                at = begin - np.repeat(w.first[:-1], w.counts)[begin]
-                own = at % size == 0
-                hit = np.zeros(len(begin), bool)
-                hit[~own] = every.test(probe[~own])
-                hit[own] = twice.test(probe[own])
-                # A window is open if any of the anchors inside it hits.
-                total = np.zeros(len(w.start) + 1, np.int64)
-                total[begin[hit] + 1] = 1
-                np.cumsum(total, out=total)
-                whole = w.windows(window)
-                whole = whole[total[whole + window - size + 1] > total[whole]]
+                _, h, whole = open_windows(part)
+                seen.append(sequence_hashes(h, whole, whole + window))
+            one, count = np.unique(np.concatenate(seen), return_counts=True)
+            yield pa.RecordBatch.from_arrays([_signed(one), pa.array(count > 1)], ["h", "twice"])
+
+    named = texts.where("id is not null")
+    again = texts.sparkSession.sparkContext.broadcast(filters.build_repeated(named.mapInArrow(sketch, "h long, twice boolean"), bits))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch, "text"):
+                w, h, whole = open_windows(part)
                 one = sequence_hashes(h, whole, whole + window)
+                whole = whole[kept := again.value.test(one)]
                 two = sequence_hashes(h, whole, whole + window, second=True)
                 doc = w.doc[whole]
                 place = (whole - w.first[doc]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([_signed(one), _signed(two), part.column(0).take(pa.array(doc)), pa.array(place)], ["h", "h2", "id", "at"])
+                yield pa.RecordBatch.from_arrays([_signed(one[kept]), _signed(two), part.column(0).take(pa.array(doc)), pa.array(place)], ["h", "h2", "id", "at"])
 
-    found = texts.where("id is not null").mapInArrow(run, "h long, h2 long, id long, at int")
-    found = materialize(found, "windows")
-    first = found.groupBy("h", "h2").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("h", "h2", "low")
+    found = materialize(named.mapInArrow(run, "h long, h2 long, id long, at int"), "windows")
+    first = found.groupBy("h", "h2").agg(F.min("id").alias("low"))
     return found.join(first, ["h", "h2"]).where("id > low").select("id", "at")
 
 
