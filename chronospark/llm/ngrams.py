@@ -39,6 +39,8 @@ from .components import connected_components
 
 #: A shingle is frequent from so many documents on; more than FREQUENT_MOST are not kept.
 FREQUENT_FROM, FREQUENT_MOST = 24, 1 << 20
+#: Shingles that a task sorts at once to count them (16 MB).
+SORTED_AT_ONCE = 1 << 21
 
 
 class Sets:
@@ -103,25 +105,43 @@ def _ids(batch: pa.RecordBatch) -> np.ndarray:
 def _summaries(texts: DataFrame, size: int) -> DataFrame:
     """Rows of documents (kind 0: n, digests, signature) and of frequent shingles (kind 1)."""
 
+    def counted(values: list[np.ndarray], counts: list[np.ndarray] | None, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct values with their sums, those of at least ``least``."""
+        value = np.concatenate(values) if values else np.zeros(0, U)
+        order = np.argsort(value, kind="stable") if counts else None
+        value = value[order] if counts else np.sort(value)
+        edge = np.flatnonzero(np.append(True, value[1:] != value[:-1])) if len(value) else np.zeros(0, np.int64)
+        total = np.add.reduceat(np.concatenate(counts)[order], edge) if counts and len(edge) else np.diff(np.append(edge, len(value)))
+        often = total >= least
+        return value[edge[often]], total[often]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["kind", "id", "n", "s1", "s2", "bits"]
         for batch in batches:
-            seen = []
+            open_, room = [], 0
+            twice: list[np.ndarray] = []
+            times: list[np.ndarray] = []
+
+            def close() -> None:
+                value, count = counted(open_, None, 2)
+                twice.append(value)
+                times.append(count)
+
             for part in chunks(batch, "text"):
                 s = Sets(part.column(1), size)
                 one, two = s.digests()
                 bits = [signature(s[d], width_of(n)).tobytes() if n else b"" for d, n in enumerate(s.size.tolist())]
                 m = part.num_rows
-                seen.append(s.value)
                 yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), part.column(0), pa.array(s.size.astype(np.int64)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(bits, pa.binary())], names)
-            if seen:
-                value = np.sort(np.concatenate(seen))
-                edge = np.flatnonzero(np.append(True, value[1:] != value[:-1])) if len(value) else np.zeros(0, np.int64)
-                count = np.diff(np.append(edge, len(value)))
-                often = count >= 3
-                value, count = value[edge[often]], count[often]
-                none = pa.nulls(len(value), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(value), np.int32)), none, pa.array(count), pa.array(value.view(np.int64)), none, pa.nulls(len(value), pa.binary())], names)
+                open_.append(s.value)
+                room += len(s.value)
+                if room >= SORTED_AT_ONCE:
+                    close()
+                    open_, room = [], 0
+            close()
+            value, count = counted(twice, times, 3)
+            none = pa.nulls(len(value), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(value), np.int32)), none, pa.array(count.astype(np.int64)), pa.array(value.view(np.int64)), none, pa.nulls(len(value), pa.binary())], names)
 
     return texts.mapInArrow(run, "kind int, id long, n long, s1 long, s2 long, bits binary")
 
