@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._store import small_batches
 from ._text import U, column_bytes, mix, span_hashes, _BYTES, _CHAR
 
 
@@ -166,7 +167,7 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
     comma-joined ids and of the decoded bytes are returned instead of the ids, so that
     the token lists need not leave the worker.
     """
-    shared = _shared(df, path, pattern)
+    shared = _shared(small_batches(df), path, pattern)
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

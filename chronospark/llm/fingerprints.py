@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._store import partitions
+from ._store import partitions, small_batches
 from ._text import U, Words, _BYTES, _CHAR, _WORD, chunks, mix, span_hashes
 
 SKETCH = 64
@@ -155,7 +155,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 out = [fingerprint(t.root(d), t.sketch(d)) for d in range(part.num_rows)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.string())], [id_col, "fingerprint"])
 
-    return df.select(F.col(id_col), F.col(text_col).cast("string").alias("__text")).mapInArrow(run, f"`{id_col}` {kind}, fingerprint string")
+    return small_batches(df).select(F.col(id_col), F.col(text_col).cast("string").alias("__text")).mapInArrow(run, f"`{id_col}` {kind}, fingerprint string")
 
 
 def _piece(key: Column, bounds: list[int]) -> tuple[list[tuple[str, Column]], int]:
@@ -182,7 +182,7 @@ def compare_edited(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     the texts are shuffled once and no row waits for another task.
     """
     spark = df.sparkSession
-    rows = df.select(F.col(id_col).cast("long").alias("__id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text"))
+    rows = small_batches(df).select(F.col(id_col).cast("long").alias("__id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text"))
     pieces = pieces or max(2, 2 * partitions(spark))
     cuts = [i / pieces for i in range(1, pieces)]
     stat = rows.agg(F.max("__id").alias("top"), F.percentile_approx("__id", cuts, 100 * pieces).alias("cuts")).first()

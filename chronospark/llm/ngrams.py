@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import materialize, partitions
+from ._store import materialize, partitions, small_batches
 from ._text import U, Words, chunks, mix, sequence_hashes
 from .components import connected_components
 
@@ -117,16 +117,16 @@ def _summaries(texts: DataFrame, size: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["kind", "id", "n", "s1", "s2", "bits"]
-        for batch in batches:
-            open_, room = [], 0
-            twice: list[np.ndarray] = []
-            times: list[np.ndarray] = []
+        open_, room = [], 0
+        twice: list[np.ndarray] = []
+        times: list[np.ndarray] = []
 
-            def close() -> None:
-                value, count = counted(open_, None, 2)
-                twice.append(value)
-                times.append(count)
+        def close() -> None:
+            value, count = counted(open_, None, 2)
+            twice.append(value)
+            times.append(count)
 
+        for batch in batches:
             for part in chunks(batch, "text"):
                 s = Sets(part.column(1), size)
                 one, two = s.digests()
@@ -138,10 +138,10 @@ def _summaries(texts: DataFrame, size: int) -> DataFrame:
                 if room >= SORTED_AT_ONCE:
                     close()
                     open_, room = [], 0
-            close()
-            value, count = counted(twice, times, 3)
-            none = pa.nulls(len(value), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(value), np.int32)), none, pa.array(count.astype(np.int64)), pa.array(value.view(np.int64)), none, pa.nulls(len(value), pa.binary())], names)
+        close()
+        value, count = counted(twice, times, 3)
+        none = pa.nulls(len(value), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(value), np.int32)), none, pa.array(count.astype(np.int64)), pa.array(value.view(np.int64)), none, pa.nulls(len(value), pa.binary())], names)
 
     return texts.mapInArrow(run, "kind int, id long, n long, s1 long, s2 long, bits binary")
 
@@ -342,7 +342,7 @@ def _verified(texts: DataFrame, groups: DataFrame, size: int, percent: int, bloc
 
 def link_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, block: int = 2048) -> DataFrame:
     """One row per document: id, n_shingles and component_id (the smallest id reached)."""
-    texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    texts = small_batches(df).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     summaries = materialize(_summaries(texts, words), "summaries")
     documents = summaries.where("kind = 0").select("id", "n", "s1", "s2", "bits")
     classes = materialize(documents.where("n > 0 and id is not null").groupBy("s1", "s2").agg(F.min("id").alias("rep")), "classes")

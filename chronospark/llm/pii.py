@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._store import small_batches
 from .spans import SPAN_TYPE, Span, ordered
 
 KINDS = ("email", "ip", "card", "phone")
@@ -263,7 +264,7 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
     ``sample`` bounds the rows that train the field; every row is searched.
     """
     kept = [F.col(id_col), *(F.col(c) for c in carry if c != id_col)]
-    rows = df.select(*kept, F.col(text_col).cast("string").alias("__text"))
+    rows = small_batches(df).select(*kept, F.col(text_col).cast("string").alias("__text"))
     shared = df.sparkSession.sparkContext.broadcast(train(_sample(rows, sample)))
     names = rows.columns[:-1]
     schema = T.StructType(rows.drop("__text").schema.fields + T.StructType.fromDDL(f"spans {SPAN_TYPE}").fields)
@@ -300,7 +301,7 @@ def redacted(df: DataFrame, text_col: str = "text", size_col: str = "n_chars", s
 
     Rows without findings pass unchanged, nulls included.
     """
-    rows = df.select(F.col(text_col).cast("string").alias("__text"))
+    rows = small_batches(df).select(F.col(text_col).cast("string").alias("__text"))
     shared = df.sparkSession.sparkContext.broadcast(train(_sample(rows, sample)))
     at, size = df.columns.index(text_col), df.columns.index(size_col)
 

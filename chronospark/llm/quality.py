@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._store import small_batches
 from ._text import U, Words, chunks, mix
 
 _CLASS = np.full(256, 7, np.int64)  # other signs
@@ -200,7 +201,7 @@ def classify(df: DataFrame, labels: DataFrame, text_col: str = "text", least: fl
 
     With ``only_kept`` the kept rows, all columns of ``df`` as they are.
     """
-    shared = df.sparkSession.sparkContext.broadcast(train(df, labels, text_col, labelled, unlabelled, rounds))
+    shared = df.sparkSession.sparkContext.broadcast(train(small_batches(df), labels, text_col, labelled, unlabelled, rounds))
     rows = df if only_kept else df.select("doc_id", text_col, "source", "lang")
     kind = df.schema["doc_id"].dataType.simpleString()
     at = [rows.columns.index(c) for c in ("doc_id", text_col, "source", "lang")]
