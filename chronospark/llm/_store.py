@@ -7,6 +7,7 @@ not from the beginning.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -27,11 +28,22 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/chronospark/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    free_shuffles(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let the driver notice which shuffles no plan refers to any more.
+
+    Their files go when the driver's memory is cleaned; without a nudge that may take
+    half an hour, and every step of a job would keep its files until then.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def release(df: DataFrame) -> None:
     """Delete a scratch table that nothing reads any more."""
     path = getattr(df, "_scratch_path", None)

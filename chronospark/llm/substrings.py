@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import filters
-from ._store import materialize, small_batches
+from ._store import materialize, release, small_batches
 from ._text import U, Words, chunks, sequence_hashes
 
 
@@ -56,7 +56,7 @@ def blocks(texts: DataFrame, size: int) -> DataFrame:
 
 
 def repeated_windows(texts: DataFrame, window: int, filter_bits: int) -> DataFrame:
-    """(id, at) of windows of ``window`` words that also start in a smaller document."""
+    """(gid, gone): by document, where windows begin that also start in a smaller one."""
     size = window // 2
     index = materialize(blocks(texts, size).groupBy("h").agg((F.min("id") != F.max("id")).alias("shared")), "blocks")
     bits = filters.size_for(index.count(), filter_bits)
@@ -90,6 +90,7 @@ def repeated_windows(texts: DataFrame, window: int, filter_bits: int) -> DataFra
             one, count = np.unique(np.concatenate(seen), return_counts=True)
             yield pa.RecordBatch.from_arrays([_signed(one), pa.array(count > 1)], ["h", "twice"])
 
+    release(index)
     named = texts.where("id is not null")
     again = texts.sparkSession.sparkContext.broadcast(filters.build_repeated(named.mapInArrow(sketch, "h long, twice boolean"), bits))
 
@@ -106,12 +107,15 @@ def repeated_windows(texts: DataFrame, window: int, filter_bits: int) -> DataFra
 
     found = materialize(named.mapInArrow(run, "h long, h2 long, id long, at int"), "windows")
     first = found.groupBy("h", "h2").agg(F.min("id").alias("low"))
-    return found.join(first, ["h", "h2"]).where("id > low").select("id", "at")
+    later = found.join(first, ["h", "h2"]).where("id > low")
+    gone = materialize(later.groupBy(F.col("id").alias("gid")).agg(F.collect_set("at").alias("gone")), "gone")
+    release(found)
+    return gone
 
 
 def _pruned(df: DataFrame, id_col: str, text_col: str, window: int, filter_bits: int, schema: str, result) -> DataFrame:
     texts = _texts(df, id_col, text_col)
-    gone = repeated_windows(texts, window, filter_bits).groupBy(F.col("id").alias("gid")).agg(F.collect_set("at").alias("gone"))
+    gone = repeated_windows(texts, window, filter_bits)
     rows = texts.join(gone, texts["id"] == gone["gid"], "left").select("id", "text", "gone")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
