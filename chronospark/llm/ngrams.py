@@ -3,8 +3,8 @@
 Texts with equal sets form a class; only its smallest id goes on.  What could be linked
 is found with a prefix filter: sets at similarity t share one of the first
 n - ceil(t n) + 1 elements in any order that holds for all of them.  The order puts the
-shingles last that are frequent over all documents (counted in every task, at most
-2 ** 20 kept), so passages that many documents share do not bring these together.
+shingles last that are frequent over all documents (counted in every task, from what comes twice among some
+million shingles on; at most 2 ** 20 kept), so passages that many documents share do not bring these together.
 
 * A rare shingle brings its documents together directly.  Such a pair goes on if its
   sizes, its places in the prefixes and then the two bitmap signatures allow enough
@@ -39,8 +39,8 @@ from .components import connected_components
 
 #: A shingle is frequent from so many documents on; more than FREQUENT_MOST are not kept.
 FREQUENT_FROM, FREQUENT_MOST = 24, 1 << 20
-#: Shingles that a task sorts at once to count them (16 MB).
-SORTED_AT_ONCE = 1 << 21
+#: Shingles that a task sorts at once to count them (32 MB).
+SORTED_AT_ONCE = 1 << 22
 
 
 class Sets:
@@ -139,7 +139,7 @@ def _summaries(texts: DataFrame, size: int) -> DataFrame:
                     close()
                     open_, room = [], 0
         close()
-        value, count = counted(twice, times, 3)
+        value, count = counted(twice, times, 2)
         none = pa.nulls(len(value), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(value), np.int32)), none, pa.array(count.astype(np.int64)), pa.array(value.view(np.int64)), none, pa.nulls(len(value), pa.binary())], names)
 
