@@ -119,7 +119,7 @@ def factors(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None
         live = [f for (_, w), f in zip(own, factor) if w > 0]
         top = max(live, default=1.0) or 1.0
         made = [(*key, float(min(1.0, f / top)) if w > 0 else 1.0) for (key, w), f in zip(own, factor)]
-        return spark.createDataFrame(made, "source string, lang string, topic string, probability double")
+        return F.broadcast(spark.createDataFrame(made, "source string, lang string, topic string, probability double"))
     goals = []
     for name in MARGINALS:
         sums = cells.groupBy(name).agg(F.sum("tokens").cast("double").alias("w"))
@@ -154,7 +154,7 @@ def draw(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", targets:
     rows = df.select(*[F.col(c).alias(f"__in{i}") for i, c in enumerate(names)], *keyed(df, text_col), F.xxhash64(F.lit(seed), F.col(id_col), text).alias("__draw"))
     cells = rows.groupBy(F.col("__source").alias("source"), F.col("__lang").alias("lang"), F.col("__topic").alias("topic")).agg(F.sum("__tokens").alias("tokens"))
     found = factors(cells, targets, temper).select(*[F.col(c).alias(f"__{c}") for c in MARGINALS], F.col("probability").alias("__p"))
-    # The cells are joined by a map of at most DRIVER_CELLS entries, else by a shuffle.
+    # At most DRIVER_CELLS cells are broadcast, more are joined by a shuffle.
     joined = rows.join(found, ["__source", "__lang", "__topic"], "left")
     unit = (F.shiftrightunsigned(F.col("__draw"), 11).cast("double")) / F.lit(float(1 << 53))
     drawn = unit < F.col("__p")
