@@ -5,7 +5,7 @@ words); whatever 50 words two documents share, those of one hold a whole block o
 other.  The hashes of all blocks are indexed.  Every rolling window of 25 words of every
 text probes the index, and each hit is extended to all the windows of 50 words around
 it.  Only these can repeat; a sketch drops most that do not.  The others are hashed with
-128 bits, and one that also starts in a document with a smaller id has its words removed.
+96 bits, and one that also starts in a document with a smaller id has its words removed.
 
 The index is a bit filter of bounded size (at most 2 ** ``filter_bits`` bits, broadcast)
 with a second one for the blocks that two documents index alike, because a block always
@@ -103,13 +103,14 @@ def repeated_windows(texts: DataFrame, window: int, filter_bits: int) -> DataFra
                 two = sequence_hashes(h, whole, whole + window, second=True)
                 doc = w.doc[whole]
                 place = (whole - w.first[doc]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([_signed(one[kept]), _signed(two), part.column(0).take(pa.array(doc)), pa.array(place)], ["h", "h2", "id", "at"])
+                yield pa.RecordBatch.from_arrays([_signed(one[kept]), pa.array((two >> U(32)).astype(np.uint32).view(np.int32)), part.column(0).take(pa.array(doc)), pa.array(place)], ["h", "h2", "id", "at"])
 
-    found = materialize(named.mapInArrow(run, "h long, h2 long, id long, at int"), "windows")
+    # Both sides of the join read the texts again: a written table of the windows would
+    # take more disk than that takes time.
+    found = named.mapInArrow(run, "h long, h2 int, id long, at int")
     first = found.groupBy("h", "h2").agg(F.min("id").alias("low"))
     later = found.join(first, ["h", "h2"]).where("id > low")
     gone = materialize(later.groupBy(F.col("id").alias("gid")).agg(F.collect_set("at").alias("gone")), "gone")
-    release(found)
     return gone
 
 
