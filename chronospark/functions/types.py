@@ -15,25 +15,37 @@ REMOVED = ("pair", "triple", "candata", "gpsdata")
 CHANNEL_TYPES = ("scalar", "vector", "matrix", "binary")
 SPECTRUM_TYPES = ("amplitude", "phase", "power", "realimag")
 
+_SIMPLE = {
+    "string": T.StringType(), "int": T.IntegerType(), "long": T.LongType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "binary": T.BinaryType(),
+    "ulong": T.DecimalType(20, 0),
+}
+
+
+def _schema(text: str) -> T.StructType:
+    """Fields from "name type, name type"; no session is needed for it."""
+    pairs = (x.split() for x in text.split(","))
+    return T.StructType([T.StructField(n, GPS if k == "gps" else _SIMPLE[k]) for n, k in pairs])
+
+
 GPS = T.StructType([T.StructField(n, T.DoubleType()) for n in ("latitude", "longitude", "altitude")])
 
-SAMPLES = T.StructType.fromDDL(
+SAMPLES = _schema(
     "file string, channel_index int, channel string, datatype string, mode string, block_ord long, sample_ord int, seg_id int, ts_ns long,"
-    " v_double double, v_long long, v_ulong decimal(20,0), v_bool boolean, v_string string, v_binary binary,"
-    " v_gps struct<latitude:double,longitude:double,altitude:double>"
+    " v_double double, v_long long, v_ulong ulong, v_bool boolean, v_string string, v_binary binary,"
+    " v_gps gps"
 )
-CHANNELS = T.StructType.fromDDL(
+CHANNELS = _schema(
     "file string, channel_index int, channel string, reference string, channel_type string, datatype string, time_increment_ns long,"
     " size_of_length_value int, mime_type string, spectrum_type string, physical_unit string, physical_dimension string,"
     " display_name string, comment string, supported boolean"
 )
-FILES = T.StructType.fromDDL(
+FILES = _schema(
     "file string, version int, integrity string, metablock_crc string, compression string, file_size long, header_bytes int, metablock_bytes int,"
     " created_utc string, creator string, reason string, tag string, comment string, namespace_sep string, latitude double, longitude double,"
     " altitude double, trailer_seen boolean, truncated boolean, error string"
 )
-INFOS = T.StructType.fromDDL("file string, name string, value string, datatype string, unit string")
-BLOCKS = T.StructType.fromDDL(
+INFOS = _schema("file string, name string, value string, datatype string, unit string")
+BLOCKS = _schema(
     "file string, block_ord long, byte_offset long, channel_index int, length long, control int, kind string, multi boolean, n long,"
     " start_ns long, rate_hz double, first_ts long, last_ts long, skip_reason string, crc_ok boolean, payload binary"
 )

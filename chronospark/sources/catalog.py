@@ -1,0 +1,96 @@
+"""The catalog: a table of files and the time ranges of their channels."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
+
+from ..operators.filters import overlaps
+from .recordings import GLOB, read
+
+
+def listing(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
+    """Files below a path: file, size and time of change; contents are not read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", GLOB).option("recursiveFileLookup", str(recursive).lower()).load(path)
+    return files.select(F.col("path").alias("file"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
+
+
+def build(spark: SparkSession, path: str, files: DataFrame | None = None) -> DataFrame:
+    """One row per file and channel: count and true range; nulls where a channel is empty.
+
+    Files that cannot be read keep one row with their error.
+    """
+    files = listing(spark, path) if files is None else files
+    meta = read(spark, path, "files").select("file", "version", "truncated", "error")
+    channels = read(spark, path, "channels").select("file", "channel_index", "channel", "datatype")
+    ranges = read(spark, path).groupBy("file", "channel_index").agg(F.count("*").alias("n"), F.min("ts_ns").alias("first_ts"), F.max("ts_ns").alias("last_ts"))
+    rows = channels.join(ranges, ["file", "channel_index"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return files.join(meta, "file").join(rows, "file", "left")
+
+
+def load(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:
+        return None
+
+
+def refresh(spark: SparkSession, path: str, at: str, force: bool = False) -> DataFrame:
+    """The catalog kept at ``at``: only files that are new or changed in size or time are read.
+
+    The table at ``at`` is replaced, so tables that were read from it before are no longer valid.
+    """
+    old = None if force else load(spark, at)
+    now = listing(spark, path)
+    if old is None:
+        fresh, kept = build(spark, path), None
+    else:
+        same = ["file", "size", "mtime"]
+        kept = old.join(now, same, "left_semi")
+        changed = [r["file"] for r in now.join(old, same, "left_anti").select("file").toLocalIterator()]
+        fresh = _built(spark, path, now, changed)
+    out = fresh if kept is None else kept.unionByName(fresh) if fresh is not None else kept
+    made = at.rstrip("/") + "-new"
+    out.write.mode("overwrite").parquet(made)
+    spark.read.parquet(made).write.mode("overwrite").parquet(at)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(made)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+    return spark.read.parquet(at)
+
+
+def _built(spark: SparkSession, path: str, now: DataFrame, changed: list[str]) -> DataFrame | None:
+    if not changed:
+        return None
+    files = now.where(F.col("file").isin(changed))
+    meta = read(spark, path, "files", paths=changed).select("file", "version", "truncated", "error")
+    channels = read(spark, path, "channels", paths=changed).select("file", "channel_index", "channel", "datatype")
+    ranges = read(spark, path, paths=changed).groupBy("file", "channel_index").agg(F.count("*").alias("n"), F.min("ts_ns").alias("first_ts"), F.max("ts_ns").alias("last_ts"))
+    rows = channels.join(ranges, ["file", "channel_index"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return files.join(meta, "file").join(rows, "file", "left")
+
+
+def status(catalog: DataFrame | None, now: DataFrame) -> DataFrame:
+    """Each file below the path as valid, stale or missing in the catalog."""
+    if catalog is None:
+        return now.select("file", F.lit("missing").alias("status"))
+    known = catalog.select("file", F.col("size").alias("__s"), F.col("mtime").alias("__m")).distinct()
+    state = F.when(F.col("__s").isNull(), "missing").when((F.col("__s") == F.col("size")) & (F.col("__m") == F.col("mtime")), "valid").otherwise("stale")
+    return now.join(known, "file", "left").select("file", state.alias("status"))
+
+
+def file_ranges(catalog: DataFrame) -> DataFrame:
+    """One row per file: range over its non-empty channels, samples, error."""
+    return catalog.groupBy("file").agg(F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.max("error").alias("error"))
+
+
+def prune(catalog: DataFrame, start_ns: int, end_ns: int) -> DataFrame:
+    """Files whose range meets the interval; empty and unreadable files never do."""
+    return file_ranges(catalog).where(overlaps(start_ns, end_ns) & F.col("error").isNull())
+
+
+def with_catalog(channels: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Channel definitions with counts and ranges by name without case; 0 where unknown."""
+    known = catalog.groupBy(F.lower("channel").alias("__key")).agg(F.sum("n").alias("n"), F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"))
+    out = channels.join(known, F.lower("channel") == F.col("__key"), "left").drop("__key")
+    return out.withColumn("n", F.coalesce("n", F.lit(0)))
