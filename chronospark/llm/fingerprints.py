@@ -193,15 +193,14 @@ def compare_edited(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     for name, column in steps:
         rows = rows.withColumn(name, column)
     last = len(bounds)
-    p = F.when(key.isNull(), F.lit(last + 1)).otherwise(F.col(f"__p{n - 1}"))
+    p = F.when(key.isNull(), F.lit(last + 1)).otherwise(F.col(f"__p{n - 1}") if n else F.lit(1))
     first = F.array_contains(F.array(*[F.lit(b) for b in bounds]), key) if bounds else F.lit(False)
-    has_null = F.lit(False)
     # A guest goes to the piece before; the first row of all also to the last one.
     home = F.struct(p.alias("p"), F.lit(False).alias("guest"))
     before = F.struct(F.when(p == 1, F.lit(last)).otherwise(p - 1).alias("p"), F.lit(True).alias("guest"))
     dealt = rows.select(
         "__id", "__text",
-        F.explode(F.when(F.coalesce(first, has_null), F.array(home, before)).otherwise(F.array(home))).alias("__at"),
+        F.explode(F.when(F.coalesce(first, F.lit(False)), F.array(home, before)).otherwise(F.array(home))).alias("__at"),
     ).select(F.col("__at.p").alias("__p"), F.col("__at.guest").alias("__guest"), "__id", "__text")
     spread = dealt.repartitionByRange(max(2, last), "__p") if last > 1 else dealt.repartition(2, "__p")
     ordered = spread.sortWithinPartitions("__p", F.asc("__guest"), F.desc_nulls_last("__id"), "__text")
