@@ -87,7 +87,7 @@ def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf[off[0] : off[-1]], off - off[0]
 
 
-def chunks(batch: pa.RecordBatch, text: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def chunks(batch: pa.RecordBatch, text: str, limit: int = (1 << 19) - 2) -> Iterator[pa.RecordBatch]:
     """Slices of at most ``limit`` bytes of text, or of one row if it is longer."""
     index = batch.schema.get_field_index(text)
     size = np.diff(column_bytes(batch.column(index))[1])

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import small_batches
+from ._store import giving_back, small_batches
 from ._text import U, column_bytes, mix, span_hashes, _BYTES, _CHAR
 
 
@@ -191,7 +191,7 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     out = f"`{id_col}` {kind}, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>")
-    return df.select(F.col(id_col), F.col(text_col).cast("string").alias("__text")).mapInArrow(run, out)
+    return df.select(F.col(id_col), F.col(text_col).cast("string").alias("__text")).mapInArrow(giving_back(run), out)
 
 
 def decode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -205,4 +205,4 @@ def decode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", ids_c
             raw = [words.decode(x or ()) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary())], [id_col, "decoded"])
 
-    return df.select(F.col(id_col), F.col(ids_col).alias("__ids")).mapInArrow(run, f"`{id_col}` {kind}, decoded binary")
+    return df.select(F.col(id_col), F.col(ids_col).alias("__ids")).mapInArrow(giving_back(run), f"`{id_col}` {kind}, decoded binary")

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import materialize, release
+from ._store import giving_back, materialize, release
 
 
 def forest(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -52,7 +52,7 @@ def connected_components(links: DataFrame) -> DataFrame:
     """
     a, b = links.columns[:2]
     edges = links.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a <> b")
-    edges = materialize(edges.mapInArrow(_thinned, "a long, b long").distinct(), "links")
+    edges = materialize(edges.mapInArrow(giving_back(_thinned), "a long, b long").distinct(), "links")
     labels = None
     while not edges.isEmpty():
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -68,7 +68,7 @@ def connected_components(links: DataFrame) -> DataFrame:
         one, two = jump.select(F.col("v").alias("a"), F.col("up").alias("x")), jump.select(F.col("v").alias("b"), F.col("up").alias("y"))
         moved = edges.join(one, "a").join(two, "b").where("x <> y")
         moved = moved.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
-        moved = materialize(moved.mapInArrow(_thinned, "a long, b long").distinct(), "links")
+        moved = materialize(moved.mapInArrow(giving_back(_thinned), "a long, b long").distinct(), "links")
         for old in (edges, up, jump, labels):
             if old is not None:
                 release(old)

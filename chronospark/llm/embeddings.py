@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import materialize
+from ._store import giving_back, materialize
 from .components import connected_components
 
 
@@ -67,7 +67,7 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
                 raw.append(x.tobytes() if good and np.isfinite(x).all() and x.any() else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(raw, pa.binary())], ["id", "label", "raw"])
 
-    vectors = materialize(rows.mapInArrow(clean, "id long, label string, raw binary"), "vectors").withColumn("key", F.sha2("raw", 256))
+    vectors = materialize(rows.mapInArrow(giving_back(clean), "id long, label string, raw binary"), "vectors").withColumn("key", F.sha2("raw", 256))
     real = vectors.where("raw is not null and id is not null")
     classes = materialize(real.groupBy("label", "key").agg(F.min("id").alias("rep"), F.count("*").alias("size"), F.first("raw").alias("raw")), "classes")
 
@@ -89,7 +89,7 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
                     ["label", "width", "tab", "code", "rep", "size", "raw", "codes"],
                 )
 
-    dealt = classes.select("label", "rep", "size", "raw").mapInArrow(deal, "label string, width int, tab int, code int, rep long, size long, raw binary, codes binary")
+    dealt = classes.select("label", "rep", "size", "raw").mapInArrow(giving_back(deal), "label string, width int, tab int, code int, rep long, size long, raw binary, codes binary")
     bucket = ["label", "width", "tab", "code"]
     # Sizes of buckets over one block; the count of rows bounds how many there can be.
     large = dealt.groupBy(*bucket).agg(F.count("*").alias("m")).where(F.col("m") > block)
@@ -151,7 +151,7 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
         flush()
         yield made()
 
-    judged = materialize(tiles.mapInArrow(run, "a long, b long, links long"), "judged")
+    judged = materialize(tiles.mapInArrow(giving_back(run), "a long, b long, links long"), "judged")
     parts = connected_components(judged.where("b >= 0 or links = 0").select("a", "b"))
     sums = judged.where("links > 0").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     found = classes.select("label", "key", "rep", "size").join(sums, "rep", "left").join(parts.withColumnRenamed("id", "rep"), "rep", "left")

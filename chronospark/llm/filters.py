@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._store import giving_back
 from ._text import U, mix
 
 SLICES_LOG = 8
@@ -89,7 +90,7 @@ def build(hashes: DataFrame, bits: int, flags: tuple[str, ...] = ()) -> list[Bit
             yield done()
 
     found: list[dict[int, bytes]] = [{} for _ in names]
-    for r in rows.mapInArrow(run, "slice int, flag int, data binary").toLocalIterator():
+    for r in rows.mapInArrow(giving_back(run), "slice int, flag int, data binary").toLocalIterator():
         found[r["flag"]][r["slice"]] = bytes(r["data"])
     return [BitFilter(bits, f) for f in found]
 
@@ -133,5 +134,5 @@ def build_repeated(hashes: DataFrame, bits: int) -> BitFilter:
         if current is not None:
             yield done()
 
-    found = {r["slice"]: bytes(r["data"]) for r in rows.mapInArrow(run, "slice int, data binary").toLocalIterator()}
+    found = {r["slice"]: bytes(r["data"]) for r in rows.mapInArrow(giving_back(run), "slice int, data binary").toLocalIterator()}
     return BitFilter(bits, found)

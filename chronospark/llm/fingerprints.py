@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._store import partitions, small_batches
+from ._store import giving_back, partitions, small_batches
 from ._text import U, Words, _BYTES, _CHAR, _WORD, chunks, mix, span_hashes
 
 SKETCH = 64
@@ -155,7 +155,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 out = [fingerprint(t.root(d), t.sketch(d)) for d in range(part.num_rows)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.string())], [id_col, "fingerprint"])
 
-    return small_batches(df).select(F.col(id_col), F.col(text_col).cast("string").alias("__text")).mapInArrow(run, f"`{id_col}` {kind}, fingerprint string")
+    return small_batches(df).select(F.col(id_col), F.col(text_col).cast("string").alias("__text")).mapInArrow(giving_back(run), f"`{id_col}` {kind}, fingerprint string")
 
 
 def _piece(key: Column, bounds: list[int]) -> tuple[list[tuple[str, Column]], int]:
@@ -259,4 +259,4 @@ def compare_edited(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         if held is not None:
             yield from finish([(*held, held[1])])
 
-    return ordered.mapInArrow(run, schema).withColumnRenamed("__id", id_col)
+    return ordered.mapInArrow(giving_back(run), schema).withColumnRenamed("__id", id_col)

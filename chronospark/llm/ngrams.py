@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import materialize, partitions, small_batches
+from ._store import giving_back, materialize, partitions, small_batches
 from ._text import U, Words, chunks, mix, sequence_hashes
 from .components import connected_components
 
@@ -143,7 +143,7 @@ def _summaries(texts: DataFrame, size: int) -> DataFrame:
         none = pa.nulls(len(value), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(value), np.int32)), none, pa.array(count.astype(np.int64)), pa.array(value.view(np.int64)), none, pa.nulls(len(value), pa.binary())], names)
 
-    return texts.mapInArrow(run, "kind int, id long, n long, s1 long, s2 long, bits binary")
+    return texts.mapInArrow(giving_back(run), "kind int, id long, n long, s1 long, s2 long, bits binary")
 
 
 def _frequent(summaries: DataFrame) -> np.ndarray:
@@ -175,7 +175,7 @@ def _prefixes(texts: DataFrame, frequent: np.ndarray, size: int, percent: int) -
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(s.value[chosen].view(np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(s.size.astype(np.int32)), lists, pa.array(rare.astype(np.int32))], ["id", "n", "prefix", "rare"])
 
-    return texts.mapInArrow(run, "id long, n int, prefix array<long>, rare int")
+    return texts.mapInArrow(giving_back(run), "id long, n int, prefix array<long>, rare int")
 
 
 def _rare_pairs(entries: DataFrame, percent: int) -> DataFrame:
@@ -233,7 +233,7 @@ def _rare_pairs(entries: DataFrame, percent: int) -> DataFrame:
         both = np.unique(np.column_stack([np.minimum(a, b), np.maximum(a, b)]), axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
 
-    return entries.mapInArrow(run, "a long, b long").distinct()
+    return entries.mapInArrow(giving_back(run), "a long, b long").distinct()
 
 
 def _bounded(pairs: DataFrame, documents: DataFrame, percent: int) -> DataFrame:
@@ -253,7 +253,7 @@ def _bounded(pairs: DataFrame, documents: DataFrame, percent: int) -> DataFrame:
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(k).filter(mask) for k in (0, 1)], ["a", "b"])
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(giving_back(run), "a long, b long")
 
 
 def _frequent_links(entries: DataFrame) -> DataFrame:
@@ -307,7 +307,7 @@ def _verified(texts: DataFrame, groups: DataFrame, size: int, percent: int, bloc
                 raw = [s[d].tobytes() for d in range(part.num_rows)]
                 yield pa.RecordBatch.from_arrays([part.column(2), part.column(0), pa.array(band), pa.array(raw, pa.binary())], ["component", "id", "band", "raw"])
 
-    made = materialize(members.mapInArrow(sets, "component long, id long, band int, raw binary"), "sets")
+    made = materialize(members.mapInArrow(giving_back(sets), "component long, id long, band int, raw binary"), "sets")
     counts = made.groupBy("component", "band").agg(F.count("*").alias("m"))
     held = counts.select("component", F.explode(F.array("band", F.col("band") - 1)).alias("tile"), "m").groupBy("component", "tile").agg(F.sum("m").alias("m")).where("m > 1")
     held = materialize(held.select("component", "tile", F.ceil(F.col("m") / block).cast("int").alias("nb")), "tiles")
@@ -337,7 +337,7 @@ def _verified(texts: DataFrame, groups: DataFrame, size: int, percent: int, bloc
                 held.append(row[4:])
         yield done()
 
-    return tiles.mapInArrow(run, "a long, b long")
+    return tiles.mapInArrow(giving_back(run), "a long, b long")
 
 
 def link_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, block: int = 2048) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._store import small_batches
+from ._store import giving_back, small_batches
 from .spans import SPAN_TYPE, Span, ordered
 
 KINDS = ("email", "ip", "card", "phone")
@@ -283,7 +283,7 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
                 out.append([{"kind": k, "start": s, "end": e, "base": b} for k, s, e, b in spans])
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(out, kind)], [*names, "spans"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(giving_back(run), schema)
 
 
 def redact(text: str, spans: list[Span]) -> str:
@@ -322,4 +322,4 @@ def redacted(df: DataFrame, text_col: str = "text", size_col: str = "n_chars", s
                 columns[size] = pa.array(sizes, columns[size].type)
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(giving_back(run), df.schema)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import small_batches
+from ._store import giving_back, small_batches
 from ._text import U, Words, chunks, mix
 
 _CLASS = np.full(256, 7, np.int64)  # other signs
@@ -175,7 +175,7 @@ def _view_rows(df: DataFrame, ids: DataFrame, text_col: str) -> list[tuple]:
                 a, b = features(part.column(1), part.column(2).to_pylist(), part.column(3).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), part.column(4), pa.array(list(a), pa.list_(pa.float64())), pa.array(list(b), pa.list_(pa.float64()))], ["id", "good", "content", "meta"])
 
-    made = rows.mapInArrow(run, "id long, good int, content array<double>, meta array<double>")
+    made = rows.mapInArrow(giving_back(run), "id long, good int, content array<double>, meta array<double>")
     return sorted(map(tuple, made.collect()), key=lambda r: (r[0], r[2]))
 
 
@@ -218,4 +218,4 @@ def classify(df: DataFrame, labels: DataFrame, text_col: str = "text", least: fl
                 else:
                     yield pa.RecordBatch.from_arrays([part.column(at[0]), *(pa.array(score[:, k]) for k in range(3)), keep], ["doc_id", "content_score", "meta_score", "score", "keep"])
 
-    return rows.mapInArrow(run, df.schema if only_kept else f"doc_id {kind}, content_score double, meta_score double, score double, keep boolean")
+    return rows.mapInArrow(giving_back(run), df.schema if only_kept else f"doc_id {kind}, content_score double, meta_score double, score double, keep boolean")

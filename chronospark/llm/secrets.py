@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import materialize, small_batches
+from ._store import giving_back, materialize, small_batches
 from .spans import Span, ordered
 
 KINDS = ("assign", "access", "hex", "random")
@@ -191,7 +191,7 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: fl
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(one, span), pa.array(two, seen)], [id_col, "spans", "runs"])
 
     rows = small_batches(df).select(F.col(id_col), F.col(text_col).cast("string").alias("__text"))
-    found = materialize(rows.mapInArrow(run, made), "secrets")
+    found = materialize(rows.mapInArrow(giving_back(run), made), "secrets")
     counts = found.select(F.explode("runs").alias("r")).groupBy("r.band", "r.bin").count()
     cut = thresholds({(r["band"], r["bin"]): r["count"] for r in counts.collect()}, rate)  # at most bands x bins rows
     limits = F.array(*[F.lit(float(x)) for x in cut])

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import filters
-from ._store import materialize, release, small_batches
+from ._store import giving_back, materialize, release, small_batches
 from ._text import U, Words, chunks, sequence_hashes
 
 
@@ -52,7 +52,7 @@ def blocks(texts: DataFrame, size: int) -> DataFrame:
                 h = sequence_hashes(w.hashes(), begin, begin + size)
                 yield pa.RecordBatch.from_arrays([_signed(h), part.column(0).take(pa.array(w.doc[begin]))], ["h", "id"])
 
-    return texts.where("id is not null").mapInArrow(run, "h long, id long")
+    return texts.where("id is not null").mapInArrow(giving_back(run), "h long, id long")
 
 
 def repeated_windows(texts: DataFrame, window: int, filter_bits: int) -> DataFrame:
@@ -92,7 +92,7 @@ def repeated_windows(texts: DataFrame, window: int, filter_bits: int) -> DataFra
 
     release(index)
     named = texts.where("id is not null")
-    again = texts.sparkSession.sparkContext.broadcast(filters.build_repeated(named.mapInArrow(sketch, "h long, twice boolean"), bits))
+    again = texts.sparkSession.sparkContext.broadcast(filters.build_repeated(named.mapInArrow(giving_back(sketch), "h long, twice boolean"), bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -107,7 +107,7 @@ def repeated_windows(texts: DataFrame, window: int, filter_bits: int) -> DataFra
 
     # Both sides of the join read the texts again: a written table of the windows would
     # take more disk than that takes time.
-    found = named.mapInArrow(run, "h long, h2 int, id long, at int")
+    found = named.mapInArrow(giving_back(run), "h long, h2 int, id long, at int")
     first = found.groupBy("h", "h2").agg(F.min("id").alias("low"))
     later = found.join(first, ["h", "h2"]).where("id > low")
     gone = materialize(later.groupBy(F.col("id").alias("gid")).agg(F.collect_set("at").alias("gone")), "gone")
@@ -139,7 +139,7 @@ def _pruned(df: DataFrame, id_col: str, text_col: str, window: int, filter_bits:
                 columns = list(zip(*out)) if out else [()] * 3
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.string())], [id_col, "n_words", "n_removed", schema])
 
-    return rows.mapInArrow(run, f"`{id_col}` long, n_words long, n_removed long, {schema} string")
+    return rows.mapInArrow(giving_back(run), f"`{id_col}` long, n_words long, n_removed long, {schema} string")
 
 
 def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, filter_bits: int = 28) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._store import materialize
+from ._store import giving_back, materialize
 
 #: Offsets are shifted right by so many bits for the nodes of each level; the last is the root.
 SHIFTS = (16, 22, 28, 62)
@@ -84,7 +84,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["file", "offset", "length", "id", "digest"])
 
-    return files.mapInArrow(run, "file string, offset long, length long, id string, digest string")
+    return files.mapInArrow(giving_back(run), "file string, offset long, length long, id string, digest string")
 
 
 def tree(leaves: DataFrame) -> list[DataFrame]:
