@@ -10,7 +10,8 @@ it.  Only these can repeat; a sketch drops most that do not.  The others are has
 The index is a bit filter of bounded size (at most 2 ** ``filter_bits`` bits, broadcast)
 with a second one for the blocks that two documents index alike, because a block always
 hits itself; the sketch has the same size.  A filter that is too small for its input lets more windows pass to the
-exact comparison and changes no result.
+exact comparison and changes no result.  Windows around the commonest blocks, which may
+be in a third of all documents, are compared apart from the others.
 
 A null text has no words.  Rows with a null id keep all words.  Of rows that repeat an
 id, the one copy counts as the other: neither loses words to the other.
@@ -30,6 +31,11 @@ from . import filters
 from ._store import giving_back, materialize, release, small_batches
 from ._text import U, Words, chunks, sequence_hashes
 
+#: A block is common from so many copies on, more where there would be too many of them.
+COMMON_FROM, COMMON_MOST = 32, 1 << 16
+#: Rows (20 bytes each) that are sent to all executors at most.
+BROADCAST_MOST = 1 << 20
+
 
 def _texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return small_batches(df).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -58,12 +64,18 @@ def blocks(texts: DataFrame, size: int) -> DataFrame:
 def repeated_windows(texts: DataFrame, window: int, filter_bits: int) -> DataFrame:
     """(gid, gone): by document, where windows begin that also start in a smaller one."""
     size = window // 2
-    index = materialize(blocks(texts, size).groupBy("h").agg((F.min("id") != F.max("id")).alias("shared")), "blocks")
-    bits = filters.size_for(index.count(), filter_bits)
-    shared = texts.sparkSession.sparkContext.broadcast(filters.build(index, bits, ("shared",)))
-
-    def open_windows(part: pa.RecordBatch) -> tuple[Words, np.ndarray, np.ndarray]:
-        """Windows around the hits of a slice of texts, and the hashes of all words."""
+    spark = texts.sparkSession
+    index = materialize(blocks(texts, size).groupBy("h").agg((F.min("id") != F.max("id")).alias("shared"), F.count("*").alias("n")), "blocks")
+    stat = index.agg(F.count("*").alias("members"), F.coalesce(F.sum("n"), F.lit(0)).alias("blocks")).first()
+    bits = filters.size_for(stat["members"], filter_bits)
+    shared = spark.sparkContext.broadcast(filters.build(index, bits, ("shared",)))
+    # Counts add up to the number of blocks, so at most COMMON_MOST can reach this one.
+    least = max(COMMON_FROM, stat["blocks"] // COMMON_MOST + 1)
+    common = spark.sparkContext.broadcast(np.sort(index.where(F.col("n") >= least).select("h").toArrow().column(0).to_numpy().view(U)))
+
+    def open_windows(part: pa.RecordBatch) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
+        """Windows around the hits of a slice of texts, which of them hold a common block,
+        and the hashes of all words."""
         every, twice = shared.value
         w = Words(part.column(1))
         h = w.hashes()
@@ -74,42 +86,57 @@ def repeated_windows(texts: DataFrame, window: int, filter_bits: int) -> DataFra
         hit = np.zeros(len(begin), bool)
         hit[~own] = every.test(probe[~own])
         hit[own] = twice.test(probe[own])
+
+        def any_inside(at: np.ndarray, windows: np.ndarray) -> np.ndarray:
+            total = np.zeros(len(w.start) + 1, np.int64)
+            total[at + 1] = 1
+            np.cumsum(total, out=total)
+            return total[windows + window - size + 1] > total[windows]
+
         # A window is open if any of the anchors inside it hits.
-        total = np.zeros(len(w.start) + 1, np.int64)
-        total[begin[hit] + 1] = 1
-        np.cumsum(total, out=total)
         whole = w.windows(window)
-        return w, h, whole[total[whole + window - size + 1] > total[whole]]
+        whole = whole[any_inside(begin[hit], whole)]
+        often, hits = common.value, begin[hit]
+        if len(often):
+            place = np.minimum(np.searchsorted(often, probe[hit]), len(often) - 1)
+            return w, h, whole, any_inside(hits[often[place] == probe[hit]], whole)
+        return w, h, whole, np.zeros(len(whole), bool)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen = [np.zeros(0, U)]
             for part in chunks(batch, "text"):
-                _, h, whole = open_windows(part)
+                _, h, whole, _ = open_windows(part)
                 seen.append(sequence_hashes(h, whole, whole + window))
             one, count = np.unique(np.concatenate(seen), return_counts=True)
             yield pa.RecordBatch.from_arrays([_signed(one), pa.array(count > 1)], ["h", "twice"])
 
     release(index)
     named = texts.where("id is not null")
-    again = texts.sparkSession.sparkContext.broadcast(filters.build_repeated(named.mapInArrow(giving_back(sketch), "h long, twice boolean"), bits))
+    again = spark.sparkContext.broadcast(filters.build_repeated(named.mapInArrow(giving_back(sketch), "h long, twice boolean"), bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "text"):
-                w, h, whole = open_windows(part)
+                w, h, whole, popular = open_windows(part)
                 one = sequence_hashes(h, whole, whole + window)
                 whole = whole[kept := again.value.test(one)]
                 two = sequence_hashes(h, whole, whole + window, second=True)
                 doc = w.doc[whole]
                 place = (whole - w.first[doc]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([_signed(one[kept]), pa.array((two >> U(32)).astype(np.uint32).view(np.int32)), part.column(0).take(pa.array(doc)), pa.array(place)], ["h", "h2", "id", "at"])
+                yield pa.RecordBatch.from_arrays([_signed(one[kept]), pa.array((two >> U(32)).astype(np.uint32).view(np.int32)), part.column(0).take(pa.array(doc)), pa.array(place), pa.array(popular[kept])], ["h", "h2", "id", "at", "popular"])
 
     # Both sides of the join read the texts again: a written table of the windows would
     # take more disk than that takes time.
-    found = named.mapInArrow(giving_back(run), "h long, h2 int, id long, at int")
-    first = found.groupBy("h", "h2").agg(F.min("id").alias("low"))
-    later = found.join(first, ["h", "h2"]).where("id > low")
+    found = named.mapInArrow(giving_back(run), "h long, h2 int, id long, at int, popular boolean")
+    rare = found.where("not popular").drop("popular")
+    later = rare.join(rare.groupBy("h", "h2").agg(F.min("id").alias("low")), ["h", "h2"]).where("id > low").select("id", "at")
+    # Windows that many documents share would gather in one task: their first documents
+    # are found by sums in each task and sent to all, as long as they are few.
+    hot = materialize(found.where("popular").drop("popular"), "popular")
+    first = materialize(hot.groupBy("h", "h2").agg(F.min("id").alias("low")), "first")
+    first = F.broadcast(first) if first.count() <= BROADCAST_MOST else first
+    later = later.union(hot.join(first, ["h", "h2"]).where("id > low").select("id", "at"))
     gone = materialize(later.groupBy(F.col("id").alias("gid")).agg(F.collect_set("at").alias("gone")), "gone")
     return gone
 
