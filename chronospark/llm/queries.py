@@ -82,7 +82,36 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality": op10_quality,
 }
 
+_WORDS = "regexp_extract_all(coalesce({0}, ''), '[^\\x20\\x09-\\x0D]+')"
+_REACH = """r(id, c) as (select {id}, {id} from {table} union select r.id, l.b from r join l on r.c = l.a), k as (select id, min(c) as component_id from r group by 1)"""
+
 ORACLES: dict[str, str] = {
+    "op7_ngrams": f"""
+with recursive w as (select doc_id, {_WORDS.format("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} as w from documents),
+s as (select distinct doc_id, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as g from w),
+n as (select doc_id, count(*) as n from s group by 1),
+i as (select x.doc_id as a, y.doc_id as b, count(*) as c from s x join s y on x.g = y.g and x.doc_id <> y.doc_id group by 1, 2),
+l as materialized (select a, b from i join n p on p.doc_id = a join n q on q.doc_id = b where 100 * c >= 80 * (p.n + q.n - c)),
+{_REACH.format(id="doc_id", table="documents")}
+select d.doc_id, cast(coalesce(n.n, 0) as bigint) as n_shingles, k.component_id from documents d left join n using (doc_id) join k on k.id = d.doc_id
+""",
+    "op8_embeddings": f"""
+with recursive v as (select vec_id, label, cast(embedding as double[]) as e from embeddings where label is not null and embedding is not null),
+ok as (select * from v where len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(e, lambda x: x <> 0)) > 0),
+l as materialized (select a.vec_id as a, b.vec_id as b from ok a join ok b on a.label = b.label and a.vec_id <> b.vec_id where list_cosine_similarity(a.e, b.e) >= 0.98),
+{_REACH.format(id="vec_id", table="embeddings")}
+select e.vec_id, (select count(*) from l where l.a = e.vec_id) as n_links, k.component_id, k.component_id = e.vec_id as kept from embeddings e join k on k.id = e.vec_id
+""",
+    "op9_substrings": f"""
+with w as (select doc_id, {_WORDS.format("text")} as w from documents),
+x as (select doc_id, w, unnest(range(1, greatest(len(w) - 48, 1))) as i from w),
+g as (select doc_id, i, hash(array_to_string(w[i:i+49], ' ')) as h, md5(array_to_string(w[i:i+49], ' ')) as m from x),
+f as (select doc_id, i from g qualify min(doc_id) over (partition by h, m) < doc_id),
+r as (select distinct doc_id, unnest(range(i, i + 50)) as j from f),
+p as (select doc_id, unnest(w) as t, unnest(range(1, len(w) + 1)) as j from w),
+k as (select p.doc_id, count(*) as kept, string_agg(t, ' ' order by p.j) as t from p anti join r on r.doc_id = p.doc_id and r.j = p.j group by 1)
+select w.doc_id, cast(len(w.w) as bigint) as n_words, cast(len(w.w) - coalesce(k.kept, 0) as bigint) as n_removed, sha256(coalesce(k.t, '')) as kept_sha256 from w left join k using (doc_id)
+""",
     "op6_warc": """
 with a as (select page_id, url, html from pages),
 b as (select page_id, url, case when page_id % 1009 = 13 then '#' || substring(html, 2) else html end as html
