@@ -28,7 +28,7 @@ from .sources.wire import FormatError
 
 OK, BAD_ARGS, NOT_FOUND, IO_ERROR, FORMAT_ERROR = range(5)
 # Keys of the configuration and their defaults.
-CONFIG = {"output.format": "osf5", "output.overlap": "skip", "export.decimal_sep": ",", "export.encoding": "iso-8859-1", "cache.enabled": "true", "cache.auto_build": "true"}
+CONFIG = {"output.format": "5", "output.overlap": "skip", "export.decimal_sep": ",", "export.encoding": "iso-8859-1", "cache.enabled": "true", "cache.auto_build": "true"}
 FAR_NS = 7_258_118_400 * NS  # the year 2200
 log = logging.getLogger("chronospark")
 
@@ -77,7 +77,7 @@ def parser() -> argparse.ArgumentParser:
 
     m = verb("merge", "root", "out", "channels")
     span(m)
-    m.add_argument("--osf4", action="store_true")
+    m.add_argument("--v4", action="store_true")
     m.add_argument("--overwrite", action="store_true")
     m.add_argument("--no-cache", action="store_true")
     e = verb("export", "path", "out", "channels")
@@ -97,7 +97,7 @@ def parser() -> argparse.ArgumentParser:
     f.add_argument("key", nargs="?")
     f.add_argument("value", nargs="?")
     v = verb("convert", "path", "out")
-    v.add_argument("--osf4", action="store_true")
+    v.add_argument("--v4", action="store_true")
     v.add_argument("--integrity", default="none", choices=["none", "crc32c"])
     v.add_argument("--gzip", action="store_true")
     v.add_argument("--merged", action="store_true", help="write a time for every sample")
@@ -135,7 +135,7 @@ def merge_verb(spark, a, config) -> int:
         catalog = catalogs.refresh(spark, a.root, a.root.rstrip("/") + "/_catalog")
     folder, name = os.path.split(a.out)
     overlap = "overwrite" if a.overwrite else config["output.overlap"]
-    version = 4 if a.osf4 or config["output.format"] == "osf4" else 5
+    version = 4 if a.v4 or config["output.format"] == "4" else 5
     end = a.end if a.end is not None else time.time_ns()
     warnings = merging.merge_to_file(spark, a.root, folder or ".", name, a.start or 0, end, a.channels, overlap, version, catalog)
     show(warnings, a.json)
@@ -218,7 +218,7 @@ def cache_verb(spark, a, config) -> int:
 
 def convert_verb(spark, a, config) -> int:
     _readable(spark, a.path)
-    convert(spark, a.path, a.out, 4 if a.osf4 else 5, a.integrity, "gzip" if a.gzip else None, keep_segments=not a.merged)
+    convert(spark, a.path, a.out, 4 if a.v4 else 5, a.integrity, "gzip" if a.gzip else None, keep_segments=not a.merged)
     return OK
 
 

@@ -17,6 +17,7 @@ from .checksums import crc32c
 # Fixed values of the format: identifiers, root elements, reserved channels, trailer.
 IDENTIFIERS = {"OSF4": 4, "OCEAN_STREAM_FORMAT4": 4, "OCEAN_STREAMING_FORMAT4": 4, "OSF5": 5}
 ROOTS = ("optimeas", "osf")
+JSON_ROOT, JSON_FORMAT = "osf", "osf5"
 EXTENSIONS = (".osf", ".osfz")
 TRAILER_CHANNEL = 0xFFFF
 SIGNATURE_CHANNEL = 0xFFFE
@@ -181,7 +182,7 @@ def parse_metablock(meta: Meta, raw: bytes) -> Meta:
     start = raw.lstrip()[:1]
     if start == b"{":
         try:
-            top = json.loads(raw.decode("utf-8"))["osf"]
+            top = json.loads(raw.decode("utf-8"))[JSON_ROOT]
             nested = top.get("file") or {}
             meta.info = _file_info(lambda k: nested.get(k, top.get(k)))
             meta.channels = [_channel(c.get, i) for i, c in enumerate(top.get("channels") or [])]
@@ -228,8 +229,8 @@ def build_metablock(version: int, info: dict[str, Any], channels: list[Channel],
         rows.append(row)
     notes = [{"name": x["name"], "value": x["value"], "datatype": x.get("datatype") or "string"} | ({"physicalunit": x["unit"]} if x.get("unit") else {}) for x in infos]
     if version == 5:
-        body: dict[str, Any] = {"format": "osf5", "version": 5, "file": top, "channels": rows}
-        return json.dumps({"osf": body | ({"infos": notes} if notes else {})}, ensure_ascii=False, indent=1).encode()
+        body: dict[str, Any] = {"format": JSON_FORMAT, "version": 5, "file": top, "channels": rows}
+        return json.dumps({JSON_ROOT: body | ({"infos": notes} if notes else {})}, ensure_ascii=False, indent=1).encode()
 
     def element(name: str, values: dict[str, Any]) -> str:
         return f"<{name} " + " ".join(f"{k}={quoteattr(str(v))}" for k, v in values.items()) + "/>"

@@ -176,7 +176,7 @@ def test_command_line(spark, folder, tmp_path, capsys, monkeypatch):
     assert run("dump", one, "1", "nothing", "--limit", 2) == 0 and run("dump", one, "nothing") == 2
     assert run("verify", one, "--strict") == 0
     assert run("verify", f"file://{folder}", "--strict") == 4
-    assert run("convert", one, tmp_path / "c", "--osf4") == 0
+    assert run("convert", one, tmp_path / "c", "--v4") == 0
     assert run("export", one, f"file://{tmp_path}/u", "--format", "unified-csv") == 0
     assert run("export", one, f"file://{tmp_path}/u", "--start", "2023-11-14T00:00:00") == 1
     assert run("cache", "build", f"file://{folder}", f"file://{tmp_path}/cat") == 0
