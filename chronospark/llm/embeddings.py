@@ -9,8 +9,10 @@ returns sums of links and a spanning forest.  Buckets of more than ``block`` cla
 are cut into blocks that meet pairwise in tasks of their own.
 
 With directions at random two vectors at cosine c share a code of k bits with
-probability (1 - acos(c) / pi) ** k.  For c = 0.98, k = 14 and 24 tables, a pair is
-missed with probability 5e-6; closer pairs more rarely.
+probability (1 - acos(c) / pi) ** k.  Where they are not given, bits follow the size of
+the largest label (some 32 classes in a bucket) and tables follow the bits, so that a
+pair at the threshold is missed with probability ``missed``; closer ones more rarely.
+Vectors travel in single precision where that loses nothing.
 
 Vectors that are null, zero, or hold null or non-finite numbers link with nothing, nor
 do those with a null label; each is a component of its own.  Repeated rows are members
@@ -37,6 +39,29 @@ def _codes(x: np.ndarray, tables: int, bits: int) -> np.ndarray:
     return (signs.reshape(len(x), tables, bits) @ (1 << np.arange(bits))).astype(np.int32)
 
 
+def shape_of(largest: int, least: float, missed: float) -> tuple[int, int]:
+    """(tables, bits) for the largest label's classes."""
+    bits = min(24, max(6, (max(1, largest) // 32).bit_length()))
+    agree = (1 - np.arccos(np.clip(least, -1, 1)) / np.pi) ** bits
+    return max(1, int(np.ceil(np.log(missed) / np.log1p(-min(agree, 1 - 1e-12))))), bits
+
+
+def _packed(x: np.ndarray) -> bytes:
+    small = x.astype(np.float32)
+    return b"4" + small.tobytes() if (small == x).all() else b"8" + x.tobytes()
+
+
+def _dim(raw: bytes) -> int:
+    return (len(raw) - 1) // (raw[0] - 48)
+
+
+def _matrix(raw: list[bytes]) -> np.ndarray:
+    """Rows of doubles from packed vectors of one dimension."""
+    if all(r[0] == 52 for r in raw):
+        return np.frombuffer(b"".join(r[1:] for r in raw), np.float32).reshape(len(raw), -1).astype(float)
+    return np.stack([np.frombuffer(r, np.float32 if r[0] == 52 else np.float64, offset=1).astype(float) for r in raw])
+
+
 def _parts(near: np.ndarray) -> list[tuple[int, int]]:
     """A spanning forest of a symmetric matrix of links."""
     m, out = len(near), []
@@ -54,7 +79,7 @@ def _parts(near: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least: float = 0.98, tables: int = 24, bits: int = 14, block: int = 2048) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least: float = 0.98, tables: int | None = None, bits: int | None = None, block: int = 2048, missed: float = 1e-5) -> DataFrame:
     """One row per vector: id, n_links, component_id and kept."""
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
 
@@ -64,21 +89,27 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
             for label, v in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 good = label is not None and v and None not in v
                 x = np.array(v if good else [], float)
-                raw.append(x.tobytes() if good and np.isfinite(x).all() and x.any() else None)
+                raw.append(_packed(x) if good and np.isfinite(x).all() and x.any() else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(raw, pa.binary())], ["id", "label", "raw"])
 
     vectors = materialize(rows.mapInArrow(giving_back(clean), "id long, label string, raw binary"), "vectors").withColumn("key", F.sha2("raw", 256))
     real = vectors.where("raw is not null and id is not null")
     classes = materialize(real.groupBy("label", "key").agg(F.min("id").alias("rep"), F.count("*").alias("size"), F.first("raw").alias("raw")), "classes")
 
+    if bits is None:
+        largest = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 1
+        auto, bits = shape_of(largest, least, missed)
+        tables = tables or auto
+    tables = tables or 24
+
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw = batch.column("raw").to_pylist()
             by_size: dict[int, list[int]] = {}
             for i, x in enumerate(raw):
-                by_size.setdefault(len(x), []).append(i)
+                by_size.setdefault(_dim(x), []).append(i)
             for width, own in by_size.items():
-                x = np.frombuffer(b"".join(raw[i] for i in own)).reshape(len(own), width // 8)
+                x = _matrix([raw[i] for i in own])
                 codes = _codes(x / np.abs(x).max(axis=1, keepdims=True), tables, bits)
                 part = batch.take(pa.array(own))
                 n = len(own)
@@ -105,7 +136,7 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     tiles = tiles.repartition(n, *keys).sortWithinPartitions(*keys)
 
     def judge(lo: int, hi: int, tab: int, own: list[int], rep: list[int], size: list[int], raw: list[bytes], codes: list[bytes]) -> Iterator[tuple[int, int, int]]:
-        x = np.frombuffer(b"".join(raw)).reshape(len(rep), -1)
+        x = _matrix(raw)
         x = x / np.abs(x).max(axis=1, keepdims=True)
         x = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
         near = x @ x.T >= least
