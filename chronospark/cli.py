@@ -1,4 +1,4 @@
-"""Command line: merge, export, info, channels, stat, cache, config, convert, verify, dump.
+"""Command line: merge, export, info, channels, stat, cache, config, convert, verify, dump, generate.
 
 Exit codes: 0 done, 1 bad arguments, 2 not found, 3 input or output failed, 4 bad format.
 Reports are tables, or JSON lines with --json.
@@ -22,7 +22,7 @@ from .functions.times import NS, duration_hms
 from .functions.types import is_numeric, loses_precision, numeric
 from .operators import filters, stats, verify
 from .sources import catalog as catalogs
-from .sources import export, merging
+from .sources import export, generate, merging
 from .sources.recordings import convert, read
 from .sources.wire import FormatError
 
@@ -105,6 +105,7 @@ def parser() -> argparse.ArgumentParser:
     x.add_argument("--strict", action="store_true")
     d = verb("dump", "path", "channels")
     d.add_argument("--limit", type=int, default=10)
+    verb("generate", "out")
     return p
 
 
@@ -266,6 +267,9 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
     logging.basicConfig(level=a.log_level.upper())
     if a.verb == "config":
         return config_verb(a)
+    if a.verb == "generate":
+        print("\n".join(generate.write(a.out)))
+        return OK
     spark = spark or SparkSession.builder.appName("chronospark").getOrCreate()
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     try:

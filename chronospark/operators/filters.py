@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import mask_pattern
-from ..functions.types import NUMERIC
+from ..functions.types import NUMERIC, numeric
 
 
 def by_name(df: DataFrame, name: str) -> DataFrame:
@@ -73,6 +73,27 @@ def non_empty(channels: DataFrame, samples: DataFrame, keys: Sequence[str] = ("c
     return channels.join(samples.select(*keys).distinct(), list(keys), "left_semi")
 
 
+#: Columns of a sample that hold each kind of value.
+TYPED = {"doubles": "v_double", "longs": "v_long", "ulongs": "v_ulong", "booleans": "v_bool", "strings": "v_string", "binaries": "v_binary", "gps": "v_gps"}
+
+
+def typed(samples: DataFrame, kind: str) -> DataFrame:
+    """channel, ts_ns and v as the kind asked for; a sample of another type fails the job.
+
+    "doubles" takes every numeric type, as statistics do.
+    """
+    if kind not in TYPED:
+        raise ValueError(f"kind is one of {', '.join(TYPED)}, not {kind!r}")
+    value = numeric() if kind == "doubles" else F.col(TYPED[kind])
+    checked = F.when(value.isNull(), F.raise_error(F.concat(F.lit(f"no {kind} in channel "), F.col("channel"))).cast(samples.schema[TYPED[kind]].dataType))
+    return samples.select("channel", "ts_ns", F.coalesce(value, checked).alias("v"))
+
+
+def positions(samples: DataFrame) -> DataFrame:
+    """channel, ts_ns, latitude, longitude and altitude of positions."""
+    return samples.where(F.col("datatype") == "gpslocation").select("channel", "ts_ns", "v_gps.*")
+
+
 def head(df: DataFrame, n: int, keys: Sequence[str] = ("channel",), order: Sequence[str] = ("ord",)) -> DataFrame:
     """The first n rows of each key: an aggregate, so no key is gathered in one task."""
     others = [c for c in df.columns if c not in keys]

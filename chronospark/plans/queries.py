@@ -52,7 +52,8 @@ def channel_by_name(spark, sf_dir):
 
 @query(f"{S} select event_id, channel, ts_ns from s where ts_ns between 1704672000000000000 and 1705276800000000000")
 def sample_interval(spark, sf_dir):
-    return filters.interval(samples(spark, sf_dir), 1704672000000000000, 1705276800000000000).select(F.col("ord").alias("event_id"), "channel", "ts_ns")
+    week = (1704672000000000000, 1705276800000000000)
+    return filters.interval(samples(spark, sf_dir, *week), *week).select(F.col("ord").alias("event_id"), "channel", "ts_ns")
 
 
 @query("""
@@ -195,7 +196,8 @@ def channel_catalog_join(spark, sf_dir):
 
 @query(f"{S} select channel, count(*) n, min(v) vmin, max(v) vmax, avg(v) mean, coalesce(stddev_samp(v),0.0) sd from s where ts_ns between 1704672000000000000 and 1705276800000000000 group by 1")
 def channel_stats(spark, sf_dir):
-    return stats.channel_stats(samples(spark, sf_dir), 1704672000000000000, 1705276800000000000)
+    week = (1704672000000000000, 1705276800000000000)
+    return stats.channel_stats(samples(spark, sf_dir, *week), *week)
 
 
 @query(f"{S} select channel, min(v) vmin, max(v) vmax, avg(v) mean, median(v) med from s group by 1")
@@ -274,7 +276,7 @@ def namespace_rollup(spark, sf_dir):
 
 @query(f"{S} select channel, cast(((cast(ts_ns-{T0}+1 as hugeint)*97) - 1) // {T1 - T0} as bigint) px, min(v) lo, max(v) hi from s where ts_ns>={T0} and ts_ns<{T1} group by 1,2")
 def decimate_pixels(spark, sf_dir):
-    return decimate.decimate(samples(spark, sf_dir), T0, T1, 97)
+    return decimate.decimate(samples(spark, sf_dir, T0, T1), T0, T1, 97)
 
 
 @query(f"""{S}, d as (select channel, cast(((cast(ts_ns-{T0}+1 as hugeint)*3000) - 1) // {T1 - T0} as bigint) px, min(v) lo, max(v) hi from s where ts_ns>={T0} and ts_ns<{T1} group by 1,2)

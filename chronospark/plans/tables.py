@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from datetime import datetime, timezone
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.times import from_timestamp
@@ -16,8 +18,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _instant(ts_ns: int) -> Column:
+    return F.to_timestamp_ntz(F.lit(str(datetime.fromtimestamp(ts_ns // 1_000_000_000, timezone.utc).replace(tzinfo=None))))
+
+
+def samples(spark: SparkSession, sf_dir: str, start_ns: int | None = None, end_ns: int | None = None) -> DataFrame:
+    """With bounds also a filter in whole seconds on the stored column, which reaches the scan."""
     events = table(spark, sf_dir, "events")
+    if start_ns is not None:
+        events = events.where(F.col("ts") >= _instant(start_ns))
+    if end_ns is not None:
+        events = events.where(F.col("ts") < _instant(end_ns + 1_000_000_000))
     return events.select(F.col("event_id").alias("ord"), F.col("event_type").alias("channel"), from_timestamp(F.col("ts")).alias("ts_ns"), F.col("value").alias("v"))
 
 

@@ -20,6 +20,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.functions import udtf
 from pyspark.sql.datasource import (
     DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamArrowWriter, DataSourceStreamReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition,
     LessThan, LessThanOrEqual, WriterCommitMessage,
@@ -301,8 +302,24 @@ class RecordingSource(DataSource):
         return RecordingStreamSink(dict(self.options))
 
 
+class DecodeRecording:
+    """Rows of samples from a file's name and bytes, for SQL over binary files."""
+
+    def eval(self, file: str, content: bytes):
+        for batch in rows(file, bytes(content), Options()):
+            for r in batch.to_pylist():
+                yield tuple(r.values())
+
+
 def register(spark: SparkSession) -> None:
+    """The format "recording", and the table function decode_recording(file, content)."""
     spark.dataSource.register(RecordingSource)
+    spark.udtf.register("decode_recording", udtf(DecodeRecording, returnType=VIEWS["samples"]))
+
+
+def create_view(spark: SparkSession, name: str, path: str, view: str = "samples", **options: Any) -> None:
+    """A temporary view over recordings, for SQL."""
+    read(spark, path, view, **options).createOrReplaceTempView(name)
 
 
 # Writing

@@ -221,6 +221,54 @@ def test_stream_of_growing_files(spark, tmp_path):
     assert [r["v_string"] for r in read(spark, out).where("channel = 'S'").orderBy("ts_ns").collect()] == ["x", "y", "z"]
 
 
+def test_conformance_corpus(spark, tmp_path):
+    """Versions, names, types, counts and modes of every generated recording; anomalies exactly."""
+    from chronospark.sources import generate
+
+    assert cli.main(["generate", str(tmp_path / "c")]) == 0
+    path = f"file://{tmp_path}/c"
+    counts = read(spark, path).groupBy("file", "channel", "datatype", "mode").count().collect()
+    by = {}
+    for r in counts:
+        by.setdefault(r["file"].rsplit("/", 1)[1].rsplit(".", 1)[0], []).append((r["channel"], r["datatype"], r["count"], r["mode"]))
+    assert len(by) == len(generate.corpus()) == 23
+    assert sorted(by["v5_equidistant"]) == [(f"Sensor/Vibration{x}", "double", 100, "equidistant") for x in ("100Hz", "10kHz", "1kHz")]
+    assert sorted(by["v4_messages"]) == [("Demo.Counter", "uint32", 5, "timestamped"), ("Demo.Message", "string", 5, "variable")]
+    assert by["v4_timestamped_binary"] == [("Sensor/Image", "binary", 100, "variable")] and by["v5_empty_block"] == [("Sensor/Double", "double", 10, "timestamped")]
+    bad = read(spark, path, "blocks").where("skip_reason is not null").collect()
+    assert [(r["file"].rsplit("/", 1)[1][:14], r["skip_reason"]) for r in bad] == [("v5_empty_block", "ZeroLengthBlock")]
+    four = read(spark, path).where("file like '%v4_mixed.%'").drop("file")
+    five = read(spark, path).where("file like '%v5_mixed.%'").drop("file")
+    assert four.exceptAll(five).count() == 0 and five.exceptAll(four).count() == 0
+
+
+def test_sql_surface(spark, folder):
+    from chronospark.operators.filters import positions, typed
+    from chronospark.sources.recordings import create_view
+
+    register(spark)
+    create_view(spark, "recorded", f"file://{folder}/a.osf")
+    assert spark.sql("select count(*) from recorded where channel like 'Sensor/C%'").first()[0] == 100
+    spark.read.format("binaryFile").load(f"file://{folder}/a.osf").createOrReplaceTempView("files")
+    got = spark.sql("select d.channel, count(*) n from files, lateral decode_recording(path, content) d group by 1")
+    assert {r["channel"]: r["n"] for r in got.collect()}["Sensor/Counter"] == 100
+    s = spark.table("recorded")
+    assert typed(s.where("channel = 'Sensor/Counter'"), "doubles").agg(F.sum("v")).first()[0] == 4950.0
+    assert positions(s).agg(F.max("altitude")).first()[0] == 618.0
+    with pytest.raises(Exception, match="no strings in channel"):
+        typed(s.where("channel = 'Sensor/Counter'"), "strings").collect()
+    with pytest.raises(ValueError):
+        typed(s, "shorts")
+
+
+def test_merge_report(spark):
+    from chronospark.operators.merge import report
+
+    rows = [("a", 0, 10, 5, None), ("b", 50, 60, 7, None), ("c", None, None, 0, None), ("d", None, None, 0, "broken")]
+    c = spark.createDataFrame(rows, "file string, first_ts long, last_ts long, n long, error string")
+    assert report(c, 5, 40).first() == (4, 1, 1, 5)
+
+
 def test_write_groups_by_file(spark, tmp_path):
     rows = spark.range(100).select(F.concat(F.lit("r"), (F.col("id") % 3).cast("string")).alias("file"), F.lit(0).alias("channel_index"), F.lit("A").alias("channel"), F.lit("double").alias("datatype"), F.col("id").alias("ts_ns"), F.col("id").cast("double").alias("v_double"))
     write(rows, str(tmp_path / "w"))
