@@ -15,7 +15,7 @@ million shingles on; at most 2 ** 20 kept), so passages that many documents shar
 
 Pairs and clusters are closed to groups of candidates.  Each group is cut into tiles of
 two neighbouring size bands (each 1.25 times the one before: further ones cannot reach
-the threshold), large tiles into blocks that meet pairwise.  In a tile, bit counts of
+the threshold), large tiles into blocks (see ``_verified``).  In a tile, bit counts of
 the signatures bound every overlap from above before the sorted arrays are intersected,
 pairs that are connected already are passed over, and only a spanning forest leaves.
 
@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._store import giving_back, materialize, partitions, small_batches
@@ -262,27 +262,32 @@ def _frequent_links(entries: DataFrame) -> DataFrame:
     return entries.join(first, "token").select(F.col("id").alias("a"), "b").where("a <> b").distinct()
 
 
-def tile_forest(ids: list[int], sets: list[np.ndarray], percent: int, side: list[int] | None = None) -> list[tuple[int, int]]:
-    """A spanning forest of the links in one tile; with ``side``, of those between sides."""
+def tile_forest(ids: list[int], sets: list[np.ndarray], percent: int, parts: list[int] | None = None, asking: list[bool] | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the links in one tile.
+
+    ``parts`` says what is connected already; with ``asking`` only pairs with one of
+    these rows count.
+    """
     order = sorted(range(len(ids)), key=lambda i: (len(sets[i]), ids[i]))
     ids, sets = [ids[i] for i in order], [sets[i] for i in order]
-    sides = None if side is None else np.array([side[i] for i in order])
     size = np.array([len(s) for s in sets])
     width = width_of(int(size[-1]))
     bits = np.stack([signature(s, width) for s in sets])
-    part = np.arange(len(ids))
+    part = np.arange(len(ids)) if parts is None else np.array([parts[i] for i in order])
+    ask = None if asking is None else np.array([asking[i] for i in order])
     out = []
     for i in range(len(ids) - 1):
         end = int(np.searchsorted(size, size[i] * 100 // percent, "right"))
         j = np.arange(i + 1, end)
         j = j[part[j] != part[i]]
-        if sides is not None:
-            j = j[sides[j] != sides[i]]
+        if ask is not None and not ask[i]:
+            j = j[ask[j]]
         if not len(j):
             continue
         need = needed(size[i], size[j], percent)
         apart = np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1, dtype=np.int64)
-        for k, least in zip(j[apart <= size[i] + size[j] - 2 * need].tolist(), need[apart <= size[i] + size[j] - 2 * need].tolist()):
+        near = apart <= size[i] + size[j] - 2 * need
+        for k, least in zip(j[near].tolist(), need[near].tolist()):
             if part[k] == part[i]:
                 continue
             at = np.searchsorted(sets[k], sets[i])
@@ -294,29 +299,11 @@ def tile_forest(ids: list[int], sets: list[np.ndarray], percent: int, side: list
     return out
 
 
-def _verified(texts: DataFrame, groups: DataFrame, size: int, percent: int, block: int) -> DataFrame:
-    """Links (a spanning forest in each tile) among the documents of each group."""
-    members = texts.join(groups, "id").select("id", "text", "component")
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        step = np.log(1.25)
-        for batch in batches:
-            for part in chunks(batch, "text"):
-                s = Sets(part.column(1), size)
-                band = np.floor(np.log(np.maximum(s.size, 1)) / step).astype(np.int32)
-                raw = [s[d].tobytes() for d in range(part.num_rows)]
-                yield pa.RecordBatch.from_arrays([part.column(2), part.column(0), pa.array(band), pa.array(raw, pa.binary())], ["component", "id", "band", "raw"])
-
-    made = materialize(members.mapInArrow(giving_back(sets), "component long, id long, band int, raw binary"), "sets")
-    counts = made.groupBy("component", "band").agg(F.count("*").alias("m"))
-    held = counts.select("component", F.explode(F.array("band", F.col("band") - 1)).alias("tile"), "m").groupBy("component", "tile").agg(F.sum("m").alias("m")).where("m > 1")
-    held = materialize(held.select("component", "tile", F.ceil(F.col("m") / block).cast("int").alias("nb")), "tiles")
-    tiles = made.withColumn("tile", F.explode(F.array("band", F.col("band") - 1))).join(held, ["component", "tile"])
-    tiles = tiles.withColumn("own", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    tiles = tiles.select("component", "tile", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "id", "raw")
+def _tiles(rows: DataFrame, percent: int) -> DataFrame:
+    """Links in each tile; rows are keys component, tile, lo, hi, then id, raw, part, asking."""
     keys = ["component", "tile", "lo", "hi"]
-    n = max(2, partitions(texts.sparkSession))
-    tiles = tiles.repartition(n, *keys).sortWithinPartitions(*keys)
+    n = max(2, partitions(rows.sparkSession))
+    rows = rows.select(*keys, "id", "raw", "part", "asking").repartition(n, *keys).sortWithinPartitions(*keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
@@ -324,8 +311,9 @@ def _verified(texts: DataFrame, groups: DataFrame, size: int, percent: int, bloc
         def done() -> pa.RecordBatch:
             out: list[tuple[int, int]] = []
             if len(held) > 1:
-                own, ids, raw = zip(*held)
-                out = tile_forest(list(ids), [np.frombuffer(r, U) for r in raw], percent, list(own) if key[2] != key[3] else None)
+                ids, raw, part, asking = zip(*held)
+                known = None if part[0] is None else list(part)
+                out = tile_forest(list(ids), [np.frombuffer(r, U) for r in raw], percent, known, None if asking[0] is None else list(asking))
             a, b = zip(*out) if out else ((), ())
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
@@ -337,7 +325,67 @@ def _verified(texts: DataFrame, groups: DataFrame, size: int, percent: int, bloc
                 held.append(row[4:])
         yield done()
 
-    return tiles.mapInArrow(giving_back(run), "a long, b long")
+    return rows.mapInArrow(giving_back(run), "a long, b long")
+
+
+def _verified(texts: DataFrame, groups: DataFrame, size: int, percent: int, block: int) -> DataFrame:
+    """Links (a spanning forest in each tile) among the documents of each group.
+
+    A large tile is cut into blocks.  Each block is joined in itself; then the smallest
+    ids of what has come together meet, which connects most of a group of near copies;
+    at last only the rows outside the largest part of a tile are sent to all its blocks,
+    so a group that hangs together is never dealt out pair by pair.
+    """
+    members = texts.join(groups, "id").select("id", "text", "component")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = np.log(1.25)
+        for batch in batches:
+            for part in chunks(batch, "text"):
+                s = Sets(part.column(1), size)
+                band = np.floor(np.log(np.maximum(s.size, 1)) / step).astype(np.int32)
+                raw = [s[d].tobytes() for d in range(part.num_rows)]
+                yield pa.RecordBatch.from_arrays([part.column(2), part.column(0), pa.array(band), pa.array(raw, pa.binary())], ["component", "id", "band", "raw"])
+
+    tile, none = ["component", "tile"], F.lit(None)
+    made = materialize(members.mapInArrow(giving_back(sets), "component long, id long, band int, raw binary"), "sets")
+    counts = made.groupBy("component", "band").agg(F.count("*").alias("m"))
+    held = counts.select("component", F.explode(F.array("band", F.col("band") - 1)).alias("tile"), "m").groupBy(*tile).agg(F.sum("m").alias("m")).where("m > 1")
+    held = materialize(held.select(*tile, F.ceil(F.col("m") / block).cast("int").alias("nb")), "tiles")
+    rows = made.withColumn("tile", F.explode(F.array("band", F.col("band") - 1))).drop("band")
+    rows = rows.join(held, tile).withColumn("lo", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
+    open_ = [none.cast("long").alias("part"), none.cast("boolean").alias("asking")]
+    links = _tiles(rows.select(*tile, "lo", F.col("lo").alias("hi"), "id", "raw", *open_), percent)
+    if held.where("nb > 1").isEmpty():
+        return links
+    links = materialize(links, "inside")
+    large = rows.where("nb > 1").drop("lo")
+
+    def with_parts(links: DataFrame) -> DataFrame:
+        parts = connected_components(links).withColumnRenamed("component", "part")
+        return materialize(large.join(parts, "id", "left").withColumn("part", F.coalesce("part", "id")), "parts")
+
+    def blocks(count: Column) -> Column:
+        return F.ceil(count / block).cast("int")
+
+    # The first of each part, all with all in blocks.
+    firsts = with_parts(links).groupBy(*tile, "part").agg(F.min_by(F.struct("id", "raw"), "id").alias("f")).select(*tile, "part", "f.*")
+    firsts = materialize(firsts, "firsts")
+    firsts = firsts.join(firsts.groupBy(*tile).agg(blocks(F.count("*")).alias("nb")), tile)
+    firsts = firsts.withColumn("own", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    links = materialize(links.union(_tiles(firsts.select(*tile, F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "id", "raw", "part", open_[1]), percent)), "firsts")
+    # Rows outside the largest part ask all others.
+    parted = with_parts(links)
+    sizes = parted.groupBy(*tile, "part").agg(F.count("*").alias("m"))
+    main = sizes.groupBy(*tile).agg(F.max_by("part", F.struct("m", -F.col("part"))).alias("main"), F.sum("m").alias("all"), F.max("m").alias("most"))
+    main = materialize(main.where("all > most").select(*tile, "main", blocks(F.col("all") - F.col("most")).alias("ask_nb")), "main")
+    parted = parted.join(main, tile).withColumn("asking", F.col("part") != F.col("main"))
+    parted = parted.withColumn("lo", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int")).withColumn("hi", F.pmod(F.xxhash64(F.lit(1), "id"), F.col("ask_nb")).cast("int"))
+    # Tile (lo, hi): the rows of block lo, and the asking rows of their block hi.
+    settled = parted.withColumn("hi", F.explode(F.sequence(F.lit(0), F.col("ask_nb") - 1)))
+    asking = parted.where("asking").withColumn("lo", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    columns = [*tile, "lo", "hi", "id", "raw", "part", "asking"]
+    return links.union(_tiles(settled.select(*columns).union(asking.select(*columns)), percent))
 
 
 def link_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, block: int = 2048) -> DataFrame:
