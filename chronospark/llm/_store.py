@@ -24,12 +24,16 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and return the table read back."""
+def materialize(df: DataFrame, name: str, large: bool = False) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and return the table read back.
+
+    After a ``large`` step its shuffles are freed at once.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/chronospark/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    free_shuffles(spark)
+    if large:
+        free_shuffles(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out

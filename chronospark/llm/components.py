@@ -52,7 +52,7 @@ def connected_components(links: DataFrame) -> DataFrame:
     """
     a, b = links.columns[:2]
     edges = links.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a <> b")
-    edges = materialize(edges.mapInArrow(giving_back(_thinned), "a long, b long").distinct(), "links")
+    edges = materialize(edges.mapInArrow(giving_back(_thinned), "a long, b long").distinct(), "links", large=True)
     labels = None
     while not edges.isEmpty():
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))

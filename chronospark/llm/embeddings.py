@@ -182,7 +182,7 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
         flush()
         yield made()
 
-    judged = materialize(tiles.mapInArrow(giving_back(run), "a long, b long, links long"), "judged")
+    judged = materialize(tiles.mapInArrow(giving_back(run), "a long, b long, links long"), "judged", large=True)
     parts = connected_components(judged.where("b >= 0 or links = 0").select("a", "b"))
     sums = judged.where("links > 0").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     found = classes.select("label", "key", "rep", "size").join(sums, "rep", "left").join(parts.withColumnRenamed("id", "rep"), "rep", "left")

@@ -348,7 +348,7 @@ def _verified(texts: DataFrame, groups: DataFrame, size: int, percent: int, bloc
                 yield pa.RecordBatch.from_arrays([part.column(2), part.column(0), pa.array(band), pa.array(raw, pa.binary())], ["component", "id", "band", "raw"])
 
     tile, none = ["component", "tile"], F.lit(None)
-    made = materialize(members.mapInArrow(giving_back(sets), "component long, id long, band int, raw binary"), "sets")
+    made = materialize(members.mapInArrow(giving_back(sets), "component long, id long, band int, raw binary"), "sets", large=True)
     counts = made.groupBy("component", "band").agg(F.count("*").alias("m"))
     held = counts.select("component", F.explode(F.array("band", F.col("band") - 1)).alias("tile"), "m").groupBy(*tile).agg(F.sum("m").alias("m")).where("m > 1")
     held = materialize(held.select(*tile, F.ceil(F.col("m") / block).cast("int").alias("nb")), "tiles")
@@ -391,12 +391,12 @@ def _verified(texts: DataFrame, groups: DataFrame, size: int, percent: int, bloc
 def link_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, block: int = 2048) -> DataFrame:
     """One row per document: id, n_shingles and component_id (the smallest id reached)."""
     texts = small_batches(df).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    summaries = materialize(_summaries(texts, words), "summaries")
+    summaries = materialize(_summaries(texts, words), "summaries", large=True)
     documents = summaries.where("kind = 0").select("id", "n", "s1", "s2", "bits")
     classes = materialize(documents.where("n > 0 and id is not null").groupBy("s1", "s2").agg(F.min("id").alias("rep")), "classes")
     reps = classes.select(F.col("rep").alias("id")).distinct()
     prefixes = _prefixes(texts.where("id is not null"), _frequent(summaries), words, percent).join(reps, "id", "left_semi")
-    prefixes = materialize(prefixes, "prefixes")
+    prefixes = materialize(prefixes, "prefixes", large=True)
     entries = prefixes.select("id", "n", "rare", F.posexplode("prefix").alias("at", "token"))
     pairs = _bounded(_rare_pairs(entries.where("at < rare"), percent), documents.where("n > 0"), percent)
     frequent = _frequent_links(prefixes.where("rare < size(prefix)").select("id", F.explode(F.slice("prefix", F.col("rare") + 1, F.size("prefix") - F.col("rare"))).alias("token")))

@@ -65,7 +65,7 @@ def repeated_windows(texts: DataFrame, window: int, filter_bits: int) -> DataFra
     """(gid, gone): by document, where windows begin that also start in a smaller one."""
     size = window // 2
     spark = texts.sparkSession
-    index = materialize(blocks(texts, size).groupBy("h").agg((F.min("id") != F.max("id")).alias("shared"), F.count("*").alias("n")), "blocks")
+    index = materialize(blocks(texts, size).groupBy("h").agg((F.min("id") != F.max("id")).alias("shared"), F.count("*").alias("n")), "blocks", large=True)
     stat = index.agg(F.count("*").alias("members"), F.coalesce(F.sum("n"), F.lit(0)).alias("blocks")).first()
     bits = filters.size_for(stat["members"], filter_bits)
     shared = spark.sparkContext.broadcast(filters.build(index, bits, ("shared",)))
@@ -133,11 +133,11 @@ def repeated_windows(texts: DataFrame, window: int, filter_bits: int) -> DataFra
     later = rare.join(rare.groupBy("h", "h2").agg(F.min("id").alias("low")), ["h", "h2"]).where("id > low").select("id", "at")
     # Windows that many documents share would gather in one task: their first documents
     # are found by sums in each task and sent to all, as long as they are few.
-    hot = materialize(found.where("popular").drop("popular"), "popular")
+    hot = materialize(found.where("popular").drop("popular"), "popular", large=True)
     first = materialize(hot.groupBy("h", "h2").agg(F.min("id").alias("low")), "first")
     first = F.broadcast(first) if first.count() <= BROADCAST_MOST else first
     later = later.union(hot.join(first, ["h", "h2"]).where("id > low").select("id", "at"))
-    gone = materialize(later.groupBy(F.col("id").alias("gid")).agg(F.collect_set("at").alias("gone")), "gone")
+    gone = materialize(later.groupBy(F.col("id").alias("gid")).agg(F.collect_set("at").alias("gone")), "gone", large=True)
     return gone
 
 
