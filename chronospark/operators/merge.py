@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .filters import by_names, interval
+from .filters import by_names, interval, overlaps
 
 
 def merge(samples: DataFrame, start_ns: int | None = None, end_ns: int | None = None, channels: Sequence[str] | None = None, overlap: str = "skip", order: Sequence[str] = ("file_rank", "ord"), values: Sequence[str] = ("v",)) -> DataFrame:
@@ -29,15 +29,11 @@ def merge(samples: DataFrame, start_ns: int | None = None, end_ns: int | None =
 
 def file_rank(catalog: DataFrame) -> DataFrame:
     """Files by first time, then path; a row per file, so few rows."""
-    from pyspark.sql import Window
-
     return catalog.withColumn("file_rank", F.row_number().over(Window.orderBy(F.asc_nulls_last("first_ts"), "file")) - 1)
 
 
 def merged_schema(definitions: DataFrame, order: Sequence[str] = ("file_rank", "channel_pos")) -> DataFrame:
     """The definition of each channel: the first sighting's, with a new index in that order."""
-    from pyspark.sql import Window
-
     fields = [c for c in definitions.columns if c not in ("channel_index",)]
     first = definitions.groupBy(F.lower("channel").alias("key")).agg(F.min_by(F.struct(*fields), F.struct(*order)).alias("__d"))
     out = first.select("key", *[F.col(f"__d.{c}").alias(c) for c in fields])
@@ -57,7 +53,5 @@ def split_mismatches(samples: DataFrame, definitions: DataFrame, schema: DataFra
 
 def report(catalog: DataFrame, start_ns: int, end_ns: int) -> DataFrame:
     """Files found, kept and in error, and samples of the kept ones: one row."""
-    from .filters import overlaps
-
     keep = overlaps(start_ns, end_ns) & F.col("error").isNull()
     return catalog.agg(F.count("*").alias("found"), F.count_if(keep).alias("kept"), F.count_if(F.col("error").isNotNull()).alias("errors"), F.coalesce(F.sum(F.when(keep, F.col("n"))), F.lit(0)).alias("samples"))

@@ -19,8 +19,8 @@ UNIFIED_HEAD = "Timestamp"
 STYLE_LABELS = {"datetime": "DateTime", "seconds": "Seconds", "iso8601": "ISO8601", "nanoseconds": "Nanoseconds"}
 
 
-def _lines(body: DataFrame, order: Sequence[str], head: list[str]) -> DataFrame:
-    """Header lines, then the body's column ``line`` in order."""
+def _lines(body: DataFrame, order: Sequence[str], head: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Header lines, and the body's column ``line``, each in order."""
     spark = body.sparkSession
     top = spark.createDataFrame([(i, h) for i, h in enumerate(head)], "at long, line string")
     rows = body.select(F.struct(*order).alias("__o"), "line").orderBy("__o")

@@ -17,7 +17,7 @@ from typing import Any
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import udtf
@@ -374,8 +374,6 @@ def encode_samples(table: pa.Table, version: int = 5, integrity: str = "none", c
 def with_rates(samples: DataFrame, blocks: DataFrame) -> DataFrame:
     """Samples with the rate of their segment, for a copy that keeps segments."""
     starts = blocks.where("kind = 'start' and skip_reason is null")
-    from pyspark.sql import Window
-
     over = Window.partitionBy("file", "channel_index").orderBy("block_ord")
     rates = starts.select("file", "channel_index", (F.row_number().over(over) - 1).alias("seg_id"), "rate_hz")
     return samples.join(rates, ["file", "channel_index", "seg_id"], "left")
