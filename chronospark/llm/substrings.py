@@ -83,8 +83,8 @@ def repeated_windows(texts: DataFrame, window: int, filter_bits: int) -> DataFra
         probe = sequence_hashes(h, begin, begin + size)
         at = begin - np.repeat(w.first[:-1], w.counts)[begin]
         own = at % size == 0
-        hit = np.zeros(len(begin), bool)
-        hit[~own] = every.test(probe[~own])
+        known = every.test(probe)
+        hit = known.copy()
         hit[own] = twice.test(probe[own])
 
         def any_inside(at: np.ndarray, windows: np.ndarray) -> np.ndarray:
@@ -96,10 +96,12 @@ def repeated_windows(texts: DataFrame, window: int, filter_bits: int) -> DataFra
         # A window is open if any of the anchors inside it hits.
         whole = w.windows(window)
         whole = whole[any_inside(begin[hit], whole)]
-        often, hits = common.value, begin[hit]
+        # It is popular by its words alone, whether its common anchor hits or not: both
+        # sides of a pair must come to the same join.
+        often = common.value
         if len(often):
-            place = np.minimum(np.searchsorted(often, probe[hit]), len(often) - 1)
-            return w, h, whole, any_inside(hits[often[place] == probe[hit]], whole)
+            place = np.minimum(np.searchsorted(often, probe[known]), len(often) - 1)
+            return w, h, whole, any_inside(begin[known][often[place] == probe[known]], whole)
         return w, h, whole, np.zeros(len(whole), bool)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -175,6 +175,17 @@ def test_substrings_at_every_offset(spark):
     assert got == plain_substrings(rows)
 
 
+@pytest.mark.parametrize("line", [25, 50])
+def test_substrings_of_a_line_that_one_document_repeats(spark, line):
+    """Blocks that only one document indexes, often, are popular windows of both."""
+    words = " ".join(f"w{i}" for i in range(line))
+    lead = [" ".join(f"a{k}x{i}" for i in range(10 + k)) for k in range(3)]
+    rows = [(k, lead[k] + f" {words}" * 5) for k in range(3)] + [(9, " ".join([words] * 40)), (10, "other words here " * 30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["n_words"], r["n_removed"], r["kept_text"]) for r in substrings.dedup(df).collect()), key=str)
+    assert got == plain_substrings(rows) and sum(r[2] > 0 for r in got) == 3
+
+
 # Mixing
 
 
