@@ -30,12 +30,14 @@ DRIVER_CELLS = 100_000
 
 
 def topic_of(text: Column) -> Column:
-    """What a text looks like: the layouts that web text comes in."""
+    """What a text looks like: the layouts that web text comes in.
+
+    A notice is a license line anywhere in the text, as such lines mostly end a page.
+    """
     text = F.coalesce(text, F.lit(""))
-    head = F.lower(F.substring(text, 1, 200))
     return (
         F.when(F.length(text) - F.length(F.replace(text, F.lit("|"), F.lit(""))) > F.length(text) / 40, "table")
-        .when(head.rlike("licen[cs]|copyright|rights reserved"), "notice")
+        .when(F.lower(text).rlike("licen[cs]|copyright|rights reserved"), "notice")
         .when(F.instr(text, "@") > 0, "contact")
         .when(F.length(text) < 400, "note")
         .when(F.length(text) < 4000, "article")

@@ -225,6 +225,13 @@ def test_draw(spark, documents, empty):
     assert all(words[r["doc_id"]] == len(WORD.findall(r["text"] or "")) for r in documents.where("doc_id < 400").collect())
 
 
+def test_a_license_line_anywhere_makes_a_notice(spark):
+    line = "\nCopyright 2020 by the authors, All Rights Reserved"
+    rows = [(0, "plain words " * 600 + line), (1, line + " plain words" * 600), (2, "plain words " * 600), (3, "plain words " * 60 + "under a LICENCE"), (4, "a | b |" * 99 + line), (5, None)]
+    got = spark.createDataFrame(rows, "id long, text string").select("id", mixing.topic_of(F.col("text")).alias("topic")).collect()
+    assert {r["id"]: r["topic"] for r in got} == {0: "notice", 1: "notice", 2: "long", 3: "notice", 4: "table", 5: "note"}
+
+
 def test_given_targets(spark):
     rows = [(i, "w " * 50, "en", "a" if i % 10 else "b", 100) for i in range(2000)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
