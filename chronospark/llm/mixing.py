@@ -2,10 +2,17 @@
 
 Tokens are summed over all documents into cells of source, language and topic.  The
 cells' weights are raked in turn to the three target marginals until none is off by
-more than ``tolerance``.  A document's probability is its cell's factor, scaled so that
-the largest is 1; then the expected tokens of the sample have the target marginals.  A
-document is drawn when a hash of its id (and text) falls below its probability, so the
-draw does not depend on how the rows are dealt.
+more than ``tolerance``.  A document's probability is its cell's factor, at most 1: cells
+that would pass it are kept whole and the others of their values raked further, so that
+the expected tokens of the sample have the target marginals.  A document is drawn when a
+hash of its id (and text) falls below its probability, so the draw does not depend on how
+the rows are dealt.
+
+The sample is the largest (in tokens) whose marginals no value is too small for, and has
+a share of ``least`` of all tokens at least: values that are too small for their part of
+that stay whole, and what they lack goes to the other values.  Only given targets, which
+are met as they are, can make it smaller.  Where the cells cannot meet the marginals at
+that size, smaller ones down to the least share are tried, and the one nearest is taken.
 
 Targets are shares per value.  Where none are given, a marginal's shares are its own
 to the power ``temper``, so large sources lose weight and small ones gain.  Values
@@ -27,6 +34,14 @@ from ._store import materialize
 MARGINALS = ("source", "lang", "topic")
 #: Cells that may be raked on the driver (a few MB); more are raked by Spark.
 DRIVER_CELLS = 100_000
+#: Share of all tokens that is kept at least where no targets are given.
+LEAST = 0.5
+#: How much smaller each further trial of a sample size is, and how many there are.
+SMALLER, TRIALS = 0.95, 20
+#: Bounds of the iterations: steps to cap a marginal, growth of a factor in one step.
+CAP_ROUNDS, MOST_STEP = 50, 100.0
+#: A factor from here on counts as 1, so that rounding does not decide it.
+FULL = 1 - 1e-9
 
 
 def topic_of(text: Column) -> Column:
@@ -59,70 +74,126 @@ def shares(own: dict[str, float], target: dict[str, float] | None, temper: float
     return {k: v / whole if own[k] > 0 else 0.0 for k, v in raw.items()}
 
 
+def capped(own: dict[str, float], target: dict[str, float], size: float) -> dict[str, float]:
+    """Parts of a sample of ``size`` of all tokens: none is more than the value has."""
+    total, scale = sum(own.values()) or 1.0, size
+    for _ in range(CAP_ROUNDS):
+        short = sum(own[v] / total for v, w in target.items() if scale * w >= own[v] / total)
+        rest = sum(w for v, w in target.items() if scale * w < own[v] / total)
+        before, scale = scale, (size - short) / rest if rest > 0 else scale
+        if abs(scale - before) <= 1e-12 * before:
+            break
+    return {v: min(scale * w, own[v] / total) for v, w in target.items()}
+
+
 def rake(cells: list[tuple[tuple[str, ...], float]], targets: list[dict[str, float]], tolerance: float = 1e-6, rounds: int = 200) -> np.ndarray:
     """A factor for each cell, by raking to each marginal in turn."""
+    return _rake(cells, targets, tolerance, rounds, 1.0, np.inf)[0]
+
+
+def _rake(cells: list[tuple[tuple[str, ...], float]], targets: list[dict[str, float]], tolerance: float, rounds: int, size: float, full: float) -> tuple[np.ndarray, float]:
+    """The factors, from ``size`` on, and how far the marginals are off; a factor of
+    ``full`` or more keeps a cell whole."""
     weight = np.array([w for _, w in cells], float)
-    factor = np.ones(len(cells))
+    factor = np.full(len(cells), size)
     index, goal = [], []
     for k, target in enumerate(targets):
         names = sorted(target)
         at = {v: i for i, v in enumerate(names)}
         index.append(np.array([at[key[k]] for key, _ in cells], int))
         goal.append(np.array([target[v] for v in names]))
-    total = weight.sum()
+    total, worst = weight.sum(), 0.0
     if not total:
-        return factor
+        return factor, worst
     for _ in range(rounds):
         worst = 0.0
         for at, want in zip(index, goal):
-            have = np.bincount(at, weight * factor, len(want)) / total
+            whole = np.bincount(at, np.where(factor >= full, weight, 0.0), len(want)) / total
+            rest = np.bincount(at, np.where(factor >= full, 0.0, weight * factor), len(want)) / total
+            have = whole + rest
             ratio = np.where(have > 0, want / np.where(have > 0, have, 1), 1.0)
+            # Only what is not whole can still grow (a step of Newton's method).
+            ratio = np.where((rest > 0) & (want > whole), np.minimum((want - whole) / np.where(rest > 0, rest, 1), MOST_STEP), ratio)
             worst = max(worst, float(np.abs(have - want)[have > 0].max(initial=0.0)))
             factor = factor * ratio[at]
         if worst < tolerance:
             break
-    return factor
+    return factor, worst
 
 
-def _rake_spread(cells: DataFrame, targets: list[DataFrame], tolerance: float, rounds: int) -> DataFrame:
+def _rake_spread(cells: DataFrame, targets: list[DataFrame], tolerance: float, rounds: int, size: float) -> tuple[DataFrame, float]:
     """The same for any number of cells: each step is a sum and a join."""
-    cells = materialize(cells.withColumn("factor", F.lit(1.0)), "cells")
-    total = cells.agg(F.sum("tokens")).first()[0] or 1
+    cells = materialize(cells.withColumn("factor", F.lit(float(size))), "cells")
+    total, worst = cells.agg(F.sum("tokens")).first()[0] or 1, 0.0
+    full = F.col("factor") >= FULL
     for _ in range(rounds):
         worst = 0.0
         for name, target in zip(MARGINALS, targets):
-            have = cells.groupBy(name).agg((F.sum(F.col("tokens") * F.col("factor")) / total).alias("have"))
-            ratio = materialize(have.join(target, name).select(name, "have", "want", F.when(F.col("have") > 0, F.col("want") / F.col("have")).otherwise(1.0).alias("ratio")), "ratio")
+            have = cells.groupBy(name).agg((F.sum(F.when(full, F.col("tokens")).otherwise(0)) / total).alias("whole"), (F.sum(F.when(full, 0.0).otherwise(F.col("tokens") * F.col("factor"))) / total).alias("rest")).withColumn("have", F.col("whole") + F.col("rest"))
+            step = F.when((F.col("rest") > 0) & (F.col("want") > F.col("whole")), F.least(F.lit(MOST_STEP), (F.col("want") - F.col("whole")) / F.col("rest"))).when(F.col("have") > 0, F.col("want") / F.col("have")).otherwise(1.0)
+            ratio = materialize(have.join(target, name).select(name, "have", "want", step.alias("ratio")), "ratio")
             worst = max(worst, ratio.agg(F.max(F.when(F.col("have") > 0, F.abs(F.col("have") - F.col("want"))))).first()[0] or 0.0)
             cells = cells.join(ratio.select(name, "ratio"), name).withColumn("factor", F.col("factor") * F.col("ratio")).drop("ratio")
         cells = materialize(cells, "cells")
         if worst < tolerance:
             break
-    return cells
+    return cells, worst
+
+
+def _capped_spread(target: DataFrame, name: str, size: float) -> DataFrame:
+    """``capped`` for any number of values, from their shares ``own`` and ``goal``."""
+    scale = size
+    for _ in range(CAP_ROUNDS):
+        over = F.lit(scale) * F.col("goal") >= F.col("own")
+        short, rest = target.agg(F.sum(F.when(over, F.col("own"))), F.sum(F.when(~over, F.col("goal")))).first()
+        before, scale = scale, (size - (short or 0.0)) / rest if rest else scale
+        if abs(scale - before) <= 1e-12 * before:
+            break
+    return target.select(name, F.least(F.lit(scale) * F.col("goal"), F.col("own")).alias("want"))
+
+
+def _nearest(limits: list[tuple[str, float]], given: dict, least: float, tolerance: float, trial):
+    """The factors of the largest sample that meets its marginals, by ``trial(size)``.
+
+    ``limits`` are the sizes up to which each marginal's smallest value suffices.
+    """
+    hard = min((x for name, x in limits if name in given), default=1.0)
+    soft = min((x for name, x in limits if name not in given), default=1.0)
+    size = min(1.0, hard, max(soft, least))
+    floor, best, off = 0.0 if given else min(size, least), None, np.inf
+    for _ in range(TRIALS):
+        found, worst = trial(size)
+        if best is None or worst < off:
+            best, off = found, worst
+        if worst < tolerance or size <= floor:
+            break
+        size = max(floor, size * SMALLER)
+    return best
 
 
 def _cells(rows: DataFrame) -> DataFrame:
     return rows.groupBy(*MARGINALS).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("documents"))
 
 
-def factors(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, temper: float = 0.85, tolerance: float = 1e-6, rounds: int = 200, driver_cells: int = DRIVER_CELLS) -> DataFrame:
-    """The raked cells: source, lang, topic and probability (largest factor is 1)."""
+def factors(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, temper: float = 0.85, tolerance: float = 1e-6, rounds: int = 200, driver_cells: int = DRIVER_CELLS, least: float = LEAST) -> DataFrame:
+    """The raked cells: source, lang, topic and probability."""
     spark, targets = cells.sparkSession, targets or {}
     cells = materialize(cells, "cells")
     if cells.count() <= driver_cells:
         own = [((r[0], r[1], r[2]), float(r["tokens"])) for r in cells.collect()]  # bounded just now
-        goals = []
+        sizes, goals, limits = [], [], []
         for k, name in enumerate(MARGINALS):
             sums: dict[str, float] = {}
             for key, w in own:
                 sums[key[k]] = sums.get(key[k], 0.0) + w
             goals.append(shares(sums, targets.get(name), temper))
-        factor = rake(own, goals, tolerance, rounds)
-        live = [f for (_, w), f in zip(own, factor) if w > 0]
-        top = max(live, default=1.0) or 1.0
-        made = [(*key, float(min(1.0, f / top)) if w > 0 else 1.0) for (key, w), f in zip(own, factor)]
+            sizes.append(sums)
+            total = sum(sums.values()) or 1.0
+            limits.append((name, min((sums[v] / total / w for v, w in goals[k].items() if w > 0), default=1.0)))
+        factor = _nearest(limits, targets, least, tolerance, lambda size: _rake(own, [capped(s, g, size) for s, g in zip(sizes, goals)], tolerance, rounds, size, FULL))
+        made = [(*key, float(min(1.0, f)) if w > 0 else 1.0) for (key, w), f in zip(own, factor)]
         return F.broadcast(spark.createDataFrame(made, "source string, lang string, topic string, probability double"))
-    goals = []
+    goals, limits = [], []
     for name in MARGINALS:
         sums = cells.groupBy(name).agg(F.sum("tokens").cast("double").alias("w"))
         total = sums.agg(F.sum("w")).first()[0] or 1.0
@@ -131,12 +202,12 @@ def factors(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None
             given = spark.createDataFrame([(k, float(v)) for k, v in targets[name].items()] or [("", 0.0)], f"{name} string, given double")
             sums = sums.join(given, name, "left")
             raw = F.coalesce("given", F.col("w") / total)
-        sums = materialize(sums.select(name, F.when(F.col("w") > 0, raw).otherwise(0.0).alias("want")), "goal")
+        sums = materialize(sums.select(name, (F.col("w") / total).alias("own"), F.when(F.col("w") > 0, raw).otherwise(0.0).alias("want")), "goal")
         whole = sums.agg(F.sum("want")).first()[0] or 1.0
-        goals.append(sums.withColumn("want", F.col("want") / whole))
-    raked = _rake_spread(cells, goals, tolerance, rounds)
-    top = raked.where("tokens > 0").agg(F.max("factor")).first()[0] or 1.0
-    return raked.select(*MARGINALS, F.when(F.col("tokens") > 0, F.least(F.lit(1.0), F.col("factor") / top)).otherwise(1.0).alias("probability"))
+        goals.append(sums.select(name, "own", (F.col("want") / whole).alias("goal")))
+        limits.append((name, goals[-1].where("goal > 0").agg(F.min(F.col("own") / F.col("goal"))).first()[0] or 1.0))
+    raked = _nearest(limits, targets, least, tolerance, lambda size: _rake_spread(cells, [_capped_spread(g, n, size) for n, g in zip(MARGINALS, goals)], tolerance, rounds, size))
+    return raked.select(*MARGINALS, F.when(F.col("tokens") > 0, F.least(F.lit(1.0), F.col("factor"))).otherwise(1.0).alias("probability"))
 
 
 def keyed(df: DataFrame, text_col: str = "text", topic: Column | None = None) -> list[Column]:
@@ -145,7 +216,7 @@ def keyed(df: DataFrame, text_col: str = "text", topic: Column | None = None) ->
     return [F.coalesce(F.col("source").cast("string"), F.lit("")).alias("__source"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("__lang"), (topic_of(text) if topic is None else topic).alias("__topic"), tokens_of(text).alias("__tokens")]
 
 
-def draw(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", targets: dict[str, dict[str, float]] | None = None, temper: float = 0.85, seed: int = 1, only_drawn: bool = False) -> DataFrame:
+def draw(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", targets: dict[str, dict[str, float]] | None = None, temper: float = 0.85, seed: int = 1, only_drawn: bool = False, least: float = LEAST) -> DataFrame:
     """All columns of ``df``, then source_cell, topic, tokens, probability and sampled.
 
     With ``only_drawn`` the drawn rows and only the columns of ``df``.
@@ -155,7 +226,7 @@ def draw(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", targets:
     # Only what the cells and the draw need is kept from the first reading.
     rows = df.select(*[F.col(c).alias(f"__in{i}") for i, c in enumerate(names)], *keyed(df, text_col), F.xxhash64(F.lit(seed), F.col(id_col), text).alias("__draw"))
     cells = rows.groupBy(F.col("__source").alias("source"), F.col("__lang").alias("lang"), F.col("__topic").alias("topic")).agg(F.sum("__tokens").alias("tokens"))
-    found = factors(cells, targets, temper).select(*[F.col(c).alias(f"__{c}") for c in MARGINALS], F.col("probability").alias("__p"))
+    found = factors(cells, targets, temper, least=least).select(*[F.col(c).alias(f"__{c}") for c in MARGINALS], F.col("probability").alias("__p"))
     # At most DRIVER_CELLS cells are broadcast, more are joined by a shuffle.
     joined = rows.join(found, ["__source", "__lang", "__topic"], "left")
     unit = (F.shiftrightunsigned(F.col("__draw"), 11).cast("double")) / F.lit(float(1 << 53))

@@ -240,6 +240,28 @@ def test_given_targets(spark):
     assert by["a"]["t"] == pytest.approx(by["b"]["t"]) and by["b"]["s"] == 1.0 and 0.05 < by["a"]["s"] < 0.18
 
 
+@pytest.mark.parametrize("driver_cells", [mixing.DRIVER_CELLS, 0])
+def test_rare_cells_and_values_do_not_shrink_the_sample(spark, driver_cells):
+    rng = random.Random(8)
+    cells = [(s, la, t, 500 + rng.randrange(900)) for s in "abc" for la in "xy" for t in "mn"]
+    for extra in ([("a", "z", "m", 900), ("c", "z", "n", 2)], [("odd", "one", "only", 3)]):
+        df = spark.createDataFrame(cells + extra, "source string, lang string, topic string, tokens long")
+        p = {(r["source"], r["lang"], r["topic"]): r["probability"] for r in mixing.factors(df, driver_cells=driver_cells).collect()}
+        weight = {c[:3]: float(c[3]) for c in cells + extra}
+        total = sum(weight.values())
+        kept = sum(weight[c] * p[c] for c in weight)
+        assert kept >= 0.4999 * total and all(0 < x <= 1 for x in p.values())
+        if extra[0][0] == "odd":
+            assert p[extra[0][:3]] == pytest.approx(1.0)
+            continue
+        for k in range(3):
+            own = {}
+            for c, w in weight.items():
+                own[c[k]] = own.get(c[k], 0) + w
+            for v, want in mixing.shares(own, None, 0.85).items():
+                assert sum(weight[c] * p[c] for c in weight if c[k] == v) / kept == pytest.approx(want, abs=1e-5)
+
+
 # Archive audit
 
 
