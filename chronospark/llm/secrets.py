@@ -1,8 +1,10 @@
 """Secrets by fixed rules and a battery of randomness tests.
 
 The rules find assignments, access keys and long hexadecimal runs in whole texts.  The
-battery judges the other unbroken runs of at least ``shortest`` characters that mix
-character classes: the encoding is inferred (hex, base32, base58, base64), then the
+battery judges the other unbroken runs of at least ``SHORTEST`` characters that mix
+character classes.  A run ends at "=" unless that is its padding, so the value of
+"name=value" is a run of its own; one that no alphabet holds, as a path before a key, is
+judged by its parts between "-" and "_" or between "+" and "/".  The encoding is inferred (hex, base32, base58, base64), then the
 characters are tested for uniformity over that alphabet (chi-squared), their bits for
 runs (Wald-Wolfowitz) and for serial correlation.  Under the hypothesis "text chosen
 by people" such statistics are far out; its p-value is the chance that a run of the
@@ -37,7 +39,9 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}+")
 _NAMES = ("passw", "secret", "token", "key")
-_RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}+")
+SHORTEST = 16
+_RUN = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_=-]{%d})[A-Za-z0-9+/_-]++(?:=++(?![A-Za-z0-9+/_-]))?" % SHORTEST)
+_SPLITS = (re.compile(r"[^_-]+"), re.compile(r"[^+/]+"))
 
 _DIGITS = "0123456789"
 _LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -129,17 +133,32 @@ def p_value(run: str) -> float:
     return max(_normal((expected - score) / WRITTEN_SPREAD), 1e-300)
 
 
+def _judged(run: str, at: int) -> tuple[int, int, float] | None:
+    """Start, end and p-value of a run that is long enough and mixes classes."""
+    digit = any(c in _DIGITS for c in run)
+    letters = (any(c in _LOWER for c in run)) + (any(c in _UPPER for c in run))
+    if len(run) < SHORTEST or digit + letters < 2 or not digit:
+        return None
+    return at, at + len(run), p_value(run)
+
+
+def _parts(run: str, at: int) -> list[tuple[int, int, float]]:
+    """The run, or its parts by the separators that leave the most random one."""
+    if encoding(run) is not None:
+        found = _judged(run, at)
+        return [found] if found else []
+    ways = [[x for m in split.finditer(run) if (x := _judged(m[0], at + m.start()))] for split in _SPLITS]
+    best = min(ways, key=lambda way: min((p for _, _, p in way), default=2.0))
+    # The better of two ways was picked, so a p-value counts twice.
+    return [(s, e, min(1.0, len(_SPLITS) * p)) for s, e, p in best]
+
+
 def candidates(text: str, found: list[Span]) -> list[tuple[int, int, float]]:
     """Runs outside the rules' spans that mix classes: start, end and p-value."""
     out = []
     for m in _RUN.finditer(text):
-        run = m[0]
-        digit = any(c in _DIGITS for c in run)
-        letters = (any(c in _LOWER for c in run)) + (any(c in _UPPER for c in run))
-        if digit + letters < 2 or not digit:
-            continue
-        if not any(s < m.end() and e > m.start() for _, s, e, _ in found):
-            out.append((m.start(), m.end(), p_value(run)))
+        if len(m[0]) >= SHORTEST:
+            out += [x for x in _parts(m[0], m.start()) if not any(s < x[1] and e > x[0] for _, s, e, _ in found)]
     return out
 
 

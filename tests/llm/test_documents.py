@@ -163,6 +163,21 @@ def test_battery_tells_random_from_written(spark):
     assert len(hits & set(range(50))) >= 40 and not hits - set(range(50))
 
 
+def test_battery_judges_values_and_glued_keys(spark):
+    """A random value behind a name and "=", or behind a path that its alphabet lacks."""
+    import random
+
+    rng = random.Random(6)
+    key = lambda name: "".join(rng.choice(secrets.ENCODINGS[name]) for _ in range(48))
+    ways = [lambda: "client_id=" + key("base62"), lambda: "http://h.example/a?sig=" + key("base64") + "==&v=1", lambda: "my-own_prefix/" + key("base62"), lambda: "a_very_long_name_of_it=" + key("base64url"), lambda: "the-prefix-" + key("base64")]
+    for way in ways:
+        rows = [(i, f"see {way()} there") for i in range(40)] + [(100 + i, "see name=internationalization_2 and path/to_some-release/notes-of_2024/final-version-1 there") for i in range(40)]
+        found = secrets.find(spark.createDataFrame(rows, "doc_id long, text string")).where("exists(spans, s -> s.kind = 'random')")
+        hits = {r["doc_id"] for r in found.collect()}
+        assert len(hits & set(range(40))) >= 32 and not hits - set(range(40))
+    assert [(s, e) for s, e, _ in secrets.candidates("x1=" + "aB3dE6gH9jK2mN5p==" + " =" + "1" * 15 + "a", [])] == [(3, 21), (23, 39)]
+
+
 def test_thresholds_control_each_band():
     counts = {(0, 0): 1000, (2, 90): 5, (2, 0): 1000}
     cut = secrets.thresholds(counts, 0.01)
