@@ -18,12 +18,14 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document (the smallest id) of each group of linked ones.
 
-    Documents with a null id stay; of rows that repeat an id one stays.
+    Documents with a null id stay; of rows that repeat id and text one stays.
     """
     linked = ngrams.link_documents(docs)
     kept = linked.where("doc_id = component_id").select(F.col("doc_id").alias("__kept"))
     named = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("__kept"), "left_semi")
-    return named.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    # By a digest, so that no text is a key.
+    single = named.withColumn("__digest", F.sha2("text", 256)).dropDuplicates(["doc_id", "__digest"]).drop("__digest")
+    return single.unionByName(docs.where("doc_id is null"))
 
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

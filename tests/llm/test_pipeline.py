@@ -50,6 +50,12 @@ def test_run_equals_the_stages_by_hand(spark, tables):
     assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
 
 
+def test_rows_of_one_id_with_other_texts_stay(spark, tables):
+    rows = [(1, "one text of its own about stones"), (1, "another text that nothing links to"), (1, "another text that nothing links to"), (1, None), (2, "a third one here with more words")]
+    kept = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), tables)
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted(set(rows), key=str)
+
+
 def test_stages_keep_the_columns(spark, documents, empty, tables):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, documents, tables).columns == documents.columns, name
