@@ -1,8 +1,10 @@
 """Vectorised words and hashes of whole Arrow string columns.
 
 All positions are bytes of UTF-8.  The separators of words are ASCII, so words can be
-found without decoding.  Hashes are 64-bit polynomials over random byte values, mixed
-at the end; they are the same on every machine and in every run.
+found without decoding.  Hashes have 64 bits and are trees of mixing steps that are not
+linear in any ring, so no family of texts collides by construction; they are the same on
+every machine and in every run.  Two lanes give two independent hashes: where equal
+hashes stand for equal texts over a whole corpus, both are used (128 bits).
 """
 
 from __future__ import annotations
@@ -29,40 +31,86 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _odd(seed: int) -> int:
-    return int(mix(np.array([seed], U))[0]) | 1
+#: Odd multipliers and a start value for each of two independent hashes ("lanes").
+_LANES = tuple((int(mix(np.array([k], U))[0]) | 1, int(mix(np.array([k + 1], U))[0]) | 1, int(mix(np.array([k + 2], U))[0])) for k in (11, 23))
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 
 
-class _Powers:
-    """Powers of an odd base and of its inverse modulo 2**64, grown when needed."""
-
-    def __init__(self, seed: int):
-        self.base = _odd(seed)
-        self.inverse = pow(self.base, -1, 1 << 64)
-        self.up = self.down = np.ones(1, U)
-
-    def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = 1 << max(16, (n - 1).bit_length())
-            one = np.full(size, self.base, U)
-            two = np.full(size, self.inverse, U)
-            one[0] = two[0] = 1
-            self.up, self.down = np.multiply.accumulate(one), np.multiply.accumulate(two)
-        return self.up, self.down
-
+def joined(a: np.ndarray, b: np.ndarray, lane: int = 0) -> np.ndarray:
+    """Hashes of the ordered pairs (a, b); for either value a bijection of the other one."""
+    one, two, _ = _LANES[lane]
+    x = a * U(one)
+    x ^= x >> U(29)
+    x += b
+    x *= U(two)
+    x ^= x >> U(32)
+    return x
 
-_BYTES = mix(np.arange(1, 257, dtype=U))
-_LOWER = _BYTES.copy()
-_LOWER[65:91] = _BYTES[97:123]
-_CHAR, _WORD, _WORD2 = _Powers(11), _Powers(23), _Powers(37)
 
+def run_hashes(values: np.ndarray, first: np.ndarray, end: np.ndarray, lane: int = 0) -> np.ndarray:
+    """Hashes of values[first:end] for each run: a binary tree over it, then its length.
 
-def span_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray, powers: _Powers) -> np.ndarray:
-    """Hashes of values[start:end] for each span."""
-    up, down = powers.to(len(values) + 1)
-    total = np.zeros(len(values) + 1, U)
-    np.cumsum(values * up[: len(values)], out=total[1:])
-    return mix((total[end] - total[start]) * down[start])
+    Neighbours are joined until one value is left, so nothing adds up as it would in a
+    polynomial, and a run of any length takes a few steps for all runs at once.
+    """
+    size = (end - first).astype(np.int64)
+    out = np.zeros(len(size), U)
+    live = np.flatnonzero(size > 0)
+    n = size[live]
+    at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    h = values[np.repeat(first[live], n) + at]
+    while len(live):
+        begin = np.cumsum(n) - n
+        single = n == 1
+        out[live[single]] = h[begin[single]]
+        if single.all():
+            break
+        if single.any():
+            h, at = h[np.repeat(~single, n)], at[np.repeat(~single, n)]
+            live, n = live[~single], n[~single]
+            begin = np.cumsum(n) - n
+        left = np.flatnonzero(at % 2 == 0)
+        paired = at[left] + 1 < np.repeat(n, (n + 1) // 2)
+        up = h[left]
+        up[paired] = joined(up[paired], h[left[paired] + 1], lane)
+        h, at, n = up, at[left] // 2, (n + 1) // 2
+    return mix(out + size.astype(U) * U(_LANES[lane][2] | 1))
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lane: int = 0) -> np.ndarray:
+    """Hashes of the bytes data[start:end] for each span, eight bytes at a time."""
+    size = (end - start).astype(np.int64)
+    padded = np.append(data, np.zeros(8, np.uint8))
+    octets = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))  # the eight bytes from each place on
+    masks = U(_MASK) >> np.arange(64, -1, -8).astype(U)
+    masks[0] = 0
+    salt = U(_LANES[lane][2])
+    out = mix((octets[start] & masks[np.minimum(size, 8)]) ^ salt)
+    if len(long := np.flatnonzero(size > 8)):
+        own = size[long]
+        pieces = (own + 7) // 8
+        last = np.cumsum(pieces)
+        at = (np.arange(int(last[-1])) - np.repeat(last - pieces, pieces)) * 8
+        value = octets[np.repeat(start[long], pieces) + at] & masks[np.minimum(np.repeat(own, pieces) - at, 8)]
+        out[long] = run_hashes(mix(value ^ salt), last - pieces, last, lane)
+    out += size.astype(U) * U(_LANES[lane][0])
+    return mix(out)
+
+
+def window_hashes(words: np.ndarray, begin: np.ndarray, size: int, lane: int = 0) -> np.ndarray:
+    """Hashes of words[b : b + size] for each b: windows of 1, 2, 4 ... words, joined by the bits of ``size``."""
+    if not len(begin):
+        return np.zeros(0, U)
+    level, width, offset, out = words, 1, 0, None
+    while True:
+        if size & width:
+            own = level[begin + offset]
+            out = own if out is None else joined(out, own, lane)
+            offset += width
+        if 2 * width > size:
+            return mix(out + U(size))
+        level, width = joined(level[:-width], level[width:], lane), 2 * width
 
 
 def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -127,15 +175,10 @@ class Words:
     def doc(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.counts)), self.counts)
 
-    def hashes(self, lower: bool = False) -> np.ndarray:
-        return span_hashes((_LOWER if lower else _BYTES)[self.buf], self.start, self.end, _CHAR)
+    def hashes(self, lower: bool = False, lane: int = 0) -> np.ndarray:
+        return span_hashes(_LOWER[self.buf] if lower else self.buf, self.start, self.end, lane)
 
     def windows(self, size: int) -> np.ndarray:
         """Indices of the words at which ``size`` words of one row begin."""
         room = np.repeat(self.first[1:], self.counts) - np.arange(len(self.start))
         return np.flatnonzero(room >= size)
-
-
-def sequence_hashes(words: np.ndarray, start: np.ndarray, end: np.ndarray, second: bool = False) -> np.ndarray:
-    """Hashes of words[start:end]; ``second`` gives an independent hash."""
-    return span_hashes(words ^ (words >> U(29)) if second else words, start, end, _WORD2 if second else _WORD)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._store import giving_back, small_batches
-from ._text import U, column_bytes, mix, span_hashes, _BYTES, _CHAR
+from ._text import U, column_bytes, mix, span_hashes
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -78,7 +78,7 @@ class PerfectHash:
 
 def _keys(values: Iterable[bytes]) -> np.ndarray:
     buf, off = column_bytes(pa.array(values, pa.binary()).cast(pa.large_binary()).view(pa.large_string()))
-    return span_hashes(_BYTES[buf], off[:-1], off[1:], _CHAR) + (off[1:] - off[:-1]).astype(U)
+    return span_hashes(buf, off[:-1], off[1:])
 
 
 class Vocabulary:

@@ -93,46 +93,3 @@ def build(hashes: DataFrame, bits: int, flags: tuple[str, ...] = ()) -> list[Bit
     for r in rows.mapInArrow(giving_back(run), "slice int, flag int, data binary").toLocalIterator():
         found[r["flag"]][r["slice"]] = bytes(r["data"])
     return [BitFilter(bits, f) for f in found]
-
-
-def build_repeated(hashes: DataFrame, bits: int) -> BitFilter:
-    """A filter of the values of the column h that come twice, or once where ``twice`` is true.
-
-    Memory does not depend on the rows: a value is taken for repeated when its bits have
-    been set before.
-    """
-    spark = hashes.sparkSession
-    rows = hashes.select("h", "twice").withColumn("slice", F.shiftrightunsigned("h", 64 - SLICES_LOG).cast("int"))
-    n = min(1 << SLICES_LOG, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = rows.repartition(n, "slice").sortWithinPartitions("slice")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        width = bits - SLICES_LOG
-        current, once, repeated = None, None, None
-
-        def done() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([current], pa.int32()), pa.array([np.packbits(repeated, bitorder="little").tobytes()], pa.binary())], ["slice", "data"])
-
-        for batch in batches:
-            h = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(U)
-            twice = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            piece = batch.column(2).to_numpy(zero_copy_only=False)
-            for s in np.unique(piece):
-                if s != current:
-                    if current is not None:
-                        yield done()
-                    current, once, repeated = int(s), np.zeros(1 << width, bool), np.zeros(1 << width, bool)
-                at = piece == s
-                own, first, count = np.unique(h[at], return_index=True, return_counts=True)
-                again = (count > 1) | twice[at][first]
-                seen = np.ones(len(own), bool)
-                for k in range(BitFilter.PROBES):
-                    seen &= once[_probes(own, bits, k)]
-                for k in range(BitFilter.PROBES):
-                    once[_probes(own, bits, k)] = True
-                    repeated[_probes(own[again | seen], bits, k)] = True
-        if current is not None:
-            yield done()
-
-    found = {r["slice"]: bytes(r["data"]) for r in rows.mapInArrow(giving_back(run), "slice int, data binary").toLocalIterator()}
-    return BitFilter(bits, found)

@@ -3,23 +3,28 @@
 Texts with equal sets form a class; only its smallest id goes on.  What could be linked
 is found with a prefix filter: sets at similarity t share one of the first
 n - ceil(t n) + 1 elements in any order that holds for all of them.  The order puts the
-shingles last that are frequent over all documents (counted in every task, from what comes twice among some
-million shingles on; at most 2 ** 20 kept), so passages that many documents share do not bring these together.
+shingles last that are frequent over all documents, so passages that many documents share
+do not bring these together.  All shingles of all documents are counted for that, by
+their leading bits: every task sends its sorted ones as packed differences (some three
+bytes each) to slices of the hash space, which count them.  The FREQUENT_MOST most
+frequent ones are sent to all tasks; any order gives the same links.
 
 * A rare shingle brings its documents together directly.  Such a pair goes on if its
   sizes, its places in the prefixes and then the two bitmap signatures allow enough
   overlap: bit i of a signature is the parity of the elements hashed to i, so two
   signatures differ in at most as many bits as the sets in elements.
 * Documents that have a frequent shingle in their prefix consist mostly of frequent
-  ones; all with the same one are put in one cluster.
+  ones; all with the same one are put in one cluster.  So are those of a shingle that
+  more than RUN_MOST prefixes hold, whether it is among the most frequent or not.
 
 Pairs and clusters are closed to groups of candidates.  Each group is cut into tiles of
 two neighbouring size bands (each 1.25 times the one before: further ones cannot reach
-the threshold), large tiles into blocks (see ``_verified``).  In a tile, bit counts of
+the threshold), large tiles into blocks of bounded rows and bytes (see ``_verified``).  In a tile, bit counts of
 the signatures bound every overlap from above before the sorted arrays are intersected,
 pairs that are connected already are passed over, and only a spanning forest leaves.
 
-Elements are 64-bit hashes of shingles, classes 128-bit hashes of sets.  A null or
+Elements are 64-bit hashes of shingles (two of the texts that are compared share one by
+chance with probability n ** 2 / 2 ** 64), classes 128-bit hashes of sets.  A null or
 empty text has no shingles and links with nothing.  A null id keeps its row with a null
 component.  Rows that repeat an id are one node.
 """
@@ -33,14 +38,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._packed import count_bits, sliced, slices_for, unpacked
 from ._store import giving_back, materialize, partitions, small_batches
-from ._text import U, Words, chunks, mix, sequence_hashes
+from ._text import U, Words, chunks, mix, run_hashes, window_hashes
 from .components import connected_components
 
-#: A shingle is frequent from so many documents on; more than FREQUENT_MOST are not kept.
+#: A shingle is frequent from so many documents on; the order knows the FREQUENT_MOST commonest.
 FREQUENT_FROM, FREQUENT_MOST = 24, 1 << 20
-#: Shingles that a task sorts at once to count them (32 MB).
-SORTED_AT_ONCE = 1 << 22
+#: From so many prefixes on, the documents of a shingle are a cluster and no pairs.
+RUN_MOST = 64
+#: Shingles that a task sorts and sends at once to be counted (8 MB).
+SORTED_AT_ONCE = 1 << 20
+#: Rows and bytes of a block of a tile.
+BLOCK, BLOCK_BYTES = 256, 4 << 20
 
 
 class Sets:
@@ -51,7 +61,7 @@ class Sets:
         h = w.hashes(lower=True)
         begin = w.windows(size)
         short = np.flatnonzero((w.counts > 0) & (w.counts < size))
-        value = np.concatenate([sequence_hashes(h, begin, begin + size), sequence_hashes(h, w.first[short], w.first[short + 1])])
+        value = np.concatenate([window_hashes(h, begin, size), run_hashes(h, w.first[short], w.first[short + 1], 1)])
         doc = np.concatenate([w.doc[begin], short])
         order = np.lexsort((value, doc))
         value, doc = value[order], doc[order]
@@ -102,57 +112,71 @@ def _ids(batch: pa.RecordBatch) -> np.ndarray:
     return batch.column(0).to_numpy(zero_copy_only=False)
 
 
-def _summaries(texts: DataFrame, size: int) -> DataFrame:
-    """Rows of documents (kind 0: n, digests, signature) and of frequent shingles (kind 1)."""
-
-    def counted(values: list[np.ndarray], counts: list[np.ndarray] | None, least: int) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct values with their sums, those of at least ``least``."""
-        value = np.concatenate(values) if values else np.zeros(0, U)
-        order = np.argsort(value, kind="stable") if counts else None
-        value = value[order] if counts else np.sort(value)
-        edge = np.flatnonzero(np.append(True, value[1:] != value[:-1])) if len(value) else np.zeros(0, np.int64)
-        total = np.add.reduceat(np.concatenate(counts)[order], edge) if counts and len(edge) else np.diff(np.append(edge, len(value)))
-        often = total >= least
-        return value[edge[often]], total[often]
+def _summaries(texts: DataFrame, size: int, bits: int, slices: int) -> DataFrame:
+    """Rows of documents (kind 0: n, digests, signature) and of packed shingles (kind 1:
+    the slice as id)."""
+    own = (slices - 1).bit_length()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["kind", "id", "n", "s1", "s2", "bits"]
         open_, room = [], 0
-        twice: list[np.ndarray] = []
-        times: list[np.ndarray] = []
 
-        def close() -> None:
-            value, count = counted(open_, None, 2)
-            twice.append(value)
-            times.append(count)
+        def sent() -> pa.RecordBatch:
+            live, data = sliced(np.concatenate(open_) if open_ else np.zeros(0, U), bits, own)
+            none = pa.nulls(len(live), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(live), np.int32)), pa.array(live.astype(np.int64)), none, none, none, pa.array(data, pa.binary())], names)
 
         for batch in batches:
             for part in chunks(batch, "text"):
                 s = Sets(part.column(1), size)
                 one, two = s.digests()
-                bits = [signature(s[d], width_of(n)).tobytes() if n else b"" for d, n in enumerate(s.size.tolist())]
+                marks = [signature(s[d], width_of(n)).tobytes() if n else b"" for d, n in enumerate(s.size.tolist())]
                 m = part.num_rows
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), part.column(0), pa.array(s.size.astype(np.int64)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(bits, pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), part.column(0), pa.array(s.size.astype(np.int64)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(marks, pa.binary())], names)
                 open_.append(s.value)
                 room += len(s.value)
                 if room >= SORTED_AT_ONCE:
-                    close()
+                    yield sent()
                     open_, room = [], 0
-        close()
-        value, count = counted(twice, times, 2)
-        none = pa.nulls(len(value), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(value), np.int32)), none, pa.array(count.astype(np.int64)), pa.array(value.view(np.int64)), none, pa.nulls(len(value), pa.binary())], names)
+        yield sent()
 
     return texts.mapInArrow(giving_back(run), "kind int, id long, n long, s1 long, s2 long, bits binary")
 
 
-def _frequent(summaries: DataFrame) -> np.ndarray:
-    counts = summaries.where("kind = 1").groupBy("s1").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT_FROM)
-    found = counts.orderBy(F.desc("n"), "s1").limit(FREQUENT_MOST).select("s1").toArrow()  # 8 MB at most
+def _counted(summaries: DataFrame, bits: int, slices: int) -> DataFrame:
+    """(value, n) of the leading bits of shingles that are in FREQUENT_FROM documents or more."""
+    own = (slices - 1).bit_length()
+    n = max(2, min(slices, partitions(summaries.sparkSession)))
+    rows = summaries.where("kind = 1").select("id", "bits").repartition(n, "id").sortWithinPartitions("id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, held = None, []
+
+        def done() -> pa.RecordBatch:
+            value = np.sort(np.concatenate(held)) if held else np.zeros(0, U)
+            edge = np.flatnonzero(np.append(True, value[1:] != value[:-1])) if len(value) else np.zeros(0, np.int64)
+            count = np.diff(np.append(edge, len(value)))
+            often = count >= FREQUENT_FROM
+            found = value[edge[often]] | (U(current or 0) << U(bits - own))
+            return pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(count[often])], ["value", "n"])
+
+        for batch in batches:
+            for piece, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if piece != current:
+                    yield done()
+                    current, held = piece, []
+                held.append(unpacked(data.as_py()))
+        yield done()
+
+    return rows.mapInArrow(giving_back(run), "value long, n long")
+
+
+def _frequent(counts: DataFrame) -> np.ndarray:
+    found = counts.orderBy(F.desc("n"), "value").limit(FREQUENT_MOST).select("value").toArrow()  # 8 MB at most
     return np.sort(found.column(0).to_numpy().view(U))
 
 
-def _prefixes(texts: DataFrame, frequent: np.ndarray, size: int, percent: int) -> DataFrame:
+def _prefixes(texts: DataFrame, frequent: np.ndarray, bits: int, size: int, percent: int) -> DataFrame:
     """id, n, prefix and how many of its first elements are rare."""
     shared = texts.sparkSession.sparkContext.broadcast(frequent)
 
@@ -163,8 +187,9 @@ def _prefixes(texts: DataFrame, frequent: np.ndarray, size: int, percent: int) -
                 s = Sets(part.column(1), size)
                 hot = np.zeros(len(s.value), bool)
                 if len(often):
-                    at = np.minimum(np.searchsorted(often, s.value), len(often) - 1)
-                    hot = often[at] == s.value
+                    value = s.value >> U(64 - bits)
+                    at = np.minimum(np.searchsorted(often, value), len(often) - 1)
+                    hot = often[at] == value
                 order = np.lexsort((s.value, hot, s.doc))
                 place = np.arange(len(order)) - s.first[s.doc]
                 length = np.where(s.size > 0, prefix_length(s.size, percent), 0)
@@ -179,61 +204,54 @@ def _prefixes(texts: DataFrame, frequent: np.ndarray, size: int, percent: int) -
 
 
 def _rare_pairs(entries: DataFrame, percent: int) -> DataFrame:
-    """Pairs of documents with a rare shingle in both prefixes, where sizes and places allow it."""
+    """(a, b, sure) of documents with a rare shingle in both prefixes.
+
+    Pairs whose sizes and places allow a link; and, not ``sure``, the first document of a
+    shingle that more than RUN_MOST prefixes hold with each of the others.  No more than
+    RUN_MOST rows of a shingle are held at a time.
+    """
     n = max(2, partitions(entries.sparkSession))
     entries = entries.select("token", "id", "n", "at").repartition(n, "token").sortWithinPartitions("token", "n", "id")
 
     def pairs(token: np.ndarray, doc: np.ndarray, size: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        same = token[1:] == token[:-1]
-        shift = 1
-        while same.any():  # each row with the one ``shift`` rows later in its run
-            i = np.flatnonzero(same)
+        for shift in range(1, RUN_MOST):  # each row with the one ``shift`` rows later in its run
+            i = np.flatnonzero(token[shift:] == token[:-shift]) if shift < len(token) else ()
+            if not len(i):
+                return
             j = i + shift
-            fits = size[i] * 100 >= size[j] * percent
             most = np.minimum(at[i], at[j]) + np.minimum(size[i] - at[i], size[j] - at[j])
-            good = fits & (most >= needed(size[i], size[j], percent)) & (doc[i] != doc[j])
+            good = (size[i] * 100 >= size[j] * percent) & (most >= needed(size[i], size[j], percent)) & (doc[i] != doc[j])
             yield doc[i[good]], doc[j[good]]
-            shift += 1
-            if shift >= len(token):
-                return
-            # Sizes rise inside a run: once too far apart, later rows are too.
-            reach = np.zeros(max(0, len(token) - shift), bool)
-            k = i[fits]
-            k = k[k + shift < len(token)]
-            reach[k] = token[k + shift] == token[k]
-            same = reach
+
+    def made(columns: list[np.ndarray], whole: bool) -> tuple[list[np.ndarray], pa.RecordBatch]:
+        """What must wait for more rows, and the links of the rest."""
+        token, doc, size, at = columns
+        edge = np.flatnonzero(np.append(True, token[1:] != token[:-1])) if len(token) else np.zeros(0, np.int64)
+        length = np.diff(np.append(edge, len(token)))
+        run_of = np.repeat(np.arange(len(edge)), length)
+        cut = len(token) if whole or not len(edge) else int(edge[-1])
+        long = length > RUN_MOST
+        star = np.flatnonzero(long[run_of] & (doc != doc[edge[run_of]])) if len(token) else edge
+        a, b, sure = [doc[edge[run_of[star]]]], [doc[star]], [np.zeros(len(star), bool)]
+        rows = np.flatnonzero((~long & (length > 1))[run_of] & (np.arange(len(token)) < cut)) if len(token) else edge
+        for x, y in pairs(token[rows], doc[rows], size[rows], at[rows]):
+            a.append(x), b.append(y), sure.append(np.ones(len(x), bool))
+        one, two = np.concatenate(a), np.concatenate(b)
+        links = np.unique(np.column_stack([np.minimum(one, two), np.maximum(one, two), np.concatenate(sure)]), axis=0)
+        batch = pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1]), pa.array(links[:, 2] > 0)], ["a", "b", "sure"])
+        # Of a long run that goes on its first rows are kept, so that it stays long.
+        keep = [x[cut:][: RUN_MOST + 1] if len(edge) and long[-1] else x[cut:] for x in columns]
+        return keep, batch
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None
+        held = [np.zeros(0, np.int64)] * 4
         for batch in batches:
             now = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]
-            if held is not None:
-                now = [np.concatenate(x) for x in zip(held, now)]
-            if not len(now[0]):
-                continue
-            cut = int(np.searchsorted(now[0], now[0][-1]))  # the last run may go on
-            held = [x[cut:] for x in now]
-            yield from made([x[:cut] for x in now])
-        if held is not None:
-            yield from made(held)
-
-    def made(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        if len(columns[0]) < 2:
-            return
-        # Only rows in runs of two and more.
-        token = columns[0]
-        run_of = np.zeros(len(token), bool)
-        twin = token[1:] == token[:-1]
-        run_of[1:] |= twin
-        run_of[:-1] |= twin
-        found = list(pairs(*(c[run_of] for c in columns)))
-        if not found:
-            return
-        a, b = (np.concatenate(x) for x in zip(*found))
-        both = np.unique(np.column_stack([np.minimum(a, b), np.maximum(a, b)]), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
-
-    return entries.mapInArrow(giving_back(run), "a long, b long").distinct()
+            held, out = made([np.concatenate(x) for x in zip(held, now)], False)
+            yield out
+        yield made(held, True)[1]
+
+    return entries.mapInArrow(giving_back(run), "a long, b long, sure boolean").distinct()
 
 
 def _bounded(pairs: DataFrame, documents: DataFrame, percent: int) -> DataFrame:
@@ -328,10 +346,10 @@ def _tiles(rows: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(giving_back(run), "a long, b long")
 
 
-def _verified(texts: DataFrame, groups: DataFrame, size: int, percent: int, block: int) -> DataFrame:
+def _verified(texts: DataFrame, groups: DataFrame, size: int, percent: int, block: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Links (a spanning forest in each tile) among the documents of each group.
 
-    A large tile is cut into blocks.  Each block is joined in itself; then the smallest
+    A large tile is cut into blocks of about ``block`` rows and ``block_bytes`` at most.  Each block is joined in itself; then the smallest
     ids of what has come together meet, which connects most of a group of near copies;
     at last only the rows outside the largest part of a tile are sent to all its blocks,
     so a group that hangs together is never dealt out pair by pair.
@@ -349,9 +367,13 @@ def _verified(texts: DataFrame, groups: DataFrame, size: int, percent: int, bloc
 
     tile, none = ["component", "tile"], F.lit(None)
     made = materialize(members.mapInArrow(giving_back(sets), "component long, id long, band int, raw binary"), "sets", large=True)
-    counts = made.groupBy("component", "band").agg(F.count("*").alias("m"))
-    held = counts.select("component", F.explode(F.array("band", F.col("band") - 1)).alias("tile"), "m").groupBy(*tile).agg(F.sum("m").alias("m")).where("m > 1")
-    held = materialize(held.select(*tile, F.ceil(F.col("m") / block).cast("int").alias("nb")), "tiles")
+    # The blocks that a number of rows of that many bytes needs.
+    def blocks(count: Column, size: Column) -> Column:
+        return F.greatest(F.ceil(count / block), F.ceil(size / block_bytes)).cast("int")
+
+    counts = made.groupBy("component", "band").agg(F.count("*").alias("m"), F.sum(F.octet_length("raw")).alias("w"))
+    held = counts.select("component", F.explode(F.array("band", F.col("band") - 1)).alias("tile"), "m", "w").groupBy(*tile).agg(F.sum("m").alias("m"), F.sum("w").alias("w")).where("m > 1")
+    held = materialize(held.select(*tile, F.least("m", blocks(F.col("m"), F.col("w"))).cast("int").alias("nb")), "tiles")
     rows = made.withColumn("tile", F.explode(F.array("band", F.col("band") - 1))).drop("band")
     rows = rows.join(held, tile).withColumn("lo", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
     open_ = [none.cast("long").alias("part"), none.cast("boolean").alias("asking")]
@@ -365,20 +387,18 @@ def _verified(texts: DataFrame, groups: DataFrame, size: int, percent: int, bloc
         parts = connected_components(links).withColumnRenamed("component", "part")
         return materialize(large.join(parts, "id", "left").withColumn("part", F.coalesce("part", "id")), "parts")
 
-    def blocks(count: Column) -> Column:
-        return F.ceil(count / block).cast("int")
-
     # The first of each part, all with all in blocks.
     firsts = with_parts(links).groupBy(*tile, "part").agg(F.min_by(F.struct("id", "raw"), "id").alias("f")).select(*tile, "part", "f.*")
     firsts = materialize(firsts, "firsts")
-    firsts = firsts.join(firsts.groupBy(*tile).agg(blocks(F.count("*")).alias("nb")), tile)
+    firsts = firsts.join(firsts.groupBy(*tile).agg(blocks(F.count("*"), F.sum(F.octet_length("raw"))).alias("nb")), tile)
     firsts = firsts.withColumn("own", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     links = materialize(links.union(_tiles(firsts.select(*tile, F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "id", "raw", "part", open_[1]), percent)), "firsts")
     # Rows outside the largest part ask all others.
     parted = with_parts(links)
-    sizes = parted.groupBy(*tile, "part").agg(F.count("*").alias("m"))
-    main = sizes.groupBy(*tile).agg(F.max_by("part", F.struct("m", -F.col("part"))).alias("main"), F.sum("m").alias("all"), F.max("m").alias("most"))
-    main = materialize(main.where("all > most").select(*tile, "main", blocks(F.col("all") - F.col("most")).alias("ask_nb")), "main")
+    sizes = parted.groupBy(*tile, "part").agg(F.count("*").alias("m"), F.sum(F.octet_length("raw")).alias("w"))
+    largest = F.struct("m", -F.col("part"))
+    main = sizes.groupBy(*tile).agg(F.max_by("part", largest).alias("main"), F.sum("m").alias("all"), F.max("m").alias("most"), F.sum("w").alias("bytes"), F.max_by("w", largest).alias("own"))
+    main = materialize(main.where("all > most").select(*tile, "main", blocks(F.col("all") - F.col("most"), F.col("bytes") - F.col("own")).alias("ask_nb")), "main")
     parted = parted.join(main, tile).withColumn("asking", F.col("part") != F.col("main"))
     parted = parted.withColumn("lo", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int")).withColumn("hi", F.pmod(F.xxhash64(F.lit(1), "id"), F.col("ask_nb")).cast("int"))
     # Tile (lo, hi): the rows of block lo, and the asking rows of their block hi.
@@ -388,17 +408,19 @@ def _verified(texts: DataFrame, groups: DataFrame, size: int, percent: int, bloc
     return links.union(_tiles(settled.select(*columns).union(asking.select(*columns)), percent))
 
 
-def link_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, block: int = 2048) -> DataFrame:
+def link_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, block: int = BLOCK) -> DataFrame:
     """One row per document: id, n_shingles and component_id (the smallest id reached)."""
     texts = small_batches(df).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    summaries = materialize(_summaries(texts, words), "summaries", large=True)
+    bits, slices = count_bits(texts), slices_for(texts)
+    summaries = materialize(_summaries(texts, words, bits, slices), "summaries", large=True)
     documents = summaries.where("kind = 0").select("id", "n", "s1", "s2", "bits")
     classes = materialize(documents.where("n > 0 and id is not null").groupBy("s1", "s2").agg(F.min("id").alias("rep")), "classes")
     reps = classes.select(F.col("rep").alias("id")).distinct()
-    prefixes = _prefixes(texts.where("id is not null"), _frequent(summaries), words, percent).join(reps, "id", "left_semi")
+    prefixes = _prefixes(texts.where("id is not null"), _frequent(_counted(summaries, bits, slices)), bits, words, percent).join(reps, "id", "left_semi")
     prefixes = materialize(prefixes, "prefixes", large=True)
     entries = prefixes.select("id", "n", "rare", F.posexplode("prefix").alias("at", "token"))
-    pairs = _bounded(_rare_pairs(entries.where("at < rare"), percent), documents.where("n > 0"), percent)
+    rare = materialize(_rare_pairs(entries.where("at < rare"), percent), "rare", large=True)
+    pairs = _bounded(rare.where("sure").select("a", "b"), documents.where("n > 0"), percent).union(rare.where("not sure").select("a", "b"))
     frequent = _frequent_links(prefixes.where("rare < size(prefix)").select("id", F.explode(F.slice("prefix", F.col("rare") + 1, F.size("prefix") - F.col("rare"))).alias("token")))
     groups = connected_components(pairs.union(frequent))
     links = _verified(texts.where("id is not null"), groups, words, percent, block)

@@ -6,7 +6,8 @@ import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from chronospark.llm._text import U, Words, chunks, sequence_hashes
+from chronospark.llm._packed import packed, sliced, unpacked
+from chronospark.llm._text import U, Words, chunks, run_hashes, span_hashes, window_hashes
 from chronospark.llm.filters import BitFilter, _probes, size_for
 
 TEXTS = st.lists(st.one_of(st.none(), st.text(alphabet="ab é\n\t\x0b🙂", max_size=30)), max_size=8)
@@ -32,7 +33,7 @@ def test_hashes_follow_equality(texts):
         assert seen.setdefault(raw[s:e], x) == x
     assert len(set(seen.values())) == len(seen)
     begin = w.windows(3)
-    windows = sequence_hashes(h, begin, begin + 3).tolist()
+    windows = window_hashes(h, begin, 3).tolist()
     words = [raw[s:e] for s, e in zip(w.start, w.end)]
     by = {}
     for b, x in zip(begin.tolist(), windows):
@@ -63,3 +64,44 @@ def test_bit_filter():
             raw[_probes(np.array([x], U), bits, k)] = True
     f = BitFilter(bits, {s: np.packbits(r, bitorder="little").tobytes() for s, r in slices.items()})
     assert f.test(h[:1000]).all() and f.test(h[1000:]).mean() < 0.02
+
+
+def test_hashes_do_not_depend_on_what_stands_around():
+    rng = random.Random(2)
+    data = bytes(rng.randrange(97, 100) for _ in range(3000))
+    spans = [(s, min(len(data), s + rng.choice([0, 1, 7, 8, 9, 16, 17, 300]))) for s in (rng.randrange(3000) for _ in range(400))]
+    buf = np.frombuffer(data, np.uint8)
+    by = {}
+    for lane in (0, 1):
+        got = span_hashes(buf, np.array([s for s, _ in spans]), np.array([e for _, e in spans]), lane)
+        for (s, e), h in zip(spans, got.tolist()):
+            assert by.setdefault((lane, data[s:e]), h) == h == int(span_hashes(np.frombuffer(data[s:e], np.uint8), np.array([0]), np.array([e - s]), lane)[0])
+    assert len(set(by.values())) == len(by)
+    words = np.array([rng.randrange(4) for _ in range(200)], U)
+    for size in (1, 2, 3, 5, 25, 50):
+        begin = np.arange(200 - size)
+        seen = {}
+        for b, h in zip(begin.tolist(), window_hashes(words, begin, size).tolist()):
+            assert seen.setdefault(tuple(words[b : b + size].tolist()), h) == h
+        assert len(set(seen.values())) == len(seen)
+        runs = run_hashes(words, begin, begin + size)
+        assert len(set(runs.tolist())) == len(seen)
+
+
+def test_long_words_of_two_letters_have_their_own_hashes():
+    """Thue-Morse words collide in any polynomial hash modulo a power of two."""
+    bits = [bin(i).count("1") % 2 for i in range(1 << 12)]
+    for n in (1024, 2048, 4096):
+        w = Words(pa.array(["".join("ab"[x] for x in bits[:n]), "".join("ba"[x] for x in bits[:n])]))
+        assert all(len(set(w.hashes(lane=lane).tolist())) == 2 for lane in (0, 1))
+
+
+def test_packed_values():
+    rng = np.random.default_rng(1)
+    for n, top in ((0, 1), (1, 2**50), (1000, 2**20), (1000, 2**52), (5, 3)):
+        value = np.sort(rng.integers(0, top, n, dtype=np.uint64))
+        assert (unpacked(packed(value)) == value).all()
+    value = rng.integers(0, 2**64, 500_000, dtype=np.uint64)
+    live, data = sliced(value, 40, 4)
+    back = np.concatenate([unpacked(d) | (U(i) << U(36)) for i, d in zip(live, data)])
+    assert (back == np.sort(value >> U(24))).all() and sum(map(len, data)) < 4 * 500_000
