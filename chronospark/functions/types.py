@@ -42,7 +42,7 @@ CHANNELS = _schema(
 FILES = _schema(
     "file string, version int, integrity string, metablock_crc string, compression string, file_size long, header_bytes int, metablock_bytes int,"
     " created_utc string, creator string, reason string, tag string, comment string, namespace_sep string, latitude double, longitude double,"
-    " altitude double, trailer_seen boolean, truncated boolean, error string"
+    " altitude double, trailer_seen boolean, truncated boolean, error string, warnings string"
 )
 INFOS = _schema("file string, name string, value string, datatype string, unit string")
 BLOCKS = _schema(

@@ -8,21 +8,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.bands import lerp
-from .ordered import DAY_NS, time_bucket, with_nearest
+from .ordered import bucket_size, time_bucket, with_nearest
 
 METHODS = ("linear", "nearest", "zoh")
 
 
-def asof(probe: DataFrame, source: DataFrame, method: str = "linear", by: Sequence[str] = (), bucket_ns: int = DAY_NS, order: str = "ord", value: str = "v") -> DataFrame:
+def asof(probe: DataFrame, source: DataFrame, method: str = "linear", by: Sequence[str] = (), bucket_ns: int | None = None, order: str = "ord", value: str = "v") -> DataFrame:
     """The probe's rows with the source's value at their times as ``found``.
 
     linear interpolates and is constant outside; nearest takes the closer sample, the
     earlier of two as close; zoh holds the last value.  Of source rows with equal times
     the last in order counts.  The two sides are merged by time in buckets, so no join
-    on inequalities and no single sorted task is needed.
+    on inequalities and no single sorted task is needed; buckets follow the counts.
     """
     if method not in METHODS:
         raise ValueError(f"method is one of {', '.join(METHODS)}, not {method!r}")
+    if bucket_ns is None:  # such that neither side has too many rows in one
+        bucket_ns = bucket_size(source, by, size=bucket_size(probe, by))
     points = source.where(F.col("ts_ns").isNotNull() & F.col(value).isNotNull()).groupBy(*by, "ts_ns").agg(F.max_by(value, order).alias("__sv"))
     columns = probe.columns
     left = probe.select(*[F.col(c) for c in columns], F.lit(None).cast("struct<t:bigint,v:double>").alias("__p"), F.lit(1).alias("__side"))

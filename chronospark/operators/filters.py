@@ -23,12 +23,25 @@ def by_datatype(df: DataFrame, *datatypes: str) -> DataFrame:
     return df.where(F.col("datatype").isin(*datatypes))
 
 
-def by_names(df: DataFrame, names: Sequence[str] | None) -> DataFrame:
-    """Names without regard to case; no list means all."""
-    return df if not names else df.where(F.lower("channel").isin([n.lower() for n in names]))
+def by_names(df: DataFrame, names: Sequence[str] | None, known: Sequence[str] | None = None) -> DataFrame:
+    """Names without regard to case; no list means all.
 
+    With the ``known`` spellings (names of definitions) the filter is one on the stored
+    column, which reaches the scan.
+    """
+    if not names:
+        return df
+    wanted = {n.lower() for n in names}
+    if known is not None:
+        return df.where(F.col("channel").isin([k for k in known if k.lower() in wanted]))
+    return df.where(F.lower("channel").isin(sorted(wanted)))
+
+
+def by_mask(df: DataFrame, mask: str, column: str = "channel", known: Sequence[str] | None = None) -> DataFrame:
+    if known is not None:
+        import re
 
-def by_mask(df: DataFrame, mask: str, column: str = "channel") -> DataFrame:
+        return df.where(F.col(column).isin([k for k in known if re.search(mask_pattern(mask), k.lower())]))
     return df.where(F.lower(column).rlike(mask_pattern(mask)))
 
 

@@ -13,15 +13,32 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Nanoseconds of a bucket of times, and rows of a bucket of dense ids.
+#: Nanoseconds of a bucket of times to begin with, and rows of a bucket of dense ids.
 DAY_NS = 86_400_000_000_000
 ID_BUCKET = 1 << 16
+#: Rows that a bucket of times may hold of one key, and how often smaller ones are tried.
+BUCKET_ROWS, BUCKET_TRIALS = 1 << 22, 6
 
 
 def time_bucket(ts_ns: Column, size: int = DAY_NS) -> Column:
     return F.floor(ts_ns / F.lit(size)).cast("long")
 
 
+def bucket_size(df: DataFrame, keys: Sequence[str], column: str = "ts_ns", size: int = DAY_NS, rows: int = BUCKET_ROWS) -> int:
+    """Nanoseconds of a bucket such that the fullest one of any key holds about ``rows`` rows.
+
+    Only the fullest bucket's count and extent go to the driver for each trial; a key whose
+    times are dense in places needs several.  Rows with equal times cannot be told apart and stay together.
+    """
+    for _ in range(BUCKET_TRIALS):
+        counts = df.groupBy(*keys, time_bucket(F.col(column), size).alias("__bucket")).agg(F.count("*").alias("n"), (F.max(column) - F.min(column) + 1).alias("span"))
+        most = counts.agg(F.max(F.struct("n", "span")).alias("m")).first()["m"]
+        if most is None or most["n"] <= rows or size <= 1:
+            break
+        size = max(1, min(size // 2, (most["span"] or 1) * rows // most["n"]))
+    return size
+
+
 def id_bucket(ord_: Column, size: int = ID_BUCKET) -> Column:
     return F.floor(ord_ / F.lit(size)).cast("long")
 
@@ -40,6 +57,17 @@ def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str],
     return place.join(table, [*keys, "__bucket"]).withColumn(name, F.col("__before") + F.col("__at")).drop("__bucket", "__before", "__at")
 
 
+def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], bucket: Column, value: Column, name: str = "total") -> DataFrame:
+    """The sum of a value over the rows of the key up to and with each row."""
+    rows = df.withColumn("__bucket", bucket).withColumn("__x", value)
+    before = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    table = rows.groupBy(*keys, "__bucket").agg(F.sum("__x").alias("__n"))
+    table = table.select(*keys, "__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    inside = F.sum("__x").over(_inside(keys, order).rowsBetween(Window.unboundedPreceding, 0))
+    out = rows.withColumn("__at", inside).join(table, [*keys, "__bucket"])
+    return out.withColumn(name, F.col("__before") + F.coalesce("__at", F.lit(0))).drop("__bucket", "__x", "__before", "__at")
+
+
 def with_next(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, values: dict[str, str]) -> DataFrame:
     """Columns of the following row of the same key: {new name: column}."""
     return _neighbour(df, keys, order, bucket, values, True)

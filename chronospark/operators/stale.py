@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import time_bucket, with_next
+from .ordered import bucket_size, time_bucket, with_next
 
 #: The default interval: 100 s.
 INTERVAL_NS = 100_000_000_000
@@ -16,7 +16,7 @@ def reemit_stale(samples: DataFrame, interval_ns: int = INTERVAL_NS, end_ns: int
 
     With ``end_ns`` the last value of each channel is sent again up to that time.
     """
-    rows = with_next(samples, ["channel"], ["ts_ns", "ord"], time_bucket(F.col("ts_ns")), {"__next": "ts_ns"})
+    rows = with_next(samples, ["channel"], ["ts_ns", "ord"], time_bucket(F.col("ts_ns"), bucket_size(samples, ["channel"])), {"__next": "ts_ns"})
     if end_ns is not None:
         rows = rows.withColumn("__next", F.coalesce("__next", F.lit(end_ns + 1)))
     count = F.call_function("div", F.col("__next") - F.col("ts_ns") - 1, F.lit(interval_ns))

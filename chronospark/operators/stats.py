@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.bands import band_index
 from .asof import asof
 from .filters import by_names, interval
-from .ordered import time_bucket, with_next
+from .ordered import bucket_size, time_bucket, with_next
 
 #: Inner bounds of the default bands, e.g. of a speed in km/h.
 BOUNDS = (30, 50, 80, 110)
@@ -33,8 +33,35 @@ def with_empty(stats: DataFrame, channels: DataFrame) -> DataFrame:
     return out.withColumn("n", F.coalesce("n", F.lit(0)))
 
 
+#: Precision of the quantiles between which an exact median is looked for.
+MEDIAN_ACCURACY = 10_000
+
+
+def median(samples: DataFrame, keys: Sequence[str] = ("channel",), value: str = "v") -> DataFrame:
+    """The exact median of each key as ``med``, without all values of a key in one place.
+
+    A quantile sketch of bounded size gives two values that the median lies between; the
+    rows below are counted, and only the few in between are put in order, by their
+    distinct values.  NaN is the largest value, nulls do not count.
+    """
+    v, slack = F.col(value).cast("double"), 2.0 / MEDIAN_ACCURACY
+    rows = samples.where(F.col(value).isNotNull()).select(*keys, v.alias("__v"))
+    near = rows.groupBy(*keys).agg(F.percentile_approx("__v", [max(0.0, 0.5 - slack), 0.5 + slack], MEDIAN_ACCURACY).alias("__q"), F.count("*").alias("__n"))
+    joined = rows.join(near, list(keys)) if keys else rows.crossJoin(F.broadcast(near))
+    lo, hi = F.col("__q")[0], F.col("__q")[1]
+    below = joined.groupBy(*keys).agg(F.count_if(F.col("__v") < lo).alias("__below"))
+    inside = joined.where((F.col("__v") >= lo) & (F.col("__v") <= hi)).groupBy(*keys, "__v").agg(F.count("*").alias("__m"), F.first("__n").alias("__n"))
+    over = Window.partitionBy(*keys).orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
+    placed = (inside.join(below, list(keys)) if keys else inside.crossJoin(F.broadcast(below))).withColumn("__end", F.col("__below") + F.sum("__m").over(over))
+    first, second = F.floor((F.col("__n") - 1) / 2), F.floor(F.col("__n") / 2)  # 0-based places of the middle
+    at = lambda k: F.max(F.when((F.col("__end") > k) & (F.col("__end") - F.col("__m") <= k), F.col("__v")))
+    return placed.groupBy(*keys).agg(at(first).alias("__a"), at(second).alias("__b")).select(*keys, (F.col("__a") + (F.col("__b") - F.col("__a")) * 0.5).alias("med"))
+
+
 def describe_numeric(samples: DataFrame, value: str = "v") -> DataFrame:
-    return samples.groupBy("channel").agg(F.min(value).alias("vmin"), F.max(value).alias("vmax"), F.avg(value).alias("mean"), F.median(value).alias("med"))
+    """Extremes, mean and exact median of each channel."""
+    made = samples.groupBy("channel").agg(F.min(value).alias("vmin"), F.max(value).alias("vmax"), F.avg(value).alias("mean"))
+    return made.join(median(samples, ("channel",), value), "channel", "left").select("channel", "vmin", "vmax", "mean", "med")
 
 
 def extent(samples: DataFrame) -> DataFrame:
@@ -48,7 +75,7 @@ def y_range(samples: DataFrame, value: str = "v") -> DataFrame:
 
 def forward_diff(samples: DataFrame, bucket_ns: int | None = None) -> DataFrame:
     """dur_ns: time to the next sample of the channel; null for the last."""
-    bucket = time_bucket(F.col("ts_ns")) if bucket_ns is None else time_bucket(F.col("ts_ns"), bucket_ns)
+    bucket = time_bucket(F.col("ts_ns"), bucket_ns or bucket_size(samples, ["channel"]))
     out = with_next(samples, ["channel"], ["ts_ns", "ord"], bucket, {"next_ts": "ts_ns"})
     return out.withColumn("dur_ns", F.col("next_ts") - F.col("ts_ns")).drop("next_ts")
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import id_bucket, running_sum, with_nearest
+
 _MAX, _MIN = (1 << 63) - 1, -(1 << 63)
 
 
@@ -15,8 +17,12 @@ def _saturated(sum_: Column, up: Column) -> Column:
 def equidistant_ts(start_ns: Column, rate_hz: Column, i: Column, model: str = "exact") -> Column:
     """Time of sample i: start + trunc(i * 1e9 / rate), at the ends of the range at most.
 
-    A rate of 0 or below keeps the start.  The model "rounded" uses a whole increment.
+    A rate of 0 or below keeps the start.  The model "rounded" uses a whole increment; in
+    the model "increment" the second column is that increment in nanoseconds, and i counts
+    from the channel's first sample whatever the segments are.
     """
+    if model == "increment":  # the sample's place times the channel's increment in ns, whatever the rate
+        return F.try_add(start_ns, i * rate_hz.cast("long"))
     if model == "rounded":
         step = i * F.rint(F.lit(1e9) / rate_hz).try_cast("long")
     else:
@@ -55,17 +61,20 @@ def expand_equidistant(blocks: DataFrame, values: str = "values", keys: tuple[st
     return rows.select(*keys, "block_ord", F.col("seg_id").cast("long").alias("seg"), "i", ts.alias("ts_ns"), "v")
 
 
-def accumulate_relative(df: DataFrame, keys: tuple[str, ...] = ("channel",), order: str = "ord", absolute: str = "abs_ns", delta: str = "delta_ns") -> DataFrame:
+def accumulate_relative(df: DataFrame, keys: tuple[str, ...] = ("channel",), order: str = "ord", absolute: str = "abs_ns", delta: str = "delta_ns", bucket: Column | None = None) -> DataFrame:
     """Times of samples of which some are absolute and the others relative to the one before.
 
     Without an absolute time before it a sample has none (``anchored`` is false).
+    ``bucket`` never falls as the order goes on; by default the order is a dense number.
+    A sample's time is the running sum of all steps and, of the last absolute one before
+    it, how far that lies ahead of its own sum; both pass from bucket to bucket.
     """
-    over = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    out = df.withColumn("__epoch", F.count(absolute).over(over))
-    inside = Window.partitionBy(*keys, "__epoch").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    out = out.withColumn("__anchor", F.first(absolute, True).over(inside))
-    moved = F.sum(F.when(F.col(absolute).isNull(), F.col(delta)).otherwise(0)).over(inside)
-    return out.withColumn("ts_ns", F.col("__anchor") + moved).withColumn("anchored", F.col("__epoch") > 0).drop("__epoch", "__anchor")
+    bucket = id_bucket(F.col(order)) if bucket is None else bucket
+    step = F.when(F.col(absolute).isNull(), F.col(delta)).otherwise(0)
+    out = running_sum(df, keys, [order], bucket, step, "__run")
+    lead = F.col(absolute) - F.col("__run")
+    out = with_nearest(out, list(keys), [order], bucket, lead, "__lead", None)
+    return out.withColumn("ts_ns", F.col("__lead") + F.col("__run")).withColumn("anchored", F.col("__lead").isNotNull()).drop("__run", "__lead")
 
 
 def check_families(blocks: DataFrame, keys: tuple[str, ...] = ("file", "channel_index")) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -13,7 +12,7 @@ from pyspark.sql import functions as F
 from ..sources.recordings import encode_samples
 from ..sources.views import Options, rows
 from .queries import S, _merged, query
-from .tables import samples, table, two_files
+from .tables import samples, shared_dir, table, two_files
 
 
 def _typed(df: DataFrame) -> DataFrame:
@@ -55,25 +54,8 @@ def frame_roundtrip_old(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _decoded(_packed(days, version=4, compression="gzip")).select("channel", "ts_ns", F.col("v_double").alias("v"))
 
 
-@query()
-def truncation_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Samples that are left of each nation's small recording when it is cut at any byte."""
-    nations = table(spark, sf_dir, "nation").select(F.col("n_name").alias("file"), F.lit("key").alias("channel"), F.col("n_nationkey").alias("ord"), (F.col("n_nationkey") * 1000).cast("long").alias("ts_ns"), F.col("n_regionkey").cast("double").alias("v"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, data in zip(batch.column(0).to_pylist(), batch.column(1)):
-                data = data.as_py()
-                left = [sum(b.num_rows for b in rows(name, data[:cut], Options())) for cut in range(len(data) + 1)]
-                n = len(left)
-                yield pa.RecordBatch.from_arrays([pa.array([name] * n), pa.array(range(n), pa.int32()), pa.array(left, pa.int64())], ["file", "cut", "samples"])
-
-    return _packed(nations).mapInArrow(run, "file string, cut int, samples long")
-
-
 def _folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="chronospark-")
-    return f"{base.rstrip('/')}/recordings-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/recordings-{uuid.uuid4().hex}"
 
 
 @query(_merged("asc"))
@@ -90,7 +72,9 @@ def merge_files_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged.select(F.lower("channel").alias("channel"), "ts_ns", F.col("v_double").alias("v"))
 
 
-@query()
+@query(f"""{S}, w as (select max(ts_ns) // 1000000 as ms from s), a as (select channel, max(ts_ns) as t, arg_max(v, ts_ns) as v from s group by 1)
+select channel, ts_ns, v, false as reemitted from s
+union all select channel, greatest(t + 60000000000, ms * 1000000) as ts_ns, v, true from a, w where t // 1000000 + 60000 < ms""")
 def stale_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as a stream; silent channels send their last value again."""
     from ..functions.times import from_timestamp

@@ -186,9 +186,11 @@ def band_conditional_stats(spark, sf_dir):
 
 @query(f"{S}, n as (select channel, count(*) n, min(ts_ns) first_ts from s group by 1) select event_type as channel, event_id, n from events join n on lower(event_type) = lower(channel)")
 def channel_catalog_join(spark, sf_dir):
+    from ..sources.catalog import with_catalog
+
     rows = samples(spark, sf_dir)
-    catalog = rows.groupBy(F.lower("channel").alias("key")).agg(F.count("*").alias("n"))
-    return rows.join(catalog, F.lower("channel") == F.col("key")).select("channel", F.col("ord").alias("event_id"), "n")
+    known = rows.groupBy("channel").agg(F.count("*").alias("n"), F.min("ts_ns").alias("first_ts"), F.max("ts_ns").alias("last_ts"))
+    return with_catalog(rows, known).select("channel", F.col("ord").alias("event_id"), "n")
 
 
 # Statistics
@@ -365,12 +367,11 @@ def verification_status(spark, sf_dir):
     return t.select("file", stats.verification_status(level, F.col("skipped_CrcMismatch")).alias("status"))
 
 
-FILES = f"{S}, c as (select 'u' || (event_id % 40) as file, channel, count(*) n, min(ts_ns) first_ts, max(ts_ns) last_ts from (select * from s where ts_ns % 7 < 5 or event_id % 40 < 35) group by 1,2)"
+FILES = f"{S}, c as (select 'u' || (event_id % 40) as file, channel, count(*) n, min(ts_ns) first_ts, max(ts_ns) last_ts from s group by 1,2)"
 
 
 def _catalog(spark, sf_dir):
-    rows = samples(spark, sf_dir).where((F.pmod("ts_ns", F.lit(7)) < 5) | (F.col("ord") % 40 < 35))
-    return rows.groupBy(F.concat(F.lit("u"), (F.col("ord") % 40).cast("string")).alias("file"), "channel").agg(F.count("*").alias("n"), F.min("ts_ns").alias("first_ts"), F.max("ts_ns").alias("last_ts"))
+    return samples(spark, sf_dir).groupBy(F.concat(F.lit("u"), (F.col("ord") % 40).cast("string")).alias("file"), "channel").agg(F.count("*").alias("n"), F.min("ts_ns").alias("first_ts"), F.max("ts_ns").alias("last_ts"))
 
 
 @query(f"{FILES} select * from c")

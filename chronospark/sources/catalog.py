@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
+from ..functions.times import fmt_ts
 from ..operators.filters import overlaps
 from .recordings import GLOB, read
 
@@ -16,67 +16,103 @@ def listing(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame
     return files.select(F.col("path").alias("file"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
 
 
-def build(spark: SparkSession, path: str, files: DataFrame | None = None) -> DataFrame:
+#: Version of the catalog's layout; one of another version is built anew.
+VERSION = 1
+#: Times of change that differ by less are the same, as file systems round them.
+TOLERANCE_S = 1.5
+
+
+def build(spark: SparkSession, path: str, files: DataFrame | None = None, paths: list[str] | None = None) -> DataFrame:
     """One row per file and channel: count and true range; nulls where a channel is empty.
 
     Files that cannot be read keep one row with their error.
     """
     files = listing(spark, path) if files is None else files
-    meta = read(spark, path, "files").select("file", "version", "truncated", "error")
-    channels = read(spark, path, "channels").select("file", "channel_index", "channel", "datatype")
-    ranges = read(spark, path).groupBy("file", "channel_index").agg(F.count("*").alias("n"), F.min("ts_ns").alias("first_ts"), F.max("ts_ns").alias("last_ts"))
+    meta = read(spark, path, "files", paths=paths).select("file", "version", "truncated", "error")
+    channels = read(spark, path, "channels", paths=paths).select("file", "channel_index", "channel", "datatype", "physical_unit")
+    # Ranges come from the blocks: no value is decoded into a row for them.
+    ranges = read(spark, path, "blocks", paths=paths).where("skip_reason is null and n > 0").groupBy("file", "channel_index")
+    # A count and the range of the first and last samples in time.
+    ranges = ranges.agg(F.sum("n").alias("n"), F.min(F.least("first_ts", "last_ts")).alias("first_ts"), F.max(F.greatest("first_ts", "last_ts")).alias("last_ts"))
     rows = channels.join(ranges, ["file", "channel_index"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    return files.join(meta, "file").join(rows, "file", "left")
+    return files.join(meta, "file").join(rows, "file", "left").withColumn("catalog_version", F.lit(VERSION))
+
+
+def _generations(spark: SparkSession, at: str) -> list[tuple[int, str]]:
+    """Whole generations of the catalog kept at ``at``, oldest first."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    store = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not store.exists(hadoop):
+        return []
+    found = []
+    for f in store.listStatus(hadoop):
+        name = f.getPath().getName()
+        if name.startswith("generation-") and store.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f.getPath(), "_SUCCESS")):
+            found.append((int(name.rsplit("-", 1)[1]), f.getPath().toString()))
+    return sorted(found)
+
+
+def load(spark: SparkSession, at: str) -> DataFrame | None:
+    """The newest whole generation; none if there is none of this version."""
+    kept = _generations(spark, at)
+    if not kept:
+        return None
+    table = spark.read.parquet(kept[-1][1])
+    if "catalog_version" not in table.columns or table.where(F.col("catalog_version") != VERSION).limit(1).count():
+        return None
+    return table
 
 
-def load(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        return None
+def _same(old: DataFrame, now: DataFrame) -> DataFrame:
+    """Files of the listing that the catalog knows as they are now."""
+    known = old.select("file", F.col("size").alias("__s"), F.col("mtime").alias("__m")).distinct()
+    near = F.abs(F.unix_micros("mtime") - F.unix_micros("__m")) <= int(TOLERANCE_S * 1_000_000)
+    return now.join(known, "file", "left").withColumn("status", F.when(F.col("__s").isNull(), "missing").when((F.col("__s") == F.col("size")) & near, "valid").otherwise("stale")).drop("__s", "__m")
 
 
 def refresh(spark: SparkSession, path: str, at: str, force: bool = False) -> DataFrame:
     """The catalog kept at ``at``: only files that are new or changed in size or time are read.
 
-    The table at ``at`` is replaced, so tables that were read from it before are no longer valid.
+    A new generation is written beside the last one, which stays readable; older ones go.
     """
     old = None if force else load(spark, at)
     now = listing(spark, path)
     if old is None:
-        fresh, kept = build(spark, path), None
+        out = build(spark, path)
     else:
-        same = ["file", "size", "mtime"]
-        kept = old.join(now, same, "left_semi")
-        changed = [r["file"] for r in now.join(old, same, "left_anti").select("file").toLocalIterator()]
-        fresh = _built(spark, path, now, changed)
-    out = fresh if kept is None else kept.unionByName(fresh) if fresh is not None else kept
-    made = at.rstrip("/") + "-new"
+        state = _same(old, now)
+        kept = old.join(state.where("status = 'valid'").select("file"), "file", "left_semi")
+        changed = [r["file"] for r in state.where("status <> 'valid'").select("file").toLocalIterator()]  # a row per file
+        out = kept.unionByName(build(spark, path, now.where(F.col("file").isin(changed)), changed)) if changed else kept
+    before = _generations(spark, at)
+    made = f"{at.rstrip('/')}/generation-{before[-1][0] + 1 if before else 0}"
     out.write.mode("overwrite").parquet(made)
-    spark.read.parquet(made).write.mode("overwrite").parquet(at)
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(made)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
-    return spark.read.parquet(at)
-
-
-def _built(spark: SparkSession, path: str, now: DataFrame, changed: list[str]) -> DataFrame | None:
-    if not changed:
-        return None
-    files = now.where(F.col("file").isin(changed))
-    meta = read(spark, path, "files", paths=changed).select("file", "version", "truncated", "error")
-    channels = read(spark, path, "channels", paths=changed).select("file", "channel_index", "channel", "datatype")
-    ranges = read(spark, path, paths=changed).groupBy("file", "channel_index").agg(F.count("*").alias("n"), F.min("ts_ns").alias("first_ts"), F.max("ts_ns").alias("last_ts"))
-    rows = channels.join(ranges, ["file", "channel_index"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    return files.join(meta, "file").join(rows, "file", "left")
+    for _, path_ in before[:-1]:
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path_)
+        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+    return spark.read.parquet(made)
 
 
 def status(catalog: DataFrame | None, now: DataFrame) -> DataFrame:
     """Each file below the path as valid, stale or missing in the catalog."""
     if catalog is None:
         return now.select("file", F.lit("missing").alias("status"))
-    known = catalog.select("file", F.col("size").alias("__s"), F.col("mtime").alias("__m")).distinct()
-    state = F.when(F.col("__s").isNull(), "missing").when((F.col("__s") == F.col("size")) & (F.col("__m") == F.col("mtime")), "valid").otherwise("stale")
-    return now.join(known, "file", "left").select("file", state.alias("status"))
+    return _same(catalog, now).select("file", "status")
+
+
+def sidecars(catalog: DataFrame) -> DataFrame:
+    """file and ``value``: what a JSON file beside each recording says about it."""
+    # The names of the fields.
+    utc = lambda c: F.when(F.col(c).isNotNull(), fmt_ts(F.col(c), "iso8601", "java")).alias(c.replace("_ts", "_timestamp_utc"))
+    ns = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c.replace("_ts", "_timestamp_ns"))
+    channel = F.struct(F.col("channel_index").alias("index"), F.col("channel").alias("name"), "datatype", F.col("physical_unit").alias("physicalunit"), F.col("n").alias("sample_count"), ns("first_ts"), ns("last_ts"), utc("first_ts"), utc("last_ts"))
+    own = catalog.groupBy("file").agg(
+        F.first("size").alias("size"), F.first("mtime").alias("mtime"), F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"), F.coalesce(F.bool_or("truncated"), F.lit(False)).alias("truncated"),
+        F.array_sort(F.collect_list(F.when(F.col("channel_index").isNotNull(), channel))).alias("channels"),
+    )
+    modified = F.date_format("mtime", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("source_modified")
+    value = F.struct(F.lit(VERSION).alias("osf_cache_version"), F.col("file").alias("source_file"), F.col("size").alias("source_size"), modified, ns("first_ts"), ns("last_ts"), utc("first_ts"), utc("last_ts"), F.when(F.col("truncated"), True).alias("truncated"), "channels")
+    return own.select("file", F.to_json(value).alias("value"))
 
 
 def file_ranges(catalog: DataFrame) -> DataFrame:

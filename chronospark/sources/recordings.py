@@ -27,9 +27,8 @@ from pyspark.sql.datasource import (
 )
 
 from .encode import Writer, numeric_value
-from .frames import Reader
 from .views import VIEWS, Options, rows
-from .wire import EXTENSIONS, FormatError, read_meta, unpack
+from .wire import EXTENSIONS, FormatError, compressed, head, peek, read_meta
 
 FORMAT = "recording"
 GLOB = "*.{" + ",".join(e[1:] for e in EXTENSIONS) + "}"
@@ -53,18 +52,13 @@ def read(spark: SparkSession, path: str | list[str], view: str = "samples", recu
 
 def sniff(spark: SparkSession, path: str) -> DataFrame:
     """file, version (none if it is no recording) from the first bytes of each file."""
-    from .wire import peek
-
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             versions = []
             for data in batch.column(1):
-                try:
-                    versions.append(peek(unpack(data.as_py())[0]))
-                except FormatError:
-                    versions.append(None)
+                versions.append(peek(head(bytes(memoryview(data.as_buffer())[:1024]))))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(versions, pa.int32())], ["file", "version"])
 
     return files.mapInArrow(run, "file string, version int")
@@ -95,6 +89,21 @@ def _bytes(path: str, base: str) -> bytes:
         return f.read()
 
 
+def _metadata(path: str, base: str, first: int = 1 << 16) -> bytes:
+    """The beginning of a file up to its metablock, which is all that definitions need."""
+    store, _ = _store(base)
+    data, step = b"", first
+    with store.open_input_stream(path) as f:
+        while piece := f.read(step):
+            data, step = data + piece, len(data) + len(piece)
+            try:
+                read_meta(data)
+                break
+            except FormatError:
+                continue  # cut, unless the rest does not help either
+    return data
+
+
 @dataclass
 class OneFile(InputPartition):
     path: str
@@ -111,7 +120,8 @@ class RecordingReader(DataSourceReader):
         return [OneFile(p) for p, _ in _listed(self.path, self.recursive)]
 
     def read(self, partition: OneFile) -> Iterator[pa.RecordBatch]:
-        yield from rows(partition.path, _bytes(partition.path, self.path), self.options)
+        data = _metadata(partition.path, self.path) if self.options.view in ("channels", "infos") else _bytes(partition.path, self.path)
+        yield from rows(partition.path, data, self.options)
 
 
 class FilteringReader(RecordingReader):
@@ -143,7 +153,9 @@ class FilteringReader(RecordingReader):
 class RecordingStream(DataSourceStreamReader):
     """Growing files: each batch holds the blocks that became whole since the last one.
 
-    The offset is how far each file is whole.  Compressed files count when first seen.
+    The offset is the size of each file in the listing, so the driver opens none; the
+    tasks find the blocks that end between two sizes.  Compressed files count when they
+    are first seen, and whole.
     """
 
     def __init__(self, options: dict[str, str]):
@@ -153,34 +165,19 @@ class RecordingStream(DataSourceStreamReader):
         return {"files": "{}"}
 
     def latestOffset(self) -> dict:
-        out = {}
-        for path, size in _listed(self.path, True):
-            data = _bytes(path, self.path)
-            try:
-                meta, plain, _ = read_meta(data)
-            except FormatError:
-                continue  # its header may not be whole yet
-            if meta.compression != "none":
-                out[path] = size
-                continue
-            reader = Reader(plain, meta, wanted=set())
-            for _ in reader:
-                pass
-            out[path] = reader.at
-        return {"files": json.dumps(out, sort_keys=True)}
+        return {"files": json.dumps(dict(_listed(self.path, True)), sort_keys=True)}
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
         a, b = json.loads(start["files"]), json.loads(end["files"])
         return [OneFile(p, a.get(p, 0), n) for p, n in sorted(b.items()) if n > a.get(p, 0)]
 
     def read(self, partition: OneFile) -> Iterator[pa.RecordBatch]:
-        data = _bytes(partition.path, self.path)
-        zipped = unpack(data[:64] if data[:1] not in (b"\x1f", b"\x78") else data)[1] != "none"
-        if zipped:
+        data = _bytes(partition.path, self.path)[: partition.end]
+        if compressed(data):
             if partition.begin == 0:
                 yield from rows(partition.path, data, self.options)
             return
-        yield from rows(partition.path, data[: partition.end], replace(self.options, begin=partition.begin, end=partition.end))
+        yield from rows(partition.path, data, replace(self.options, begin=partition.begin, end=partition.end))
 
     def commit(self, end: dict) -> None:
         return None
@@ -188,9 +185,41 @@ class RecordingStream(DataSourceStreamReader):
 
 @dataclass
 class Written(WriterCommitMessage):
+    """Temporary files and the recordings (values of ``file``) they hold."""
+
     files: list[tuple[str, str]]
 
 
+def stem_of(file: str, root: str | None = None) -> str:
+    """Where a recording goes below the target, without extension: a relative name keeps
+    its folders, as does a path below ``root``; of any other path the last name counts."""
+    plain = lambda p: p.split("://", 1)[-1].removeprefix("file:")
+    name = plain(file)
+    if root and name.startswith(plain(root).rstrip("/") + "/"):
+        name = name[len(plain(root).rstrip("/")) + 1 :]
+    elif name.startswith("/") or "://" in file:
+        name = posixpath.basename(name)
+    parts = [p for p in name.split("/") if p not in ("", ".", "..")] or ["recording"]
+    parts[-1] = parts[-1].removesuffix(EXTENSIONS[1]).removesuffix(EXTENSIONS[0]) or "recording"
+    return "/".join(parts)
+
+
+def placed(made: list[tuple[str, str]], taken: set[str], root: str | None, extension: str) -> list[tuple[str, str]]:
+    """(temporary file, final name) of what the tasks wrote, no two with the same name.
+
+    A recording whose rows were in several tasks, or that meets a name that is taken,
+    gets a number behind its name, so nothing is ever replaced.
+    """
+    used, out = set(taken), []
+    for temporary, file in sorted(made, key=lambda x: (x[1], x[0])):
+        stem, k = stem_of(file, root), 1
+        while (name := (stem if k == 1 else f"{stem}-{k}") + extension) in used:
+            k += 1
+        used.add(name)
+        out.append((temporary, name))
+    return out
+
+
 class _Files:
     """What the two sinks share: rows of samples to files, renamed when all tasks are done."""
 
@@ -201,9 +230,12 @@ class _Files:
         self.integrity = low.get("integrity", "none")
         self.compression = low.get("compression")
         self.tag, self.creator = low.get("tag", "preview"), low.get("creator", "chronospark")
+        self.root = low.get("root")
+        self.extension = EXTENSIONS[1] if self.compression else EXTENSIONS[0]
 
-    def write_batches(self, batches: Iterator[pa.RecordBatch], prefix: str = "") -> Written:
-        """Rows must be sorted by file; one file's samples are in memory at a time."""
+    def write_batches(self, batches: Iterator[pa.RecordBatch]) -> Written:
+        """One file's samples are in memory at a time; rows that are not sorted by file
+        give several parts of a recording."""
         store, base = _store(self.path)
         held: list[pa.RecordBatch] = []
         current, out = None, []
@@ -211,13 +243,11 @@ class _Files:
         def flush() -> None:
             if held:
                 data = encode_samples(pa.Table.from_batches(held), self.version, self.integrity, self.compression, tag=self.tag, creator=self.creator)
-                stem = prefix + posixpath.basename(current or "recording").rsplit(".", 1)[0]
-                name = stem + (EXTENSIONS[1] if self.compression else EXTENSIONS[0])
-                temporary = f"{base}/_temporary-{self.job}/{uuid.uuid4().hex}-{name}"
+                temporary = f"{base}/_temporary-{self.job}/{uuid.uuid4().hex}"
                 store.create_dir(posixpath.dirname(temporary), recursive=True)
                 with store.open_output_stream(temporary) as f:
                     f.write(data)
-                out.append((temporary, f"{base}/{name}"))
+                out.append((temporary, current or "recording"))
 
         for batch in batches:
             names = batch.column(batch.schema.get_field_index("file")).to_pylist()
@@ -226,7 +256,7 @@ class _Files:
                 end = at
                 while end < len(names) and names[end] == names[at]:
                     end += 1
-                if names[at] != current:
+                if names[at] != current or not held:
                     flush()
                     held, current = [], names[at]
                 held.append(batch.slice(at, end - at))
@@ -234,15 +264,26 @@ class _Files:
         flush()
         return Written(out)
 
-    def finish(self, messages: list[Written | None]) -> None:
+    def _present(self) -> set[str]:
+        """Names below the target."""
+        _, base = _store(self.path)
+        return {p[len(base) :].lstrip("/") for p, _ in _listed(self.path, True) if p != base}
+
+    def finish(self, messages: list[Written | None], stale: set[str] | None = None, prefix: str = "") -> None:
+        """Move the files to their names, then delete what they replace."""
         store, base = _store(self.path)
         store.create_dir(base, recursive=True)
         made = [x for m in messages if m is not None for x in m.files]
-        if self.overwrite:
-            for path, _ in _listed(self.path, True):
-                store.delete_file(path)
-        for temporary, final in made:
-            store.move(temporary, final)
+        old = self._present()
+        stale = old if self.overwrite else stale or set()
+        final = placed(made, old - stale, self.root, self.extension)
+        if prefix:
+            final = [(t, posixpath.join(posixpath.dirname(n), prefix + posixpath.basename(n))) for t, n in final]
+        for temporary, name in final:
+            store.create_dir(posixpath.dirname(f"{base}/{name}"), recursive=True)
+            store.move(temporary, f"{base}/{name}")
+        for name in stale - {n for _, n in final}:
+            store.delete_file(f"{base}/{name}")
         self.drop()
 
     def drop(self) -> None:
@@ -264,17 +305,14 @@ class RecordingSink(_Files, DataSourceArrowWriter):
 
 
 class RecordingStreamSink(_Files, DataSourceStreamArrowWriter):
-    """One file for each batch, task and recording name; a batch that is written again replaces its files."""
+    """Files of each batch, named after it; a batch that is written again replaces its own."""
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
-        from pyspark import TaskContext
-
-        task = TaskContext.get()
-        return self.write_batches(iterator, f"p{task.partitionId() if task else 0}-")
+        return self.write_batches(iterator)
 
     def commit(self, messages: list[WriterCommitMessage | None], batchId: int) -> None:
-        named = [Written([(t, posixpath.join(posixpath.dirname(f), f"b{batchId}-{posixpath.basename(f)}")) for t, f in m.files]) if m else None for m in messages]
-        self.finish(named)
+        prefix = f"b{batchId}-"
+        self.finish(messages, {n for n in self._present() if posixpath.basename(n).startswith(prefix)}, prefix)
 
     def abort(self, messages: list[WriterCommitMessage | None], batchId: int) -> None:
         self.drop()
@@ -397,8 +435,11 @@ def write(samples: DataFrame, path: str, version: int = 5, integrity: str = "non
 
 
 def convert(spark: SparkSession, source: str, target: str, version: int = 5, integrity: str = "none", compression: str | None = None, keep_segments: bool = True) -> None:
-    """Copy recordings to another version; with segments, or with a time for every sample."""
+    """Copy recordings to another version; with segments, or with a time for every sample.
+
+    Folders below the source are kept.
+    """
     samples = with_definitions(read(spark, source), read(spark, source, "channels"))
     if keep_segments:
         samples = with_rates(samples, read(spark, source, "blocks"))
-    write(samples, target, version, integrity, compression, mode="append")
+    write(samples, target, version, integrity, compression, mode="append", root=source)

@@ -111,7 +111,7 @@ def _samples(file: str, meta: Meta, block: Block, segment: int, family: str, ts:
 def _file_row(file: str, size: int, meta: Meta | None, error: str | None, reader: Reader | None = None, cut: bool = False) -> dict[str, Any]:
     row: dict[str, Any] = {"file": file, "file_size": size, "error": error, "truncated": cut, "trailer_seen": False}
     if meta is not None:
-        row |= {"version": meta.version, "integrity": meta.integrity, "metablock_crc": meta.crc, "compression": meta.compression, "header_bytes": meta.header_bytes, "metablock_bytes": meta.metablock_bytes} | meta.info
+        row |= {"version": meta.version, "integrity": meta.integrity, "metablock_crc": meta.crc, "compression": meta.compression, "header_bytes": meta.header_bytes, "metablock_bytes": meta.metablock_bytes, "warnings": "; ".join(meta.warnings) or None} | meta.info
     if reader is not None:
         row |= {"trailer_seen": reader.trailer_seen, "truncated": cut or reader.truncated, "error": error or reader.error}
     return row
@@ -145,8 +145,8 @@ def rows(file: str, data: bytes, options: Options) -> Iterator[pa.RecordBatch]:
         ts = line.place(block, options.time_model) if block.skip_reason is None else None
         if ts is None and block.skip_reason not in (None, "CrcMismatch") and options.mode == "FAILFAST" and block.skip_reason.startswith(("Channel", "Continued", "Relative")):
             raise FormatError(f"{file}: {block.skip_reason} in block {block.ord}")
-        if block.offset < options.begin or options.end is not None and block.offset >= options.end:
-            continue
+        if reader.at <= options.begin:
+            continue  # was whole before
         if view == "samples":
             if ts is not None and block.n and (out := _samples(file, meta, block, line.segment, line.family, ts, options, reader.channels)) is not None:
                 yield out

@@ -14,9 +14,8 @@ from xml.sax.saxutils import quoteattr
 from ..functions.types import ALIASES, CHANNEL_TYPES, REMOVED, SPECTRUM_TYPES, SUPPORTED
 from .checksums import crc32c
 
-# Fixed values of the format: identifiers, root elements, reserved channels, trailer.
+# Fixed values of the format: identifiers, names of the JSON root, reserved channels, trailer.
 IDENTIFIERS = {"OSF4": 4, "OCEAN_STREAM_FORMAT4": 4, "OCEAN_STREAMING_FORMAT4": 4, "OSF5": 5}
-ROOTS = ("optimeas", "osf")
 JSON_ROOT, JSON_FORMAT = "osf", "osf5"
 EXTENSIONS = (".osf", ".osfz")
 TRAILER_CHANNEL = 0xFFFF
@@ -36,6 +35,10 @@ FILE_FIELDS = {
 }
 
 
+# Channel fields of older versions that have no meaning any more.
+DEPRECATED_FIELDS = ("scale", "offset", "physicalunit1", "physicalunit2", "physicalunit3", "physicaldimension1", "physicaldimension2", "physicaldimension3")
+
+
 class FormatError(ValueError):
     """The bytes are no readable recording."""
 
@@ -72,11 +75,26 @@ class Meta:
     info: dict[str, Any] = field(default_factory=dict)
     channels: list[Channel] = field(default_factory=list)
     infos: list[dict[str, Any]] = field(default_factory=list)
+    warnings: list[str] = field(default_factory=list)
+
+
+def compressed(data: bytes) -> bool:
+    return data[:2] == b"\x1f\x8b" or (len(data) >= 2 and data[0] == 0x78 and data[1] in (0x01, 0x5E, 0x9C, 0xDA))
+
+
+def head(data: bytes, size: int = HEADER_LIMIT) -> bytes:
+    """The first plain bytes; of a compressed stream no more than these are unpacked."""
+    if not compressed(data):
+        return data[:size]
+    try:
+        return zlib.decompressobj(47).decompress(data, size)
+    except zlib.error:
+        return b""
 
 
 def unpack(data: bytes) -> tuple[bytes, str, bool]:
     """Plain bytes, the compression found, and whether a compressed stream was cut."""
-    if data[:2] == b"\x1f\x8b" or (len(data) >= 2 and data[0] == 0x78 and data[1] in (0x01, 0x5E, 0x9C, 0xDA)):
+    if compressed(data):
         kind = "gzip" if data[0] == 0x1F else "zlib"
         out, rest, cut = [], data, False
         while rest:  # a gzip file may have several members
@@ -143,8 +161,9 @@ def _number(v: Any) -> float | None:
         return None
 
 
-def _channel(get: Any, place: int) -> Channel:
+def _channel(get: Any, place: int, warnings: list[str]) -> Channel:
     index, name, datatype = get("index"), get("name"), get("datatype")
+    warnings += [f"channel {place}: {x} is ignored" for x in DEPRECATED_FIELDS if get(x) is not None]
     if index is None or name is None or datatype is None:
         raise FormatError(f"channel {place} lacks its index, name or datatype")
     datatype = str(datatype)
@@ -185,7 +204,7 @@ def parse_metablock(meta: Meta, raw: bytes) -> Meta:
             top = json.loads(raw.decode("utf-8"))[JSON_ROOT]
             nested = top.get("file") or {}
             meta.info = _file_info(lambda k: nested.get(k, top.get(k)))
-            meta.channels = [_channel(c.get, i) for i, c in enumerate(top.get("channels") or [])]
+            meta.channels = [_channel(c.get, i, meta.warnings) for i, c in enumerate(top.get("channels") or [])]
             meta.infos = [_info(x.get) for x in top.get("infos") or []]
         except (KeyError, AttributeError, TypeError, UnicodeDecodeError, json.JSONDecodeError) as e:
             raise FormatError(f"broken JSON metablock: {e}") from e
@@ -196,10 +215,10 @@ def parse_metablock(meta: Meta, raw: bytes) -> Meta:
             root = ET.fromstring(raw.strip(b"\0"))
         except ET.ParseError as e:
             raise FormatError(f"broken XML metablock: {e}") from e
-        if root.tag not in ROOTS:
-            raise FormatError(f"unknown root element {root.tag!r}")
+        if root.find("./channels") is None:  # the root's name differs between writers
+            raise FormatError(f"no channels in the root element {root.tag!r}")
         meta.info = _file_info(root.get)
-        meta.channels = [_channel(c.get, i) for i, c in enumerate(root.findall("./channels/channel"))]
+        meta.channels = [_channel(c.get, i, meta.warnings) for i, c in enumerate(root.findall("./channels/channel"))]
         meta.infos = [_info(lambda k, x=x: x.get(k) if k != "value" or x.get(k) is not None else x.text) for x in root.findall("./infos/info")]
     else:
         raise FormatError("the metablock is neither XML nor JSON")
@@ -235,11 +254,11 @@ def build_metablock(version: int, info: dict[str, Any], channels: list[Channel],
     def element(name: str, values: dict[str, Any]) -> str:
         return f"<{name} " + " ".join(f"{k}={quoteattr(str(v))}" for k, v in values.items()) + "/>"
 
-    head = f"<{ROOTS[0]} version=\"4\"" + "".join(f" {k}={quoteattr(str(v))}" for k, v in top.items()) + ">"
+    head = f"<{JSON_ROOT} version=\"4\"" + "".join(f" {k}={quoteattr(str(v))}" for k, v in top.items()) + ">"
     lines = ['<?xml version="1.0" encoding="UTF-8"?>', head, f'<channels count="{len(rows)}">', *(element("channel", r) for r in rows), "</channels>"]
     if notes:
         lines += ["<infos>", *(element("info", x) for x in notes), "</infos>"]
-    return "\n".join([*lines, f"</{ROOTS[0]}>"]).encode()
+    return "\n".join([*lines, f"</{JSON_ROOT}>"]).encode()
 
 
 def build_header(version: int, metablock: bytes, integrity: str = "none") -> bytes:

@@ -12,8 +12,6 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.stale import INTERVAL_NS
 
-OUTPUT = "channel string, ts_ns long, v double, reemitted boolean"
-
 
 class Guard:
     """The state of all channels on one machine, with the same rules as the stream's.
@@ -56,32 +54,47 @@ def with_lateness(samples: DataFrame, delay: str | None = None) -> DataFrame:
     return out.withWatermark("ts", delay) if delay else out
 
 
+POSITION = ("latitude", "longitude", "altitude")
+
+
 def guard_stream(samples: DataFrame, interval_ns: int = INTERVAL_NS, delay: str = "0 seconds") -> DataFrame:
-    """The samples and, as the watermark moves on, values sent again: one for each time
-    it has passed the interval since the channel's last activity.
+    """The samples as they come and, as the watermark moves on, values sent again: one
+    for each time it has passed the interval since the channel's last activity.
 
-    State is one time and value per channel.
+    Samples pass whether they are late or not; the watermark only moves the timers, and a
+    sample that is older than it starts none.  With a column ``v_gps`` also positions are
+    guarded.  Text and bytes have neither value and pass unguarded, as nulls.  State is
+    one time and value per channel.
     """
     interval_ms = max(1, interval_ns // 1_000_000)
+    gps = "v_gps" in samples.columns
+    values = ["v", *(POSITION if gps else ())]
+    schema = "channel string, ts_ns long, " + ", ".join(f"{c} double" for c in values)
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
-            at, value = state.get
+            at, *value = state.get
             now = max(at + interval_ns, state.getCurrentWatermarkMs() * 1_000_000)
-            state.update((now, value))
+            state.update((now, *value))
             state.setTimeoutTimestamp(now // 1_000_000 + interval_ms)
-            yield pd.DataFrame({"channel": [key[0]], "ts_ns": [now], "v": [value], "reemitted": [True]})
+            yield pd.DataFrame({"channel": [key[0]], "ts_ns": [now]} | {c: [x] for c, x in zip(values, value)})
             return
-        at, value = state.get if state.exists else (None, None)
+        at, *value = state.get if state.exists else (None, *[None] * len(values))
         for batch in batches:
-            batch = batch.sort_values("ts_ns", kind="stable")
-            yield pd.DataFrame({"channel": batch["channel"], "ts_ns": batch["ts_ns"], "v": batch["v"], "reemitted": False})
-            last = batch.iloc[-1]
+            last = batch.sort_values("ts_ns", kind="stable").iloc[-1]
             if at is None or last["ts_ns"] >= at:
-                at, value = int(last["ts_ns"]), float(last["v"])
+                at, value = int(last["ts_ns"]), [None if pd.isna(last[c]) else float(last[c]) for c in values]
         if at is not None:
-            state.update((at, value))
+            state.update((at, *value))
             state.setTimeoutTimestamp(max(at // 1_000_000 + interval_ms, state.getCurrentWatermarkMs() + 1))
 
-    rows = with_lateness(samples.select("channel", "ts_ns", F.col("v").cast("double").alias("v")), delay)
-    return rows.groupBy("channel").applyInPandasWithState(run, OUTPUT, "ts_ns long, v double", "append", GroupStateTimeout.EventTimeTimeout)
+    position = [F.col(f"v_gps.{c}").cast("double").alias(c) for c in POSITION] if gps else []
+    rows = samples.select("channel", "ts_ns", F.col("v").cast("double").alias("v"), *position)
+    guarded = rows.where(" or ".join(f"{c} is not null" for c in values))
+    state = "ts_ns long, " + ", ".join(f"{c} double" for c in values)
+    again = with_lateness(guarded, delay).groupBy("channel").applyInPandasWithState(run, schema, state, "append", GroupStateTimeout.EventTimeTimeout)
+    both = rows.withColumn("reemitted", F.lit(False)).unionByName(again.withColumn("reemitted", F.lit(True)))
+    if not gps:
+        return both
+    found = F.when(F.col("latitude").isNotNull() | F.col("longitude").isNotNull() | F.col("altitude").isNotNull(), F.struct(*POSITION))
+    return both.select("channel", "ts_ns", "v", found.alias("v_gps"), "reemitted")

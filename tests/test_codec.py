@@ -187,7 +187,7 @@ def test_metablocks():
     flat = b'{"osf":{"version":5,"creator":"me","channels":[{"index":0,"name":"a","channeltype":"scalar","datatype":"bytearray","spectrumtype":"realImag"}]}}'
     m = parse_metablock(Meta(5), flat)
     assert m.info["creator"] == "me" and m.channels[0].datatype == "binary" and m.channels[0].size_of_length_value == 2 and m.channels[0].spectrum_type == "realimag"
-    for root in ("osf", "optimeas"):
+    for root in ("osf", "recording"):
         xml = f'<?xml version="1.0"?><{root} latitude="1.5" tag="x"><channels count="1"><channel index="3" name="n" channeltype="vector" datatype="weird" scale="2"/></channels><infos><info name="k" value="v"/></infos></{root}>'
         m = parse_metablock(Meta(4), xml.encode())
         assert m.info["latitude"] == 1.5 and not m.channels[0].supported and m.infos[0]["value"] == "v"

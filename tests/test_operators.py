@@ -222,12 +222,50 @@ def test_stream_sends_stale_values(spark, tmp_path):
     go()
     add("2", [("b", 1050 * s, 8.0), ("b", 1250 * s, 9.0)])
     go()
+    add("3", [("b", 1100 * s, 8.5), ("late", 900 * s, 3.0), ("late", 901 * s, 4.0)])
+    go()
     out = spark.read.parquet(f"file://{tmp_path}/out")
-    assert out.where("not reemitted").count() == 4
+    passed = sorted((r["channel"], r["ts_ns"] // s, r["v"]) for r in out.where("not reemitted").collect())
+    assert passed == [("a", 1000, 1.0), ("b", 1000, 7.0), ("b", 1050, 8.0), ("b", 1100, 8.5), ("b", 1250, 9.0), ("late", 900, 3.0), ("late", 901, 4.0)]
     again = [(r["channel"], r["v"]) for r in out.where("reemitted").collect()]
     assert ("a", 1.0) in again and all(c == "a" for c, _ in again)
 
 
+def test_stream_guards_positions(spark, tmp_path):
+    from chronospark.streaming.guard import guard_stream
+
+    source, schema = tmp_path / "in", "channel string, ts_ns long, v double, v_gps struct<latitude:double,longitude:double,altitude:double>"
+    s = 1_000_000_000
+    rows = [("gps", 1000 * s, None, (1.0, 2.0, 3.0)), ("num", 1000 * s, 5.0, None), ("text", 1000 * s, None, None), ("other", 1200 * s, 1.0, None)]
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"file://{source}")
+    q = guard_stream(spark.readStream.schema(schema).parquet(f"file://{source}"), 100 * s).writeStream.format("parquet").option("path", f"file://{tmp_path}/out")
+    q.option("checkpointLocation", f"file://{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination(120)
+    out = spark.read.parquet(f"file://{tmp_path}/out")
+    assert out.where("not reemitted").count() == 4
+    assert sorted((r["channel"], r["v"], tuple(r["v_gps"]) if r["v_gps"] else None) for r in out.where("reemitted").collect()) == [("gps", None, (1.0, 2.0, 3.0)), ("num", 5.0, None)]
+
+
+def test_buckets_follow_the_counts(spark):
+    from chronospark.operators import ordered
+
+    rows = spark.range(4000).select((F.col("id") % 2).cast("string").alias("channel"), F.when(F.col("id") < 3000, F.col("id")).otherwise(F.col("id") * 10**12).alias("ts_ns"), F.col("id").alias("ord"), F.col("id").cast("double").alias("v"))
+    size = ordered.bucket_size(rows, ["channel"], rows=200)
+    most = rows.groupBy("channel", ordered.time_bucket(F.col("ts_ns"), size)).count().agg(F.max("count")).first()[0]
+    assert most <= 250 and ordered.bucket_size(rows.limit(0), ["channel"]) == ordered.DAY_NS
+    got = stats.forward_diff(rows, size).where("dur_ns is null").count()
+    assert got == 2 and stats.forward_diff(rows, size).exceptAll(stats.forward_diff(rows)).count() == 0
+
+
+def test_exact_median(spark, monkeypatch):
+    import statistics
+
+    monkeypatch.setattr(stats, "MEDIAN_ACCURACY", 20)
+    rng = __import__("random").Random(4)
+    data = {"a": [rng.gauss(0, 1) for _ in range(999)], "b": [float(rng.randrange(4)) for _ in range(1000)], "c": [7.0], "d": [1.0, 2.0], "e": [float(i) for i in range(1000)]}
+    df = spark.createDataFrame([(k, v) for k, x in data.items() for v in x] + [("f", None), ("a", None)], "channel string, v double")
+    assert {r["channel"]: r["med"] for r in stats.median(df).collect()} == {k: pytest.approx(statistics.median(x)) for k, x in data.items()}
+
+
 # Time base
 
 

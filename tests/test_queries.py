@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from chronospark.plans import codec_queries, queries  # noqa: F401
+from chronospark.plans import block_queries, codec_queries, file_queries, queries  # noqa: F401
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="the driver's tables are not here")
@@ -38,18 +38,6 @@ def test_query_equals_sql(spark, con, name):
             assert x == y or isinstance(x, float) and x == pytest.approx(y, rel=1e-6, abs=1e-6)
 
 
-def test_truncation_sweep(spark):
-    rows = queries.QUERIES["truncation_sweep"](spark, FOLDER)
-    last = rows.groupBy("file").agg({"samples": "max", "cut": "max"}).collect()
-    assert len(last) == 25 and all(r["max(samples)"] == 1 for r in last)
-    # What is left never shrinks when more bytes are there.
-    from pyspark.sql import Window
-    from pyspark.sql import functions as F
-
-    over = Window.partitionBy("file").orderBy("cut")
-    assert rows.withColumn("d", F.col("samples") - F.lag("samples").over(over)).where("d < 0").count() == 0
-
-
 def test_entry(spark):
     import __spark_entry__
 

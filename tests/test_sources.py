@@ -276,3 +276,74 @@ def test_write_groups_by_file(spark, tmp_path):
     assert got.count() == 100 and got.select("file").distinct().count() == 3
     write(rows.where("file = 'r0'"), str(tmp_path / "w"), mode="overwrite")
     assert read(spark, f"file://{tmp_path}/w").count() == 34
+
+
+def numbered(spark, files, n=100):
+    name = F.element_at(F.array(*[F.lit(f) for f in files]), (F.col("id") % len(files) + 1).cast("int"))
+    return spark.range(n).select(name.alias("file"), F.lit(0).alias("channel_index"), F.lit("A").alias("channel"), F.lit("double").alias("datatype"), F.col("id").alias("ts_ns"), F.col("id").cast("double").alias("v_double"))
+
+
+def test_sink_loses_no_rows(spark, tmp_path):
+    register(spark)
+    # One recording in four tasks, without being sorted by file.
+    numbered(spark, ["r"]).repartition(4).write.format("recording").mode("append").save(str(tmp_path / "one"))
+    assert sorted(r["ts_ns"] for r in read(spark, f"file://{tmp_path}/one").collect()) == list(range(100))
+    # Equal names in two folders, below a root and as relative names.
+    write(numbered(spark, ["a/x", "b/x"]), str(tmp_path / "two"))
+    assert sorted(str(p.relative_to(tmp_path / "two")) for p in (tmp_path / "two").rglob("*.osf")) == ["a/x.osf", "b/x.osf"]
+    write(numbered(spark, ["/data/a/x.osf", "/data/b/x.osf"]), str(tmp_path / "three"), root="/data")
+    assert len(list((tmp_path / "three").rglob("x.osf"))) == 2
+    write(numbered(spark, ["/data/a/x.osf", "/data/b/x.osf"]), str(tmp_path / "four"))
+    assert sorted(p.name for p in (tmp_path / "four").rglob("*.osf")) == ["x-2.osf", "x.osf"]
+    # Appending a name that is there keeps both, overwriting replaces what was there.
+    for _ in range(2):
+        write(numbered(spark, ["a/x"]), str(tmp_path / "two"))
+    assert read(spark, f"file://{tmp_path}/two").count() == 300
+    write(numbered(spark, ["a/x", "c/y"], 10), str(tmp_path / "two"), mode="overwrite")
+    assert read(spark, f"file://{tmp_path}/two").count() == 10 and not list((tmp_path / "two").rglob("_temporary*"))
+
+
+def test_convert_keeps_folders(spark, tmp_path):
+    for name in ("a", "b"):
+        (tmp_path / "in" / name).mkdir(parents=True)
+        (tmp_path / "in" / name / "same.osf").write_bytes(simple("A", [1, 2], [1.0, 2.0]))
+    convert(spark, f"file://{tmp_path}/in", str(tmp_path / "out"), 4)
+    assert read(spark, f"file://{tmp_path}/out").count() == 4 and len(list((tmp_path / "out").rglob("same.osf"))) == 2
+
+
+def test_definitions_need_the_beginning_only(spark, tmp_path):
+    register(spark)
+    data = simple("A", list(range(200_000)), [0.0] * 200_000)
+    (tmp_path / "big.osf").write_bytes(data)
+    (tmp_path / "broken.osf").write_bytes(b"no recording at all")
+    from chronospark.sources.recordings import _metadata
+
+    assert len(_metadata(str(tmp_path / "big.osf"), str(tmp_path))) < len(data) / 10
+    assert [r["channel"] for r in spark.read.format("recording").option("view", "channels").load(str(tmp_path)).collect()] == ["A"]
+    import gzip
+
+    (tmp_path / "z.osfz").write_bytes(gzip.compress(data))
+    assert spark.read.format("recording").option("view", "channels").load(str(tmp_path)).count() == 2
+
+
+def test_catalog_keeps_a_whole_generation(spark, tmp_path):
+    import os
+
+    data, at = tmp_path / "data", f"file://{tmp_path}/catalog"
+    data.mkdir()
+    (data / "a.osf").write_bytes(simple("A", [5, 9], [1.0, 2.0]))
+    first = catalog.refresh(spark, f"file://{data}", at)
+    assert [tuple(r) for r in first.select("n", "first_ts", "last_ts").collect()] == [(2, 5, 9)]
+    stat = os.stat(data / "a.osf")
+    os.utime(data / "a.osf", ns=(stat.st_atime_ns, stat.st_mtime_ns + 900_000_000))  # within the tolerance
+    assert [r["status"] for r in catalog.status(catalog.load(spark, at), catalog.listing(spark, f"file://{data}")).collect()] == ["valid"]
+    os.utime(data / "a.osf", ns=(stat.st_atime_ns, stat.st_mtime_ns + 9_000_000_000))
+    assert [r["status"] for r in catalog.status(catalog.load(spark, at), catalog.listing(spark, f"file://{data}")).collect()] == ["stale"]
+    catalog.refresh(spark, f"file://{data}", at)
+    assert first.count() == 1  # the last generation stays readable
+    (tmp_path / "catalog" / "generation-7").mkdir()  # a crash before its end
+    assert catalog.load(spark, at).count() == 1
+    made = json.loads(catalog.sidecars(catalog.load(spark, at)).first()["value"])
+    assert made["osf_cache_version"] == 1 and made["first_timestamp_ns"] == 5 and made["channels"][0]["sample_count"] == 2 and made["first_timestamp_utc"].endswith("Z")
+    catalog.load(spark, at).withColumn("catalog_version", F.lit(0)).write.parquet(f"{at}/generation-9")
+    assert catalog.load(spark, at) is None
