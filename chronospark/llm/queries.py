@@ -42,10 +42,12 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def damaged(pages: DataFrame) -> DataFrame:
-    """A second replica as bit rot and a lost tail would leave it."""
-    bad = F.coalesce(F.pmod("page_id", F.lit(1009)) == 13, F.lit(False))
-    lost = F.coalesce((F.pmod("page_id", F.lit(512)) == 511) & (F.pmod(F.floor(F.col("page_id") / 512), F.lit(3)) == 2), F.lit(False))
-    return pages.where(~lost).withColumn("html", F.when(bad, F.concat(F.lit("#"), F.expr("substring(html, 2)"))).otherwise(F.col("html")))
+    """A second replica with one record in eight or so damaged: bytes changed, bodies that
+    became longer, records lost anywhere, and records that the first one lacks."""
+    every = lambda n, k: F.coalesce(F.pmod("page_id", F.lit(n)) == k, F.lit(False))
+    body = F.when(every(29, 13), F.concat(F.lit("#"), F.expr("substring(html, 2)"))).when(every(31, 7), F.concat("html", F.lit("<!-- more -->"))).otherwise(F.col("html"))
+    left = pages.where(~every(37, 5)).withColumn("html", body)
+    return left.unionByName(pages.where(every(41, 3)).withColumn("page_id", F.col("page_id") + 10_000_019))
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,8 +116,8 @@ select w.doc_id, cast(len(w.w) as bigint) as n_words, cast(len(w.w) - coalesce(k
 """,
     "op6_warc": """
 with a as (select page_id, url, html from pages),
-b as (select page_id, url, case when page_id % 1009 = 13 then '#' || substring(html, 2) else html end as html
-      from pages where not (page_id % 512 = 511 and (page_id // 512) % 3 = 2)),
+b as (select page_id, url, case when page_id % 29 = 13 then '#' || substring(html, 2) when page_id % 31 = 7 then html || '<!-- more -->' else html end as html from pages where page_id % 37 <> 5
+      union all select page_id + 10000019, url, html from pages where page_id % 41 = 3),
 ra as (select page_id, page_id // 512 as file, 'WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:' || page_id
        || '>\r\nWARC-Target-URI: ' || url || '\r\nContent-Type: text/html\r\nContent-Length: '
        || strlen(html) || '\r\n\r\n' || html || '\r\n\r\n' as rec from a),
@@ -124,9 +126,8 @@ rb as (select page_id, page_id // 512 as file, 'WARC/1.1\r\nWARC-Type: response\
        || strlen(html) || '\r\n\r\n' || html || '\r\n\r\n' as rec from b),
 oa as (select *, strlen(rec) as len, coalesce(sum(strlen(rec)) over (partition by file order by page_id rows between unbounded preceding and 1 preceding), 0) as off from ra),
 ob as (select *, strlen(rec) as len, coalesce(sum(strlen(rec)) over (partition by file order by page_id rows between unbounded preceding and 1 preceding), 0) as off from rb)
-select cast(coalesce(oa.file, ob.file) as bigint) as file, cast(coalesce(oa.off, ob.off) as bigint) as "offset",
-       cast(coalesce(oa.len, ob.len) as bigint) as length, coalesce(oa.page_id, ob.page_id) as page_id,
-       case when ob.rec is null then 'missing' when oa.rec is null then 'extra' when oa.rec <> ob.rec then 'corrupt' else 'ok' end as status
-from oa full join ob on oa.file = ob.file and oa.off = ob.off
+select cast(coalesce(oa.file, ob.file) as bigint) as file, cast(coalesce(oa.off, ob.off) as bigint) as "offset", cast(coalesce(oa.len, ob.len) as bigint) as length, coalesce(oa.page_id, ob.page_id) as page_id,
+       case when ob.rec is null then 'missing' when oa.rec is null then 'extra' when oa.rec <> ob.rec then 'corrupt' else 'ok' end as status, cast(ob.off - oa.off as bigint) as shift
+from oa full join ob on oa.page_id = ob.page_id
 """,
 }
