@@ -1,11 +1,14 @@
 """Near-duplicate vectors: sign hashes in several tables, exact cosines, components.
 
 Only vectors with the same label are compared.  Identical vectors form a class that is
-handled once, with its size.  Each class is dealt to one bucket of every table, its
-code being the signs of its products with ``bits`` random directions.  Inside a bucket
-all cosines are computed in double precision; a pair counts in the first table in
-which its codes agree, so no pair counts twice and no pair is sent anywhere: a bucket
-returns sums of links and a spanning forest.  Buckets of more than ``block`` classes
+handled once, with its size.  Each class has one signature, the signs of its products
+with random directions; every table takes some bits of it as its code and deals the
+class to a bucket.  Only signatures and ids travel there.  Inside a bucket two classes
+are candidates if their whole signatures differ in no more bits than vectors at the
+threshold do (but for one in 10 ** 7 such pairs), and a spanning forest of them leaves
+the bucket.  The candidates are closed to groups; the vectors of each group meet once,
+where all cosines are computed in double precision, links are counted exactly and a
+spanning forest gives the components.  Buckets and groups of more than ``block`` classes
 are cut into blocks that meet pairwise in tasks of their own.
 
 With directions at random two vectors at cosine c share a code of k bits with
@@ -16,36 +19,53 @@ Vectors travel in single precision where that loses nothing.
 
 Vectors that are null, zero, or hold null or non-finite numbers link with nothing, nor
 do those with a null label; each is a component of its own.  Repeated rows are members
-of one class.  A null id keeps its row, with a null component.
+of one class.  An id with several vectors is one node, and each of its rows has the
+links of its own vector.  A null id keeps its row, with a null component.  An empty
+table gives an empty one.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._store import giving_back, materialize
+from ._store import giving_back, materialize, partitions
+from ._text import U, mix
 from .components import connected_components
 
+#: Share of pairs at the threshold whose signatures may differ in too many bits.
+FAR = 1e-7
 
-def _codes(x: np.ndarray, tables: int, bits: int) -> np.ndarray:
-    """int32 code of each row in each table; directions depend on the dimension only."""
-    rng = np.random.default_rng([20240607, x.shape[1], tables, bits])
-    signs = x @ rng.standard_normal((x.shape[1], tables * bits)) > 0
-    return (signs.reshape(len(x), tables, bits) @ (1 << np.arange(bits))).astype(np.int32)
+
+def _signs(x: np.ndarray, count: int) -> np.ndarray:
+    """Signs of the products with ``count`` directions, which depend on the dimension only."""
+    rng = np.random.default_rng([20240607, x.shape[1], count])
+    return x @ rng.standard_normal((x.shape[1], count)) > 0
 
 
 def shape_of(largest: int, least: float, missed: float) -> tuple[int, int]:
     """(tables, bits) for the largest label's classes."""
-    bits = min(24, max(6, (max(1, largest) // 32).bit_length()))
+    bits = min(60, max(6, (max(1, largest) // 32).bit_length()))
     agree = (1 - np.arccos(np.clip(least, -1, 1)) / np.pi) ** bits
     return max(1, int(np.ceil(np.log(missed) / np.log1p(-min(agree, 1 - 1e-12))))), bits
 
 
+def most_apart(bits: int, least: float, far: float = FAR) -> int:
+    """Bits in which signatures at the threshold differ at most, but for a share of ``far``."""
+    p = float(np.arccos(np.clip(least, -1, 1)) / np.pi)
+    beyond, k = 1.0, -1
+    while beyond > far and k < bits:
+        k += 1
+        beyond -= comb(bits, k) * p**k * (1 - p) ** (bits - k)
+    return k
+
+
 def _packed(x: np.ndarray) -> bytes:
     small = x.astype(np.float32)
     return b"4" + small.tobytes() if (small == x).all() else b"8" + x.tobytes()
@@ -79,6 +99,52 @@ def _parts(near: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def _grouped(rows: DataFrame, keys: list[str], judge, schema: str, names: list[str]) -> DataFrame:
+    """``judge(key, columns)`` of each group of rows with equal keys; it gives rows."""
+    n = max(2, partitions(rows.sparkSession))
+    rows = rows.repartition(n, *keys).sortWithinPartitions(*keys)
+    width = len(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        key, held = None, []
+
+        def flush() -> None:
+            if len(held) > 1:
+                out.extend(judge(key, list(map(list, zip(*held)))))
+
+        def made() -> pa.RecordBatch:
+            columns = list(zip(*out)) if out else [()] * len(names)
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
+
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if row[:width] != key:
+                    flush()
+                    key, held = row[:width], []
+                held.append(row[width:])
+            yield made()
+            out = []
+        flush()
+        yield made()
+
+    return rows.mapInArrow(giving_back(run), schema)
+
+
+def _blocked(rows: DataFrame, keys: list[str], block: int) -> tuple[DataFrame, list[str]]:
+    """Rows dealt to pairs of blocks (lo, hi) where a group has more than ``block`` of them;
+    ``own`` is a row's block."""
+    large = rows.groupBy(*keys).agg(F.count("*").alias("m")).where(F.col("m") > block)
+    large = materialize(large.select(*keys, F.ceil(F.col("m") / block).cast("int").alias("nb")), "large")
+    if large.isEmpty():
+        out = rows.withColumn("lo", F.lit(0)).withColumn("hi", F.lit(0)).withColumn("own", F.lit(0))
+    else:
+        out = rows.join(large, keys, "left").withColumn("nb", F.coalesce("nb", F.lit(1)))
+        out = out.withColumn("own", F.pmod(F.xxhash64("rep", "alt"), F.col("nb")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+        out = out.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")).drop("nb", "other")
+    return out, [*keys, "lo", "hi"]
+
+
 def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least: float = 0.98, tables: int | None = None, bits: int | None = None, block: int = 2048, missed: float = 1e-5) -> DataFrame:
     """One row per vector: id, n_links, component_id and kept."""
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
@@ -90,103 +156,92 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
                 good = label is not None and v and None not in v
                 x = np.array(v if good else [], float)
                 raw.append(_packed(x) if good and np.isfinite(x).all() and x.any() else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(raw, pa.binary())], ["id", "label", "raw"])
+            key = pa.array([None if r is None else hashlib.sha256(r).digest()[:16] for r in raw], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), key, pa.array(raw, pa.binary())], ["id", "label", "key", "raw"])
 
-    vectors = materialize(rows.mapInArrow(giving_back(clean), "id long, label string, raw binary"), "vectors").withColumn("key", F.sha2("raw", 256))
+    vectors = rows.mapInArrow(giving_back(clean), "id long, label string, key binary, raw binary")
     real = vectors.where("raw is not null and id is not null")
-    classes = materialize(real.groupBy("label", "key").agg(F.min("id").alias("rep"), F.count("*").alias("size"), F.first("raw").alias("raw")), "classes")
+    classes = materialize(real.groupBy("label", "key").agg(F.min("id").alias("rep"), F.count("*").alias("size"), F.first("raw").alias("raw")), "classes", large=True)
+    # Classes that share their first id (its vectors differ) are told apart by ``alt``.
+    of = F.struct("label", "key")
+    several_of = materialize(real.groupBy("id").agg(F.min(of).alias("lo"), F.max(of).alias("hi")).where("lo <> hi").select("id"), "several")
+    if several_of.isEmpty():
+        classes = classes.withColumn("alt", F.lit(0).cast("long"))
+    else:
+        twice = several_of.select(F.col("id").alias("rep"))
+        order = Window.partitionBy("rep").orderBy("label", "key")
+        several = classes.join(twice, "rep", "left_semi").withColumn("alt", F.row_number().over(order).cast("long") - 1)
+        single = classes.join(twice, "rep", "left_anti").withColumn("alt", F.lit(0).cast("long"))
+        classes = materialize(single.unionByName(several), "classes", large=True)
 
     if bits is None:
         largest = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 1
         auto, bits = shape_of(largest, least, missed)
         tables = tables or auto
     tables = tables or 24
+    apart = most_apart(tables * bits, least)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = batch.column("raw").to_pylist()
-            by_size: dict[int, list[int]] = {}
+            raw, label = batch.column("raw").to_pylist(), batch.column("label").to_pylist()
+            by_kind: dict[tuple[str, int], list[int]] = {}
             for i, x in enumerate(raw):
-                by_size.setdefault(_dim(x), []).append(i)
-            for width, own in by_size.items():
+                by_kind.setdefault((label[i], _dim(x)), []).append(i)
+            for (name, width), own in by_kind.items():
                 x = _matrix([raw[i] for i in own])
-                codes = _codes(x / np.abs(x).max(axis=1, keepdims=True), tables, bits)
-                part = batch.take(pa.array(own))
-                n = len(own)
+                signs = _signs(x / np.abs(x).max(axis=1, keepdims=True), tables * bits)
+                codes = signs.reshape(len(own), tables, bits) @ (U(1) << np.arange(bits).astype(U))
+                seed = int.from_bytes(hashlib.sha256(f"{width}:{name}".encode()).digest()[:8], "little")
+                # Label, dimension, table and code as one number; two that collide share a bucket, which adds candidates only.
+                bucket = mix(codes ^ mix(np.arange(tables).astype(U) + U(seed))[None, :])
+                part, n = batch.take(pa.array(own)), len(own)
                 at = pa.array(np.repeat(np.arange(n), tables))
-                flat = [pa.array([c.tobytes() for c in codes], pa.binary()).take(at)]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("label").take(at), pa.array(np.full(n * tables, width, np.int32)), pa.array(np.tile(np.arange(tables, dtype=np.int32), n)), pa.array(codes.ravel()), part.column("rep").take(at), part.column("size").take(at), part.column("raw").take(at), *flat],
-                    ["label", "width", "tab", "code", "rep", "size", "raw", "codes"],
-                )
-
-    dealt = classes.select("label", "rep", "size", "raw").mapInArrow(giving_back(deal), "label string, width int, tab int, code int, rep long, size long, raw binary, codes binary")
-    bucket = ["label", "width", "tab", "code"]
-    # Sizes of buckets over one block; the count of rows bounds how many there can be.
-    large = dealt.groupBy(*bucket).agg(F.count("*").alias("m")).where(F.col("m") > block)
-    large = materialize(large.select(*bucket, F.ceil(F.col("m") / block).cast("int").alias("blocks")), "large")
-    tiles = dealt if large.isEmpty() else dealt.join(large, bucket, "left")
-    blocks = F.lit(1) if large.isEmpty() else F.coalesce(F.col("blocks"), F.lit(1))
-    tiles = tiles.withColumn("nb", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
-    tiles = tiles.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    tiles = tiles.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
-    keys = [*bucket, "lo", "hi"]
-    tiles = tiles.select(*keys, "own", "rep", "size", "raw", "codes")
-    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2)
-    tiles = tiles.repartition(n, *keys).sortWithinPartitions(*keys)
-
-    def judge(lo: int, hi: int, tab: int, own: list[int], rep: list[int], size: list[int], raw: list[bytes], codes: list[bytes]) -> Iterator[tuple[int, int, int]]:
+                flat = pa.array([r.tobytes() for r in np.packbits(signs, axis=1)], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(bucket.ravel().view(np.int64)), part.column("rep").take(at), part.column("alt").take(at), flat.take(at)], ["bucket", "rep", "alt", "sig"])
+
+    dealt = classes.select("label", "rep", "alt", "raw").mapInArrow(giving_back(deal), "bucket long, rep long, alt long, sig binary")
+    tiles, keys = _blocked(dealt, ["bucket"], block)
+
+    def candidates(key: tuple, columns: list[list]) -> Iterator[tuple[int, int]]:
+        own, rep, sig = columns
+        signs = np.unpackbits(np.frombuffer(b"".join(sig), np.uint8).reshape(len(rep), -1), axis=1, count=tables * bits).astype(np.float32) * 2 - 1
+        near = signs @ signs.T >= tables * bits - 2 * apart
+        np.fill_diagonal(near, False)
+        if key[1] != key[2]:
+            near &= np.array(own)[:, None] != np.array(own)[None, :]
+        for i, j in _parts(near):
+            if rep[i] != rep[j]:
+                yield rep[i], rep[j]
+
+    pairs = _grouped(tiles.select(*keys, "own", "rep", "sig"), keys, candidates, "a long, b long", ["a", "b"])
+    groups = connected_components(pairs)
+    members = classes.join(groups.select(F.col("id").alias("rep"), F.col("component").alias("group")), "rep").select("group", "label", F.octet_length("raw").alias("width"), "rep", "alt", "size", "raw")
+    tiles, keys = _blocked(members, ["group", "label", "width"], block)
+
+    def judge(key: tuple, columns: list[list]) -> Iterator[tuple[int, int, int, int]]:
+        own, rep, alt, size, raw = columns
         x = _matrix(raw)
         x = x / np.abs(x).max(axis=1, keepdims=True)
         x = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
         near = x @ x.T >= least
         np.fill_diagonal(near, False)
-        if lo != hi:
-            side = np.array(own)
-            near &= side[:, None] != side[None, :]
-        a, b = np.nonzero(near)
-        if not len(a):
-            return
-        c = np.frombuffer(b"".join(codes), np.int32).reshape(len(rep), -1)
-        fresh = np.ones(len(a), bool)
-        for t in range(tab):
-            fresh &= c[a, t] != c[b, t]
-        sums = np.bincount(a[fresh], np.array(size, float)[b[fresh]], len(rep))
+        if key[3] != key[4]:
+            near &= np.array(own)[:, None] != np.array(own)[None, :]
+        sums = near @ np.array(size, float)
         for i in np.flatnonzero(sums):
-            yield rep[i], -1, int(sums[i])
+            yield rep[i], alt[i], -1, int(sums[i])
         for i, j in _parts(near):
-            yield rep[i], rep[j], 0
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple[int, int, int]] = []
-        key, held = None, []
-
-        def flush() -> None:
-            if len(held) > 1:
-                own, rep, size, raw, codes = map(list, zip(*held))
-                out.extend(judge(key[4], key[5], key[2], own, rep, size, raw, codes))
-
-        def made() -> pa.RecordBatch:
-            a, b, s = zip(*out) if out else ((), (), ())
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s, pa.int64())], ["a", "b", "links"])
-
-        for batch in batches:
-            columns = [c.to_pylist() for c in batch.columns]
-            for row in zip(*columns):
-                if row[:6] != key:
-                    flush()
-                    key, held = row[:6], []
-                held.append(row[6:])
-            yield made()
-            out = []
-        flush()
-        yield made()
-
-    judged = materialize(tiles.mapInArrow(giving_back(run), "a long, b long, links long"), "judged", large=True)
-    parts = connected_components(judged.where("b >= 0 or links = 0").select("a", "b"))
-    sums = judged.where("links > 0").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
-    found = classes.select("label", "key", "rep", "size").join(sums, "rep", "left").join(parts.withColumnRenamed("id", "rep"), "rep", "left")
-    found = found.select("label", "key", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component"))
-    out = vectors.select("id", "label", "key").join(found, ["label", "key"], "left")
+            yield rep[i], 0, rep[j], 0
+
+    judged = materialize(_grouped(tiles.select(*keys, "own", "rep", "alt", "size", "raw"), keys, judge, "a long, alt long, b long, links long", ["a", "alt", "b", "links"]), "judged", large=True)
+    links = judged.where("links = 0").select("a", "b")
+    if not several_of.isEmpty():
+        bound = real.join(several_of, "id", "left_semi").select("id", "label", "key").join(classes.select("label", "key", "rep"), ["label", "key"])
+        links = links.union(bound.select("id", "rep"))
+    parts = connected_components(links)
+    sums = judged.where("links > 0").groupBy(F.col("a").alias("rep"), "alt").agg(F.sum("links").alias("links"))
+    found = classes.select("label", "key", "rep", "alt", "size").join(sums, ["rep", "alt"], "left").join(parts.withColumnRenamed("id", "rep"), "rep", "left")
+    found = materialize(found.select("label", "key", "rep", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component")), "found")
+    named = vectors.select("id", "label", "key").join(found, ["label", "key"], "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
-    return out.select(F.col("id").alias(id_col), F.when(F.col("id").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
+    return named.select(F.col("id").alias(id_col), F.when(F.col("id").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
