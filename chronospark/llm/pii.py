@@ -9,9 +9,12 @@ labels of one document agree.  A token gets a new span only if its posterior rea
 ``threshold`` and a skip path leads to a token of that kind that the rules found, so a
 document without findings stays untouched.
 
-The factors are trained piecewise on a bounded sample of documents (``sample`` rows
-with the smallest hashes of their texts), with the rules as teachers: half of the
-tokens hide that a rule found them, so the field learns what such tokens look like.
+All weights (shape of a token with each label, neighbours, skip links) are fitted by the
+pseudo-likelihood with a ridge, on a bounded sample of documents (``sample`` rows with
+the smallest hashes of their texts).  The rules are the teachers: half of what they found
+is hidden and has to be told from its shape and its links, and half of it is repeated
+further on as people repeat such things (bare digits, other marks, a part of it, in
+capitals) with the same label, as is one open token for each, with none.
 
 Nulls and empty texts have no spans.  Each row is judged alone, so repeated rows give
 repeated results, and ties are broken by position and then by the order of kinds.
@@ -43,6 +46,9 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _TOKEN = re.compile(r"[^ \t\n\v\f\r]+")
 _MARKS = re.compile(r"[^A-Za-z0-9@]+")
+_DIGITS = re.compile(r"[0-9]+")
+_LETTERS = re.compile(r"[^\W\d_]+")
+_LONG_RUN = re.compile(r"(.)\1{4,}", re.S)
 
 
 def luhn(digits: str) -> bool:
@@ -100,16 +106,8 @@ def matches(text: str) -> tuple[list[Span], list[tuple[int, int]]]:
 
 
 def shape(token: str) -> str:
-    """Classes of characters with runs shortened: what a token looks like."""
-    out: list[str] = []
-    for c in token[:64]:
-        k = "9" if c in "0123456789" else "a" if c.isalpha() else c
-        if out and out[-1][0] == k:
-            if len(out[-1]) < 4:
-                out[-1] += k
-        else:
-            out.append(k)
-    return "".join(out[:12])
+    """Classes of characters of the whole token with runs shortened: what it looks like."""
+    return _LONG_RUN.sub(r"\1\1\1\1", _LETTERS.sub(lambda m: "a" * min(4, len(m[0])), _DIGITS.sub(lambda m: "9" * min(4, len(m[0])), token)))
 
 
 class Graph:
@@ -130,7 +128,11 @@ class Graph:
                 continue
             while near < len(marks) and marks[near][1] <= m.start():
                 near += 1
-            own = [x for x in marks[near : near + 4] if x[0] < m.end() and x[1] > m.start()]
+            own, k = [], near
+            while k < len(marks) and marks[k][0] < m.end():
+                if marks[k][1] > m.start():
+                    own.append(marks[k])
+                k += 1
             label = max((x[2] for x in own), default=0)
             node = len(self.spans)
             self.spans.append(m.span())
@@ -153,47 +155,92 @@ class Graph:
         self.open = any(not (self.given[b] and self.given[a]) for a, b in self.skip)
 
 
+def repeated(text: str, found: list[Span], rng: np.random.Generator) -> tuple[str, list[Span]]:
+    """The text with half of the findings, and as many open tokens, repeated at its end
+    in other forms; the repeats of findings are further spans."""
+    out, more = [text], []
+    size = len(text)
+    open_ = [m[0] for m in _TOKEN.finditer(text) if _DIGIT.search(m[0]) and not any(s < m.end() and e > m.start() for _, s, e, _ in found)]
+    for kind, s, e, _ in found:
+        if rng.random() < 0.5:
+            continue
+        value = text[s:e]
+        way = int(rng.integers(3))
+        if kind == "email":
+            again = (value.upper(), value.split("@")[0], value)[way]
+        else:
+            digits = "".join(c for c in value if c in "0123456789")
+            again = (digits, value.replace(" ", ".").replace("-", "."), digits[-7:])[way]
+        out.append(f" see {again}")
+        more.append((kind, size + 5, size + 5 + len(again), False))
+        size += len(out[-1])
+        if open_:
+            out.append(f" with {open_[int(rng.integers(len(open_)))]}")
+            size += len(out[-1])
+    return "".join(out), more
+
+
 class Field:
-    """Factors in logs, trained piecewise from counts with add-one smoothing."""
+    """Weights of shapes, neighbours and skip links, fitted by the pseudo-likelihood."""
 
-    def __init__(self, graphs: list[Graph], hide: float = 0.5, seed: int = 7):
+    def __init__(self, graphs: list[Graph], taught: list[list[int]], hide: float = 0.5, seed: int = 7, ridge: float = 2.0, steps: int = 300):
+        """``taught`` holds the true labels of each graph's nodes."""
         n = len(LABELS)
-        seen: dict[tuple[str, int], np.ndarray] = {}
-        chain, skip, total = np.ones((n, n)), np.ones((n, n)), np.ones(n)
         rng = np.random.default_rng(seed)
-        for g in graphs:
-            hidden = rng.random(len(g.spans)) < hide
-            for s, label, dropped, out in zip(g.shapes, g.labels, g.dropped, hidden):
-                state = 2 if dropped else 1 if label and not out else 0
-                seen.setdefault((s, state), np.ones(n))[label] += 1
-                total[label] += 1
-            for edges, counts in ((g.chain, chain), (g.skip, skip)):
-                for a, b in edges:
-                    counts[g.labels[a], g.labels[b]] += 1
-                    counts[g.labels[b], g.labels[a]] += 1
-        prior = total / total.sum()
-        self.prior = np.log(prior)
-        self.node = {k: np.log(v / v.sum()) for k, v in seen.items()}
-
-        def pair(c: np.ndarray) -> np.ndarray:
-            c = c / c.sum()
-            return np.log(c / np.outer(c.sum(1), c.sum(0)))
-
-        self.chain, self.skip = pair(chain), pair(skip)
-        # Repeated tokens must not repel each other, however few were seen in training.
-        self.skip = np.maximum(self.skip, np.where(np.eye(n, dtype=bool), 1.0, -4.0))
+        self.shapes: dict[tuple[str, int], int] = {}
+        kind, label, given, dropped, edges = [], [], [], [], ([], [])
+        for g, own in zip(graphs, taught):
+            base = len(label)
+            hidden = rng.random(len(own)) < hide
+            for s, truth, known, out, far in zip(g.shapes, own, g.given, hidden, g.dropped):
+                kind.append(self.shapes.setdefault((s, int(far)), len(self.shapes)))
+                label.append(truth)
+                given.append(known and not out)
+                dropped.append(far)
+            for links, of in zip(edges, (g.chain, g.skip)):
+                links += [(base + a, base + b) for a, b in of]
+        self.node = np.zeros((len(self.shapes) + 1, n))  # the last row: shapes that were not seen
+        self.prior, self.chain, self.skip = np.zeros(n), np.zeros((n, n)), np.zeros((n, n))
+        if not label:
+            return
+        kind, label = np.array(kind), np.array(label)
+        open_ = ~np.array(given) & ~np.array(dropped)
+        truth = np.eye(n)[label]
+        pairs = [np.array(x, int).reshape(-1, 2) for x in edges]
+        weights = [self.node[:-1], self.prior, self.chain, self.skip]
+        speed = [(np.zeros_like(w), np.zeros_like(w)) for w in weights]
+        for t in range(1, steps + 1):
+            odds = weights[0][kind] + weights[1]
+            for (p, w) in zip(pairs, weights[2:]):
+                np.add.at(odds, p[:, 0], w[:, label[p[:, 1]]].T)
+                np.add.at(odds, p[:, 1], w[label[p[:, 0]]])
+            odds -= odds.max(axis=1, keepdims=True)
+            share = np.exp(odds)
+            share /= share.sum(axis=1, keepdims=True)
+            off = np.where(open_[:, None], truth - share, 0.0)  # of the log-likelihood of each open node
+            slopes = [np.zeros_like(w) for w in weights]
+            np.add.at(slopes[0], kind, off)
+            slopes[1] = off.sum(axis=0)
+            for p, slope in zip(pairs, slopes[2:]):
+                np.add.at(slope.T, label[p[:, 1]], off[p[:, 0]])
+                np.add.at(slope, label[p[:, 0]], off[p[:, 1]])
+            slopes[3] = (slopes[3] + slopes[3].T) / 2  # a skip link has no direction
+            for w, slope, (first, second) in zip(weights, slopes, speed):
+                slope -= ridge * w
+                first *= 0.9
+                first += 0.1 * slope
+                second *= 0.99
+                second += 0.01 * slope**2
+                w += 0.1 * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.99**t)) + 1e-8)
 
     def unary(self, g: Graph) -> np.ndarray:
         out = np.empty((len(g.spans), len(LABELS)))
         for i, (s, label, dropped) in enumerate(zip(g.shapes, g.labels, g.dropped)):
-            if label:
+            if label or dropped:
                 out[i] = -50.0
                 out[i, label] = 0.0
-            elif dropped:
-                out[i] = -50.0
-                out[i, 0] = 0.0
             else:
-                out[i] = self.node.get((s, 0), self.prior)
+                out[i] = self.node[self.shapes.get((s, 0), -1)] + self.prior
         return out
 
     def posterior(self, g: Graph, rounds: int = 20, damping: float = 0.3) -> np.ndarray:
@@ -254,8 +301,22 @@ def _sample(df: DataFrame, rows: int) -> list[str]:
     return [r["__text"] for r in smallest_hashes(open_texts, "__text", rows).collect()]
 
 
-def train(texts: list[str]) -> Field:
-    return Field([Graph(t, *matches(t)) for t in texts])
+def train(texts: list[str], seed: int = 11) -> Field:
+    rng = np.random.default_rng(seed)
+    graphs, taught = [], []
+    for text in texts:
+        found, dropped = matches(text)
+        text, more = repeated(text, found, rng)
+        found, dropped = matches(text)  # a repeat may be a finding of the rules again
+        g = Graph(text, found, dropped)
+        own = list(g.labels)
+        for kind, s, e, _ in more:
+            for i, (a, b) in enumerate(g.spans):
+                if a < e and b > s and not own[i] and not g.dropped[i]:
+                    own[i] = LABELS.index(kind)
+        graphs.append(g)
+        taught.append(own)
+    return Field(graphs, taught)
 
 
 def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 500, threshold: float = 0.8, carry: tuple[str, ...] = ()) -> DataFrame:
