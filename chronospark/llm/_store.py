@@ -16,9 +16,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a local one only where that is unset."""
+    """The folder in ``spark.checkpoint.dir``.
+
+    Only in local mode, where there is but one machine, an unset one is made up.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="chronospark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")

@@ -1,17 +1,26 @@
 """Secrets by fixed rules and a battery of randomness tests.
 
 The rules find assignments, access keys and long hexadecimal runs in whole texts.  The
-battery judges the other unbroken runs of at least ``SHORTEST`` characters that mix
-character classes.  A run ends at "=" unless that is its padding, so the value of
-"name=value" is a run of its own; one that no alphabet holds, as a path before a key, is
-judged by its parts between "-" and "_" or between "+" and "/".  The encoding is inferred (hex, base32, base58, base64), then the
-characters are tested for uniformity over that alphabet (chi-squared), their bits for
-runs (Wald-Wolfowitz) and for serial correlation.  Under the hypothesis "text chosen
-by people" such statistics are far out; its p-value is the chance that a run of the
-same length from a first-order model of ordinary words looks as random as this one.
+battery judges the other unbroken runs of at least ``SHORTEST`` characters that hold a
+letter.  A run ends at "=" unless that is its padding, so the value of "name=value" is a
+run of its own; one that no alphabet holds, as a path before a key, is judged by its
+parts between "-" and "_" or between "+" and "/".  The encoding is inferred: the smallest
+of the alphabets in ``ENCODINGS`` that holds the run.  Three tests follow, each with
+about 0 for random runs: chi-squared for the uniformity of the characters over that
+alphabet, the number of runs (of character classes, or of the alphabet's halves where it
+has one class), and the serial correlation of vowels (of the values where it has none).
+
+Their weighted sum is judged against the hypothesis "written by people": identifiers made
+of the words in ``WORDS`` with separators, capitals and numbers as people put them
+(``written``).  A fixed simulation of such identifiers gives, for each encoding and
+length, the weights (those that tell written from random runs best), mean and spread of
+the sum, and the distribution of what is left; so p-values are uniform for such
+identifiers, with an exponential tail below one in fifty, and
+doubled, as other words and styles are in use.  A run of more than LONGEST
+characters is judged by its pieces: its p-value is that of the least random one.
 
 False discoveries are controlled over all documents at once: the p-values are counted
-per length band (a bounded table), each band gets a share of the error rate that grows
+per length band (a bounded table: ten bins for each power of ten that a double holds), each band gets a share of the error rate that grows
 with its length, and the largest Benjamini-Hochberg threshold is found per band.
 
 Nulls and empty texts have no spans; repeated rows are repeated findings; ties in
@@ -20,7 +29,9 @@ p-values fall on the same side of the threshold.
 
 from __future__ import annotations
 
+import functools
 import math
+import random
 import re
 from collections.abc import Iterator
 
@@ -49,9 +60,12 @@ _UPPER = _LOWER.upper()
 ENCODINGS = {
     "hex": "0123456789abcdef",
     "HEX": "0123456789ABCDEF",
+    "lower": _LOWER,
+    "upper": _UPPER,
     "base32": _UPPER + "234567",
     "base36": _DIGITS + _LOWER,
     "BASE36": _DIGITS + _UPPER,
+    "letters": _LOWER + _UPPER,
     "base62": _DIGITS + _LOWER + _UPPER,
     "base64url": _UPPER + _LOWER + _DIGITS + "-_",
     "base64": _UPPER + _LOWER + _DIGITS + "+/",
@@ -61,7 +75,24 @@ _SETS = {k: frozenset(v) for k, v in ENCODINGS.items()}
 BANDS = (20, 24, 32, 48, 64, 128, 1 << 62)
 _WEIGHT = np.array([0.5, 0.75, 1.0, 1.0, 1.25, 1.25, 1.25])
 WEIGHTS = _WEIGHT / _WEIGHT.sum()
-BINS = 400
+BINS = 3001
+#: Lengths that are simulated, runs of each, and the longest piece that is judged at once.
+LENGTHS = (16, 20, 24, 32, 40, 48, 64, 96, 128, 192, 256)
+SIMULATED, LONGEST = 1500, 256
+#: Share of the simulated runs below which the tail is continued.
+TAIL = 0.02
+#: p-values are multiplied by it, as people use other words and styles than the simulated ones.
+MARGIN = 2.0
+# Words that identifiers are made of.
+WORDS = (
+    "get set is has add new old all any use run end key map list item name type value data file path user group role page link text line word size time date year month day "
+    "hour count total index number first last next start stop open close read write load save send find search sort filter merge split join build make create update delete "
+    "remove insert select table column row field form view model class object function method module package server client request response message error warning status "
+    "state event handler manager service factory provider controller helper util config option setting default current previous parent child node tree graph image button "
+    "window screen color width height left right top bottom center border style layout content title header footer section chapter report order invoice payment customer "
+    "account address city country street phone product price stock market company project task team member release version branch test case result release notes final "
+    "draft the and for with from into over under about international connection profile information application development environment language document"
+).split()
 
 
 def rules(text: str) -> list[Span]:
@@ -77,13 +108,46 @@ def rules(text: str) -> list[Span]:
 
 
 def encoding(run: str) -> str | None:
-    """The smallest alphabet that holds the run, its padding aside."""
+    """The smallest alphabet that holds the run, its padding aside; none for numbers."""
     chars = set(run.rstrip("="))
+    if chars <= set(_DIGITS):
+        return None
     return next((k for k, v in _SETS.items() if chars <= v), None)
 
 
-def _normal(z: float) -> float:
-    return 0.5 * math.erfc(z / math.sqrt(2))
+def _tables(name: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each character of an alphabet: its class for the runs, and what the serial
+    correlation is taken of."""
+    alphabet = ENCODINGS[name]
+    kinds = np.array([0 if c in _DIGITS else 1 if c in _LOWER else 2 if c in _UPPER else 3 for c in alphabet])
+    _, kinds = np.unique(kinds, return_inverse=True)
+    if kinds.max() == 0:
+        kinds = (np.arange(len(alphabet)) >= len(alphabet) // 2).astype(int)
+    serial = np.array([c in "aeiouAEIOU" for c in alphabet], float) if len(alphabet) > 16 else np.arange(len(alphabet), dtype=float)
+    return kinds, np.bincount(kinds) / len(alphabet), serial
+
+
+_OF = {k: _tables(k) for k in ENCODINGS}
+_PLACE = {k: {c: i for i, c in enumerate(v)} for k, v in ENCODINGS.items()}
+
+
+def statistics(values: np.ndarray, name: str) -> np.ndarray:
+    """The three tests of runs of one length (a row of places in the alphabet each)."""
+    m, n = values.shape
+    size = len(ENCODINGS[name])
+    kinds, share, serial = _OF[name]
+    counts = np.bincount((np.arange(m)[:, None] * size + values).ravel(), minlength=m * size).reshape(m, size)
+    squares = (counts.astype(float) ** 2).sum(axis=1) * size / n - n
+    chi = (squares - (size - 1)) / math.sqrt(2 * (size - 1) * max(n - 1, 1) / n)
+    k = kinds[values]
+    p = 1 - float((share**2).sum())
+    changes = (k[:, 1:] != k[:, :-1]).sum(axis=1)
+    runs = ((n - 1) * p - changes) / math.sqrt((n - 1) * p * (1 - p))
+    x = serial[values]
+    x = x - x.mean(axis=1, keepdims=True)
+    spread = (x**2).sum(axis=1)
+    lag = (x[:, 1:] * x[:, :-1]).sum(axis=1) / np.where(spread > 1e-9, spread, 1.0)
+    return np.column_stack([chi, runs, -(lag + 1 / n) * math.sqrt(n)])
 
 
 def battery(run: str) -> tuple[float, float, float]:
@@ -91,74 +155,149 @@ def battery(run: str) -> tuple[float, float, float]:
     name = encoding(run)
     if name is None:
         return 9.0, 9.0, 9.0
-    run = run.rstrip("=")
-    alphabet = ENCODINGS[name]
-    size, n = len(alphabet), len(run)
-    value = np.array([alphabet.index(c) for c in run])
-    # Uniformity over character classes in proportion to their part of the alphabet, and
-    # over letters: n is small beside the alphabet, so single cells would say little.
-    kinds = np.array([0 if c.isdigit() else 1 if c.islower() else 2 if c.isupper() else 3 for c in alphabet])
-    share = np.bincount(kinds, minlength=4) / size
-    seen = np.bincount(kinds[value], minlength=4)
-    live = share > 0
-    chi = float(((seen[live] - n * share[live]) ** 2 / (n * share[live])).sum())
-    df = max(1, int(live.sum()) - 1)
-    counts = np.bincount(value, minlength=size)
-    pairs = float((counts * (counts - 1)).sum())
-    mean = n * (n - 1) / size
-    chi_z = max((chi - df) / math.sqrt(2 * df), (pairs - mean) / math.sqrt(2 * mean + 1e-9))
-    # Runs of classes: written words change class rarely.
-    k = kinds[value]
-    changes = int((k[1:] != k[:-1]).sum())
-    p = 1 - float((share**2).sum())
-    runs_z = ((n - 1) * p - changes) / math.sqrt((n - 1) * p * (1 - p) + 1e-9) if p > 0.05 else 0.0
-    # Serial correlation of vowels and consonants: syllables alternate.
-    vowel = np.array([c in "aeiouAEIOU" for c in run], float)
-    vowel -= vowel.mean()
-    spread = float((vowel**2).sum())
-    serial = float((vowel[1:] * vowel[:-1]).sum()) / spread if spread > 1e-9 else 0.0
-    serial_z = -(serial + 1 / n) * math.sqrt(n)
-    return chi_z, runs_z, serial_z
+    place = _PLACE[name]
+    return tuple(statistics(np.array([[place[c] for c in run.rstrip("=")]]), name)[0].tolist())
+
+
+def written(rng: random.Random, length: int, name: str) -> str:
+    """An identifier of ``length`` characters as people write them, in this encoding."""
+    words, chars = _fitting(name), _SETS[name]
+    rate = 0.35 if chars & set(_DIGITS) else 0.0
+    style, mark = rng.randrange(3), rng.choice("_-") if name == "base64url" else "/" if name == "base64" else ""
+    out: list[str] = []
+    size = 0
+    while size < length:
+        if rng.random() < rate * (1 if out else 0.2):
+            top = rng.choice((10, 100, 2040, 10**6))
+            piece = "".join(c for c in str(rng.randrange(1950 if top == 2040 else 0, top)) if c in chars)
+        else:
+            piece = rng.choice(words)
+            if name in ("upper", "HEX", "base32", "BASE36"):
+                piece = piece.upper()
+            elif name in ("letters", "base62") or (mark and style == 0):
+                piece = piece.upper() if rng.random() < 0.05 else piece.capitalize() if out or style else piece
+        if out and mark and rng.random() < 0.9:
+            piece = mark + piece
+        out.append(piece)
+        size += len(piece)
+    return "".join(out)[:length]
+
+
+@functools.cache
+def _fitting(name: str) -> list[str]:
+    """The words that an alphabet can hold; of hexadecimal ones their letters that it has."""
+    if name in ("hex", "HEX"):
+        short = {"".join(c for c in w if c in "abcdef") for w in WORDS}
+        return sorted(w for w in short if len(w) >= 2)
+    return list(WORDS)
+
+
+class Battery:
+    """The battery with its simulated distributions; a fixed table of some 100 KB."""
+
+    def __init__(self, seed: int = 20240607):
+        rng, dice = np.random.default_rng(seed), random.Random(seed)
+        self.weight: dict[str, np.ndarray] = {}
+        self.mean: dict[str, np.ndarray] = {}
+        self.spread: dict[str, np.ndarray] = {}
+        self.rest: dict[str, np.ndarray] = {}
+        self.beyond: dict[str, float] = {}
+        for name, alphabet in ENCODINGS.items():
+            place, weights, means, spreads, rest = _PLACE[name], [], [], [], []
+            long = [written(dice, LENGTHS[-1], name) for _ in range(SIMULATED)]
+            for n in LENGTHS:
+                made = [r[:n] for r in long]
+                runs = [r for r in made if encoding(r) == name]
+                if len(runs) < len(made) // 10:  # an encoding that identifiers of this length hardly show
+                    runs = made
+                own = statistics(np.array([[place[c] for c in r] for r in runs]), name)
+                chance = statistics(rng.integers(0, len(alphabet), (1000, n)), name)
+                within = np.cov(own.T) + np.cov(chance.T) + 1e-3 * np.eye(3)
+                w = np.linalg.solve(within, own.mean(axis=0) - chance.mean(axis=0))
+                w /= np.abs(w).sum() or 1.0
+                score = own @ w
+                weights.append(w)
+                means.append(score.mean())
+                spreads.append(score.std() or 1.0)
+                rest.append((means[-1] - score) / spreads[-1])
+            self.weight[name], self.mean[name], self.spread[name] = np.array(weights), np.array(means), np.array(spreads)
+            left = np.sort(np.concatenate(rest))
+            cut = int(len(left) * (1 - TAIL))
+            self.beyond[name] = float((left[cut:] - left[cut]).mean()) or 1.0
+            self.rest[name] = left[np.linspace(0, cut, 501).astype(int)]
+
+    def score(self, name: str, tests: np.ndarray, n: int) -> np.ndarray:
+        """How far below the written ones the weighted sums lie, in their spreads."""
+        at = np.log(min(max(n, LENGTHS[0]), LENGTHS[-1]))
+        grid = np.log(LENGTHS)
+        mean, spread = (np.interp(at, grid, x[name]) for x in (self.mean, self.spread))
+        weight = np.array([np.interp(at, grid, self.weight[name][:, k]) for k in range(3)])
+        return (mean - tests @ weight) / spread
+
+    def tail(self, name: str, far: np.ndarray) -> np.ndarray:
+        """Share of written runs that lie at least as far below."""
+        known = self.rest[name]
+        inside = 1 - np.searchsorted(known, far, "left") / (len(known) - 1) * (1 - TAIL)
+        outside = TAIL * np.exp(-(far - known[-1]) / self.beyond[name])
+        return np.where(far > known[-1], outside, np.clip(inside, TAIL, 1.0))
+
+    def p_value(self, run: str) -> float:
+        """Chance that a written run of this length looks as random as this one."""
+        name = encoding(run)
+        if name is None:
+            return 1.0
+        place = _PLACE[name]
+        value = np.array([place[c] for c in run.rstrip("=")])
+        pieces = np.array_split(value, -(-len(value) // LONGEST))
+        out = 0.0
+        for piece in pieces:
+            tests = statistics(piece[None], name)
+            out = max(out, float(self.tail(name, self.score(name, tests, len(piece)))[0]))
+        return min(1.0, max(MARGIN * out, 1e-300))
+
+
+@functools.cache
+def judge() -> Battery:
+    """The battery of this process; the simulation is the same everywhere."""
+    return Battery()
 
 
-#: Mean and spread of the combined score of written runs, and its change with length.
-WRITTEN_MEAN, WRITTEN_SLOPE, WRITTEN_SPREAD = 2.0, 0.9, 1.0
+def p_value(run: str) -> float:
+    return judge().p_value(run)
 
 
-def p_value(run: str) -> float:
-    """Chance that a written run of this length looks as random as this one."""
-    chi, runs, serial = battery(run)
-    score = (max(chi, -1.0) + max(runs, -1.0) + 0.5 * max(serial, -1.0)) / 1.5
-    expected = WRITTEN_MEAN + WRITTEN_SLOPE * math.sqrt(len(run))
-    return max(_normal((expected - score) / WRITTEN_SPREAD), 1e-300)
-
-
-def _judged(run: str, at: int) -> tuple[int, int, float] | None:
-    """Start, end and p-value of a run that is long enough and mixes classes."""
-    digit = any(c in _DIGITS for c in run)
-    letters = (any(c in _LOWER for c in run)) + (any(c in _UPPER for c in run))
-    if len(run) < SHORTEST or digit + letters < 2 or not digit:
+def _judged(run: str, at: int, known: Battery) -> tuple[int, int, float] | None:
+    """Start, end and p-value of a run that is long enough and holds a letter."""
+    if len(run) < SHORTEST or run.isdigit():
         return None
-    return at, at + len(run), p_value(run)
+    return at, at + len(run), known.p_value(run)
 
 
-def _parts(run: str, at: int) -> list[tuple[int, int, float]]:
+def _parts(run: str, at: int, known: Battery) -> list[tuple[int, int, float]]:
     """The run, or its parts by the separators that leave the most random one."""
     if encoding(run) is not None:
-        found = _judged(run, at)
+        found = _judged(run, at, known)
         return [found] if found else []
-    ways = [[x for m in split.finditer(run) if (x := _judged(m[0], at + m.start()))] for split in _SPLITS]
+    ways = [[x for m in split.finditer(run) if (x := _judged(m[0], at + m.start(), known))] for split in _SPLITS]
     best = min(ways, key=lambda way: min((p for _, _, p in way), default=2.0))
     # The better of two ways was picked, so a p-value counts twice.
     return [(s, e, min(1.0, len(_SPLITS) * p)) for s, e, p in best]
 
 
-def candidates(text: str, found: list[Span]) -> list[tuple[int, int, float]]:
-    """Runs outside the rules' spans that mix classes: start, end and p-value."""
-    out = []
+def candidates(text: str, found: list[Span], known: Battery | None = None) -> list[tuple[int, int, float]]:
+    """Runs outside the rules' spans: start, end and p-value."""
+    out, near = [], 0
+    ends = np.maximum.accumulate([x[2] for x in found]).tolist() if found else []
     for m in _RUN.finditer(text):
         if len(m[0]) >= SHORTEST:
-            out += [x for x in _parts(m[0], m.start()) if not any(s < x[1] and e > x[0] for _, s, e, _ in found)]
+            while near < len(ends) and ends[near] <= m.start():
+                near += 1
+            close = []
+            for k in range(near, len(found)):
+                if found[k][1] >= m.end():
+                    break
+                close.append(found[k])
+            out += [x for x in _parts(m[0], m.start(), known or judge()) if not any(s < x[1] and e > x[0] for _, s, e, _ in close)]
     return out
 
 
@@ -197,14 +336,17 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: fl
     kind = df.schema[id_col].dataType.simpleString()
     made = f"`{id_col}` {kind}, spans array<struct<kind:string,start:long,end:long,base:boolean>>, runs array<struct<start:long,end:long,p:double,band:int,bin:int>>"
 
+    shared = df.sparkSession.sparkContext.broadcast(judge())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
         span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_())]))
         seen = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("p", pa.float64()), ("band", pa.int32()), ("bin", pa.int32())]))
         for batch in batches:
             one, two = [], []
             for text in batch.column(1).to_pylist():
                 found = rules(text) if text else []
-                runs = candidates(text, found) if text else []
+                runs = candidates(text, found, known) if text else []
                 one.append([{"kind": k, "start": s, "end": e, "base": b} for k, s, e, b in found])
                 two.append([{"start": s, "end": e, "p": p, "band": _band(e - s), "bin": _bin(p)} for s, e, p in runs])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(one, span), pa.array(two, seen)], [id_col, "spans", "runs"])
