@@ -7,12 +7,13 @@ Reports are tables, or JSON lines with --json.
 from __future__ import annotations
 
 import argparse
+import contextlib
 import json
 import logging
 import os
 import sys
 import time
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
@@ -259,6 +260,30 @@ def config_verb(a) -> int:
 VERBS = {"merge": merge_verb, "export": export_verb, "info": info_verb, "channels": channels_verb, "stat": stat_verb, "cache": cache_verb, "convert": convert_verb, "verify": verify_verb, "dump": dump_verb}
 
 
+#: Called with (verb, step, seconds) for each step of a verb: "started", "done" or "failed".
+LISTENERS: list[Callable[[str, str, float], None]] = []
+
+
+@contextlib.contextmanager
+def progress(verb: str) -> Iterator[None]:
+    """Tells the log and the listeners of a verb's steps."""
+    begin = time.perf_counter()
+
+    def tell(step: str) -> None:
+        took = time.perf_counter() - begin
+        log.info("%s %s after %.1f s", verb, step, took)
+        for listener in LISTENERS:
+            listener(verb, step, took)
+
+    tell("started")
+    try:
+        yield
+    except BaseException:
+        tell("failed")
+        raise
+    tell("done")
+
+
 def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -> int:
     try:
         a = parser().parse_args(argv)
@@ -273,7 +298,8 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
     spark = spark or SparkSession.builder.appName("chronospark").getOrCreate()
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     try:
-        return VERBS[a.verb](spark, a, load_config())
+        with progress(a.verb):
+            return VERBS[a.verb](spark, a, load_config())
     except FormatError as e:
         print(e, file=sys.stderr)
         return FORMAT_ERROR

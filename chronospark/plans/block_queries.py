@@ -6,6 +6,7 @@ the format, so the reader is held against it and not against its own counterpart
 
 from __future__ import annotations
 
+import io
 import json
 import struct
 from collections.abc import Callable, Iterator
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..operators import filters, stats, timebase
 from ..sources.checksums import crc32c
+from ..sources.live import LiveRecording
 from ..sources.views import VIEWS, Options, rows
 from .queries import S, query
 from .tables import samples, table
@@ -428,3 +430,47 @@ def timebase_increment(spark: SparkSession, sf_dir: str) -> DataFrame:
     start = timebase.time_range(samples(spark, sf_dir)).select("channel", F.col("first_ts").alias("a"))
     step: Column = F.lit(1000).cast("double")
     return rows_.join(start, "channel").select("channel", timebase.equidistant_ts(F.col("a"), step, F.col("i"), "increment").alias("ts_ns"))
+
+
+def _live(key: int) -> bytes:
+    """One recording, written block by block."""
+    out = io.BytesIO()
+    r = LiveRecording(out, integrity="crc32c" if key % 2 else "none")
+    a, b, c = r.add_channel("a", "double"), r.add_channel("b", "int32"), r.add_channel("c", "string")
+    r.start()
+    for k in range(key):
+        r.samples(a, [k * 10], [float(k)])
+        r.samples(c, [k * 10], [f"text {k}"])
+    r.segment(b, 1000, 1e9, [0, 1])
+    r.more(b, [2])
+    r.more(b, [3, 4])
+    r.close()
+    return out.getvalue()
+
+
+@query("""select n_name as file, 'a' as channel, k * 10 as ts_ns, cast(cast(k as double) as varchar) as v from nation, unnest(range(0, n_nationkey)) t(k)
+union all select n_name, 'c', k * 10, 'text ' || k from nation, unnest(range(0, n_nationkey)) t(k) union all select n_name, 'b', 1000 + k, cast(k as varchar) from nation, unnest(range(0, 5)) t(k)""")
+def live_recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recordings that grew sample by sample, with a segment that went on."""
+    from ..functions.types import value_as_string as text_of
+
+    return view(nations(spark, sf_dir, _live)).select("file", "channel", "ts_ns", text_of().alias("v"))
+
+
+@query("select n_name as file, cast(k as integer) as blocks, cast(k as bigint) as samples from nation, unnest(range(0, 6)) t(k)")
+def live_power_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """After any of its blocks a growing recording can be read up to it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file in batch.column(0).to_pylist():
+                out, left = io.BytesIO(), []
+                r = LiveRecording(out)
+                c = r.add_channel("a", "double")
+                r.start()
+                for k in range(6):
+                    left.append(sum(b.num_rows for b in rows(file, out.getvalue(), Options())))
+                    r.samples(c, [k], [1.0])
+                yield pa.RecordBatch.from_arrays([pa.array([file] * 6), pa.array(range(6), pa.int32()), pa.array(left, pa.int64())], ["file", "blocks", "samples"])
+
+    return table(spark, sf_dir, "nation").select("n_name").mapInArrow(run, "file string, blocks int, samples long")

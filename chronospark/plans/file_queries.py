@@ -221,6 +221,15 @@ def sidecar_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("file", total.alias("samples"), F.col("j.first_timestamp_ns").alias("first_ts"), F.size("j.channels").cast("long").alias("channels"), zone.alias("zone"))
 
 
+@query(f"{FILES}, c as ({CATALOG}) select file, channel, n, first_ts, last_ts, 'valid' as status from c")
+def catalog_of_sidecars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written beside the recordings, read again and held against the files."""
+    path = recorded(spark, sf_dir)
+    catalog.write_sidecars(catalog.build(spark, path))
+    known = catalog.read_sidecars(spark, path)
+    return known.join(catalog.status(known, catalog.listing(spark, path)), "file").select(base("file").alias("file"), "channel", "n", "first_ts", "last_ts", "status")
+
+
 @query(f"{S}, n as (select lower(channel) as channel, count(*) n, min(ts_ns) first_ts, max(ts_ns) last_ts from s group by 1) select upper(channel) as channel, n, first_ts, last_ts from n union all select 'ABSENT', 0, null, null")
 def channels_with_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Definitions with counts and ranges of the catalog, by name without regard to case."""

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.times import fmt_ts
 from ..operators.filters import overlaps
-from .recordings import GLOB, read
+from .recordings import GLOB, _store, read
+from .wire import EXTENSIONS
 
 
 def listing(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
@@ -20,6 +24,8 @@ def listing(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame
 VERSION = 1
 #: Times of change that differ by less are the same, as file systems round them.
 TOLERANCE_S = 1.5
+#: What is put behind a recording's name for the JSON file beside it.
+SIDECAR = ".json"
 
 
 def build(spark: SparkSession, path: str, files: DataFrame | None = None, paths: list[str] | None = None) -> DataFrame:
@@ -130,3 +136,32 @@ def with_catalog(channels: DataFrame, catalog: DataFrame) -> DataFrame:
     known = catalog.groupBy(F.lower("channel").alias("__key")).agg(F.sum("n").alias("n"), F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"))
     out = channels.join(known, F.lower("channel") == F.col("__key"), "left").drop("__key")
     return out.withColumn("n", F.coalesce("n", F.lit(0)))
+
+
+def write_sidecars(catalog: DataFrame) -> int:
+    """A JSON file beside each recording, named after it; gives how many."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, value in zip(*(c.to_pylist() for c in batch.columns)):
+                store, path = _store(file)
+                with store.open_output_stream(path + SIDECAR) as f:
+                    f.write(value.encode())
+            yield batch.select([0])
+
+    return sidecars(catalog).mapInArrow(run, "file string").count()
+
+
+def read_sidecars(spark: SparkSession, path: str) -> DataFrame:
+    """The catalog that the JSON files below a path make up; what is no such file is left out."""
+    # The names of the fields.
+    channel = "struct<index:int,name:string,datatype:string,physicalunit:string,sample_count:long,first_timestamp_ns:long,last_timestamp_ns:long>"
+    schema = f"osf_cache_version int, source_file string, source_size long, source_modified string, truncated boolean, channels array<{channel}>"
+    texts = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{EXTENSIONS[0]}*{SIDECAR}").text(path, wholetext=True)
+    found = texts.select(F.from_json("value", schema).alias("j")).where(F.col("j.osf_cache_version") == VERSION).select("j.*", F.explode_outer("j.channels").alias("c"))
+    time = lambda f: F.when(F.col("c.sample_count") > 0, F.col(f"c.{f}"))
+    return found.select(
+        F.col("source_file").alias("file"), F.col("source_size").alias("size"), F.to_timestamp("source_modified", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("mtime"), F.coalesce("truncated", F.lit(False)).alias("truncated"),
+        F.col("c.index").alias("channel_index"), F.col("c.name").alias("channel"), F.col("c.datatype").alias("datatype"), F.col("c.physicalunit").alias("physical_unit"), F.col("c.sample_count").alias("n"),
+        time("first_timestamp_ns").alias("first_ts"), time("last_timestamp_ns").alias("last_ts"), F.lit(None).cast("string").alias("error"), F.lit(VERSION).alias("catalog_version"),
+    )

@@ -174,7 +174,11 @@ def test_command_line(spark, folder, tmp_path, capsys, monkeypatch):
     rows = {r["channel"]: r for r in map(json.loads, capsys.readouterr().out.splitlines())}
     assert rows["Sensor/Counter"]["mean"] == 49.5 and rows["Sensor/Empty"]["n"] == 0
     assert run("dump", one, "1", "nothing", "--limit", 2) == 0 and run("dump", one, "nothing") == 2
+    steps = []
+    cli.LISTENERS.append(lambda *x: steps.append(x[:2]))
     assert run("verify", one, "--strict") == 0
+    cli.LISTENERS.clear()
+    assert steps == [("verify", "started"), ("verify", "done")]
     assert run("verify", f"file://{folder}", "--strict") == 4
     assert run("convert", one, tmp_path / "c", "--v4") == 0
     assert run("export", one, f"file://{tmp_path}/u", "--format", "unified-csv") == 0
@@ -347,3 +351,34 @@ def test_catalog_keeps_a_whole_generation(spark, tmp_path):
     assert made["osf_cache_version"] == 1 and made["first_timestamp_ns"] == 5 and made["channels"][0]["sample_count"] == 2 and made["first_timestamp_utc"].endswith("Z")
     catalog.load(spark, at).withColumn("catalog_version", F.lit(0)).write.parquet(f"{at}/generation-9")
     assert catalog.load(spark, at) is None
+
+
+def test_live_recording(tmp_path):
+    from chronospark.sources.live import LiveRecording
+    from chronospark.sources.views import Options, rows
+
+    count = lambda p: sum(b.num_rows for b in rows("x", p.read_bytes(), Options()))
+    path = tmp_path / "live.osf"
+    r = LiveRecording(str(path), integrity="crc32c")
+    a, b = r.add_channel("a", "double"), r.add_channel("b", "string")
+    with pytest.raises(ValueError):
+        r.samples(a, [1], [1.0])
+    r.start()
+    with pytest.raises(ValueError):
+        r.add_channel("late", "double")
+    for k in range(5):
+        assert count(path) == 2 * k
+        r.samples(a, [k], [1.0])
+        r.samples(b, [k], ["x" * k * 20_000])
+    with pytest.raises(ValueError):
+        r.more(a, [1.0])
+    with pytest.raises(ValueError):
+        r.segment(a, 0, 1.0, [1.0])
+    made = r.close("gzip")
+    assert made.endswith(".osfz") and not path.exists() and count(tmp_path / "live.osfz") == 10
+    with pytest.raises(ValueError):
+        r.samples(a, [1], [1.0])
+    with pytest.raises(FileExistsError):
+        again = LiveRecording(str(tmp_path / "live.osfz"))
+        again.add_channel("a", "double")
+        again.start()
