@@ -24,7 +24,6 @@ from .codec_queries import _typed
 from .queries import S, query
 from .tables import CHANNELS, samples, shared_dir, table
 
-INDEX = F.array_position(F.array(*[F.lit(c) for c in CHANNELS]), F.col("channel")).cast("int") - 1
 DAY = 86_400_000_000_000
 
 
@@ -36,7 +35,8 @@ def weeks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as samples of recordings: a folder for each half, a file for each week in it."""
     week = F.floor(F.col("ts_ns") / (7 * DAY)).cast("string")
     name = F.concat(F.when(F.col("ord") % 2 == 0, "a/").otherwise("b/"), F.lit("w"), week)
-    return _typed(samples(spark, sf_dir).withColumn("file", name)).withColumn("channel_index", INDEX)
+    index = F.array_position(F.array(*[F.lit(c) for c in CHANNELS]), F.col("channel")).cast("int") - 1
+    return _typed(samples(spark, sf_dir).withColumn("file", name)).withColumn("channel_index", index)
 
 
 def recorded(spark: SparkSession, sf_dir: str, **how: Any) -> str:
