@@ -503,7 +503,7 @@ def corpus_recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"{S} select event_id, ts_ns from s where ts_ns >= 1705276800000000000")
-def open_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+def interval_without_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A bound that is missing, or not above 0, is none."""
     found = filters.interval(samples(spark, sf_dir, 1705276800000000000), 1705276800000000000, -1)
     return found.select(F.col("ord").alias("event_id"), "ts_ns")
