@@ -84,8 +84,8 @@ def _keys(values: Iterable[bytes]) -> np.ndarray:
 class Vocabulary:
     """Ranks with their two lookup tiers; small enough to broadcast."""
 
-    #: Encoded pre-tokens that a worker remembers; the memory is emptied when full.
-    REMEMBERED = 200_000
+    #: Encoded pre-tokens in each of the two memories of a worker.
+    REMEMBERED = 150_000
 
     def __init__(self, tokens: list[bytes], pattern: str):
         self.tokens, self.pattern = tokens, pattern
@@ -100,7 +100,8 @@ class Vocabulary:
 
             self.split = regex.compile(self.pattern).findall
             self.ranks = {t: i for i, t in enumerate(self.tokens)}
-            self.memory: dict[str, tuple[int, ...]] = {}
+            self.memory: dict[str, tuple[tuple[int, ...], str, bytes]] = {}
+            self.before: dict[str, tuple[tuple[int, ...], str, bytes]] = {}
         return self
 
     def __getstate__(self) -> dict:
@@ -134,23 +135,48 @@ class Vocabulary:
 
     def learn(self, pieces: list[str]) -> None:
         """Resolve pre-tokens that are not remembered."""
-        memory, raw = self.memory, [p.encode() for p in pieces]
+        raw = [p.encode() for p in pieces]
         found = self.at[self.hash(_keys(raw))].tolist()
-        tokens, merge = self.tokens, self.merge
+        tokens, merge, decode, memory = self.tokens, self.merge, self.decode, self.memory
         for piece, data, rank in zip(pieces, raw, found):
-            memory[piece] = (rank,) if tokens[rank] == data else merge(data)
+            ids = (rank,) if tokens[rank] == data else merge(data)
+            memory[piece] = (ids, ",".join(map(str, ids)), decode(ids))
+
+    def split_all(self, texts: list[str]) -> list[list[str]]:
+        """The pre-tokens of each text, all of them known to the memory afterwards.
+
+        What is new in all texts is resolved at once.  A full memory becomes the old one,
+        from which what is still in use comes back, so common pre-tokens stay known.
+        """
+        self.ready()
+        pieces = [self.split(t) if t else [] for t in texts]
+        if len(self.memory) > self.REMEMBERED:
+            self.before, self.memory = self.memory, {}
+        memory, before = self.memory, self.before
+        new = set().union(*pieces).difference(memory)
+        if before:
+            for p in new & before.keys():
+                memory[p] = before[p]
+            new = new.difference(memory)
+        if new:
+            self.learn(list(new))
+        return pieces
 
     def encode(self, texts: list[str]) -> Iterator[list[int]]:
         """The ids of each text, as encode_ordinary of the public library gives them."""
-        self.ready()
-        memory = self.memory
-        for text in texts:
-            pieces = self.split(text) if text else []
-            if len(memory) > self.REMEMBERED:
-                memory.clear()
-            if new := set(pieces).difference(memory):
-                self.learn(list(new))
-            yield list(chain.from_iterable(map(memory.__getitem__, pieces)))
+        known = self.split_all(texts)
+        for pieces in known:
+            yield [i for p in map(self.memory.__getitem__, pieces) for i in p[0]]
+
+    def digests(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
+        """Of each text: how many ids, SHA-256 of them (decimal, comma-joined) and of the bytes that they decode to.
+
+        What the ids of a pre-token are written and decoded as is remembered with it.
+        """
+        known = self.split_all(texts)
+        for pieces in known:
+            ids, said, raw = zip(*map(self.memory.__getitem__, pieces)) if pieces else ((), (), ())
+            yield sum(map(len, ids)), hashlib.sha256(",".join(said).encode()).hexdigest(), hashlib.sha256(b"".join(raw)).hexdigest()
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -172,19 +198,15 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = shared.value.ready()
-        decimal = [str(i) for i in range(len(words.tokens))]
         for whole in batches:
-            for at in range(0, max(1, whole.num_rows), 1000):
-                batch = whole.slice(at, 1000)
+            for at in range(0, max(1, whole.num_rows), 256):
+                batch = whole.slice(at, 256)
                 texts = [t or "" for t in batch.column(1).to_pylist()]
-                count, one, two = [], [], []
-                for ids in words.encode(texts):
-                    count.append(len(ids))
-                    if digests:
-                        one.append(hashlib.sha256(",".join(map(decimal.__getitem__, ids)).encode()).hexdigest())
-                        two.append(hashlib.sha256(words.decode(ids)).hexdigest())
-                    else:
-                        one.append(ids)
+                if digests:
+                    count, one, two = (list(x) for x in zip(*words.digests(texts))) if texts else ([], [], [])
+                else:
+                    one = list(words.encode(texts))
+                    count = [len(ids) for ids in one]
                 columns = [batch.column(0), pa.array(count, pa.int64())]
                 columns += [pa.array(one, pa.string()), pa.array(two, pa.string())] if digests else [pa.array(one, pa.list_(pa.int32()))]
                 names = [id_col, "n_tokens"] + (["ids_sha256", "decoded_sha256"] if digests else ["ids"])
