@@ -12,7 +12,8 @@ The sample is the largest (in tokens) whose marginals no value is too small for,
 a share of ``least`` of all tokens at least: values that are too small for their part of
 that stay whole, and what they lack goes to the other values.  Only given targets, which
 are met as they are, can make it smaller.  Where the cells cannot meet the marginals at
-that size, smaller ones down to the least share are tried, and the one nearest is taken.
+that size, smaller ones down to the least share are tried, and the one nearest is taken;
+a warning says how far it is off.
 
 Targets are shares per value.  Where none are given, a marginal's shares are its own
 to the power ``temper``, so large sources lose weight and small ones gain.  Values
@@ -25,12 +26,16 @@ with their cell's probability.  Repeated rows have equal probability and equal f
 
 from __future__ import annotations
 
+import logging
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._store import materialize
 
+log = logging.getLogger(__name__)
+
 MARGINALS = ("source", "lang", "topic")
 #: Cells that may be raked on the driver (a few MB); more are raked by Spark.
 DRIVER_CELLS = 100_000
@@ -168,6 +173,8 @@ def _nearest(limits: list[tuple[str, float]], given: dict, least: float, toleran
         if worst < tolerance or size <= floor:
             break
         size = max(floor, size * SMALLER)
+    if off >= tolerance:
+        log.warning("the cells cannot meet the marginals: the sample that comes nearest is off by %.2g of all tokens", off)
     return best
 
 
@@ -217,21 +224,24 @@ def keyed(df: DataFrame, text_col: str = "text", topic: Column | None = None) ->
 
 
 def draw(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", targets: dict[str, dict[str, float]] | None = None, temper: float = 0.85, seed: int = 1, only_drawn: bool = False, least: float = LEAST) -> DataFrame:
-    """All columns of ``df``, then source_cell, topic, tokens, probability and sampled.
+    """id, source, lang, topic, tokens, probability and sampled of each row.
 
     With ``only_drawn`` the drawn rows and only the columns of ``df``.
     """
     names = df.columns
     text = F.col(text_col).cast("string")
-    # Only what the cells and the draw need is kept from the first reading.
-    rows = df.select(*[F.col(c).alias(f"__in{i}") for i, c in enumerate(names)], *keyed(df, text_col), F.xxhash64(F.lit(seed), F.col(id_col), text).alias("__draw"))
+    own = keyed(df, text_col)
+    draw_of = F.xxhash64(F.lit(seed), F.col(id_col), text).alias("__draw")
+    if only_drawn:  # whole rows: their cells are found again when they are written
+        rows = df.select(*[F.col(c).alias(f"__in{i}") for i, c in enumerate(names)], *own, draw_of)
+    else:  # the texts are read once; what is left of them is narrow
+        rows = materialize(df.select(F.col(id_col).alias(f"__in{names.index(id_col)}"), *own, draw_of), "keyed")
     cells = rows.groupBy(F.col("__source").alias("source"), F.col("__lang").alias("lang"), F.col("__topic").alias("topic")).agg(F.sum("__tokens").alias("tokens"))
     found = factors(cells, targets, temper, least=least).select(*[F.col(c).alias(f"__{c}") for c in MARGINALS], F.col("probability").alias("__p"))
     # At most DRIVER_CELLS cells are broadcast, more are joined by a shuffle.
     joined = rows.join(found, ["__source", "__lang", "__topic"], "left")
     unit = (F.shiftrightunsigned(F.col("__draw"), 11).cast("double")) / F.lit(float(1 << 53))
     drawn = unit < F.col("__p")
-    kept = [F.col(f"__in{i}").alias(c) for i, c in enumerate(names)]
     if only_drawn:
-        return joined.where(drawn).select(*kept)
+        return joined.where(drawn).select(*[F.col(f"__in{i}").alias(c) for i, c in enumerate(names)])
     return joined.select(F.col(f"__in{names.index(id_col)}").alias(id_col), F.col("__source").alias("source"), F.col("__lang").alias("lang"), F.col("__topic").alias("topic"), F.col("__tokens").alias("tokens"), F.col("__p").alias("probability"), drawn.alias("sampled"))
