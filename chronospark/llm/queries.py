@@ -111,8 +111,11 @@ g as (select doc_id, i, hash(array_to_string(w[i:i+49], ' ')) as h, md5(array_to
 f as (select doc_id, i from g qualify min(doc_id) over (partition by h, m) < doc_id),
 r as (select distinct doc_id, unnest(range(i, i + 50)) as j from f),
 p as (select doc_id, unnest(w) as t, unnest(range(1, len(w) + 1)) as j from w),
-k as (select p.doc_id, count(*) as kept, string_agg(t, ' ' order by p.j) as t from p anti join r on r.doc_id = p.doc_id and r.j = p.j group by 1)
-select w.doc_id, cast(len(w.w) as bigint) as n_words, cast(len(w.w) - coalesce(k.kept, 0) as bigint) as n_removed, sha256(coalesce(k.t, '')) as kept_sha256 from w left join k using (doc_id)
+k as (select p.doc_id, count(*) as kept, string_agg(t, ' ' order by p.j) as t from p anti join r on r.doc_id = p.doc_id and r.j = p.j group by 1),
+i as (select doc_id, j, j - row_number() over (partition by doc_id order by j) as island from r),
+m as (select doc_id, min(j) - 1 as s, max(j) as e from i group by doc_id, island),
+x2 as (select doc_id, string_agg(s || ':' || e, ',' order by s) as repeats from m group by 1)
+select w.doc_id, cast(len(w.w) as bigint) as n_words, cast(len(w.w) - coalesce(k.kept, 0) as bigint) as n_removed, sha256(coalesce(k.t, '')) as kept_sha256, coalesce(x2.repeats, '') as repeats from w left join k using (doc_id) left join x2 using (doc_id)
 """,
     "op6_warc": """
 with a as (select page_id, url, html from pages),
