@@ -8,8 +8,10 @@ view to learn from.  Both are then calibrated on a held-out fifth of the labels,
 logistic combination of the two calibrated scores, fitted there too, scores all
 documents.
 
-Fitting uses at most ``labelled`` labelled and ``unlabelled`` other documents (those
-with the smallest hashes of their ids); every document is scored.  Labels are joined by
+Fitting uses at most ``labelled`` labelled documents, and pseudo-labels from a random
+``pool`` of others (both those with the smallest hashes of their ids), as the method
+does: the surest documents of all would be the least telling ones.  Every document is
+scored.  An id teaches once.  Labels are joined by
 id; where an id has several, their mean decides, and a tie is good.  Without labels of
 both classes every score is 1.  A null text is an empty one; null sources and
 languages are values of their own.  Repeated rows get equal scores.
@@ -165,28 +167,34 @@ class CoTrained:
 
 
 def _view_rows(df: DataFrame, ids: DataFrame, text_col: str) -> list[tuple]:
-    """Features of the rows with these ids, of which there are few."""
-    rows = df.select(F.col("doc_id").alias("__id"), F.col(text_col).cast("string").alias("__text"), F.col("source").cast("string").alias("__source"), F.col("lang").cast("string").alias("__lang"))
-    rows = rows.join(F.broadcast(ids), F.col("__id") == F.col("__want")).drop("__want")
+    """Features of one row of each of these ids, of which there are few.
+
+    Of rows that repeat an id the one with the smallest hash of its text counts, so what
+    goes to the driver is bounded by the number of ids.
+    """
+    text = F.col(text_col).cast("string")
+    rows = df.select(F.col("doc_id").alias("__id"), text.alias("__text"), F.col("source").cast("string").alias("__source"), F.col("lang").cast("string").alias("__lang"), F.xxhash64(text, "source", "lang").alias("__hash"))
+    rows = rows.join(F.broadcast(ids), F.col("__id") == F.col("__want")).select("__id", "__text", "__source", "__lang", "good", "__hash")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "__text"):
                 a, b = features(part.column(1), part.column(2).to_pylist(), part.column(3).to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), part.column(4), pa.array(list(a), pa.list_(pa.float64())), pa.array(list(b), pa.list_(pa.float64()))], ["id", "good", "content", "meta"])
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), part.column(4), pa.array(list(a), pa.list_(pa.float64())), pa.array(list(b), pa.list_(pa.float64())), part.column(5)], ["id", "good", "content", "meta", "hash"])
 
-    made = rows.mapInArrow(giving_back(run), "id long, good int, content array<double>, meta array<double>")
-    return sorted(map(tuple, made.collect()), key=lambda r: (r[0], r[2]))
+    made = rows.mapInArrow(giving_back(run), "id long, good int, content array<double>, meta array<double>, hash long")
+    one = made.groupBy("id").agg(F.min_by(F.struct("good", "content", "meta"), F.struct("hash", "content", "meta")).alias("r"))
+    return sorted(map(tuple, one.select("id", "r.good", "r.content", "r.meta").collect()), key=lambda r: r[0])
 
 
-def train(df: DataFrame, labels: DataFrame, text_col: str = "text", labelled: int = 6000, unlabelled: int = 6000, rounds: int = 5) -> CoTrained:
+def train(df: DataFrame, labels: DataFrame, text_col: str = "text", labelled: int = 6000, pool: int = 6000, rounds: int = 5) -> CoTrained:
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("good"))
     order = [F.xxhash64(F.lit(5), "doc_id"), F.col("doc_id")]
     own = known.orderBy(*order).limit(labelled).select(F.col("doc_id").alias("__want"), "good")
-    others = df.select("doc_id").where("doc_id is not null").orderBy(*order).limit(unlabelled).select(F.col("doc_id").alias("__want"), F.lit(None).cast("int").alias("good")).dropDuplicates(["__want"])
-    taught = _view_rows(df, own, text_col)[: 2 * labelled]
+    others = df.select("doc_id").where("doc_id is not null").distinct().orderBy(*order).limit(pool).select(F.col("doc_id").alias("__want"), F.lit(None).cast("int").alias("good"))
+    taught = _view_rows(df, own, text_col)
     seen = {r[0] for r in taught}
-    more = [r for r in _view_rows(df, others, text_col)[: 2 * unlabelled] if r[0] not in seen]
+    more = [r for r in _view_rows(df, others, text_col) if r[0] not in seen]
 
     def matrix(rows: list[tuple], k: int, width: int) -> np.ndarray:
         return np.array([r[k] for r in rows], float).reshape(len(rows), width)
@@ -196,12 +204,12 @@ def train(df: DataFrame, labels: DataFrame, text_col: str = "text", labelled: in
     return CoTrained(matrix(taught, 2, widths[0]), matrix(taught, 3, widths[1]), np.array([r[1] for r in taught], int), matrix(more, 2, widths[0]), matrix(more, 3, widths[1]), rounds)
 
 
-def classify(df: DataFrame, labels: DataFrame, text_col: str = "text", least: float = 0.5, labelled: int = 6000, unlabelled: int = 6000, rounds: int = 5, only_kept: bool = False) -> DataFrame:
+def classify(df: DataFrame, labels: DataFrame, text_col: str = "text", least: float = 0.5, labelled: int = 6000, pool: int = 6000, rounds: int = 5, only_kept: bool = False) -> DataFrame:
     """doc_id, content_score, meta_score, score and keep of each row.
 
     With ``only_kept`` the kept rows, all columns of ``df`` as they are.
     """
-    shared = df.sparkSession.sparkContext.broadcast(train(small_batches(df), labels, text_col, labelled, unlabelled, rounds))
+    shared = df.sparkSession.sparkContext.broadcast(train(small_batches(df), labels, text_col, labelled, pool, rounds))
     rows = df if only_kept else df.select("doc_id", text_col, "source", "lang")
     kind = df.schema["doc_id"].dataType.simpleString()
     at = [rows.columns.index(c) for c in ("doc_id", text_col, "source", "lang")]

@@ -353,6 +353,15 @@ def test_classifier(spark, empty):
     assert quality.classify(docs, known.where("quality = 1")).where("keep").count() == docs.count()
 
 
+def test_a_repeated_id_teaches_once(spark):
+    rows = [(1, f"text number {i} of one id", "en", "s", 9) for i in range(500)] + [(i, f"other words {i}", "en", "s", 9) for i in range(2, 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    ids = spark.createDataFrame([(1, 1), (2, 0)], "__want long, good int")
+    a, b = (quality._view_rows(docs.repartition(n), ids, "text") for n in (1, 5))
+    assert [r[:2] for r in a] == [(1, 1), (2, 0)] and a == b
+    assert quality.classify(docs, spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")).count() == len(rows)
+
+
 def test_views_teach_each_other():
     """With few labels, the pseudo-labels of the other view raise the accuracy."""
     import numpy as np
