@@ -209,12 +209,12 @@ def _pruned(df: DataFrame, id_col: str, text_col: str, window: int, filter_bits:
     return rows.mapInArrow(giving_back(run), f"`{id_col}` long, n_words long, n_removed long, {schema} string, repeats string")
 
 
-def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, filter_bits: int = 28) -> DataFrame:
+def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, filter_bits: int = 30) -> DataFrame:
     """id, n_words, n_removed, kept_text (the words that stay, joined by one space) and repeats
     (the maximal ranges of removed words, "start:end", comma-joined)."""
     return _pruned(df, id_col, text_col, window, filter_bits, "kept_text", lambda n, k, raw: (n, n - k, raw.decode()))
 
 
-def dedup_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, filter_bits: int = 28) -> DataFrame:
+def dedup_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, filter_bits: int = 30) -> DataFrame:
     """As ``dedup`` with the SHA-256 of the kept text instead of the text."""
     return _pruned(df, id_col, text_col, window, filter_bits, "kept_sha256", lambda n, k, raw: (n, n - k, hashlib.sha256(raw).hexdigest()))
