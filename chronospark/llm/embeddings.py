@@ -131,6 +131,58 @@ def _grouped(rows: DataFrame, keys: list[str], judge, schema: str, names: list[s
     return rows.mapInArrow(giving_back(run), schema)
 
 
+def _signature(signs: np.ndarray) -> np.ndarray:
+    """Signs as 64-bit words, filled up with zeros."""
+    packed = np.packbits(signs, axis=1)
+    return np.ascontiguousarray(np.pad(packed, ((0, 0), (0, -packed.shape[1] % 8)))).view(U)
+
+
+def _candidates(rows: DataFrame, keys: list[str], apart: int) -> DataFrame:
+    """Pairs (a spanning forest in each bucket) whose signatures differ in ``apart`` bits at most."""
+    n = max(2, partitions(rows.sparkSession))
+    rows = rows.repartition(n, *keys).sortWithinPartitions(*keys)
+
+    def judged(bucket: np.ndarray, lo: np.ndarray, hi: np.ndarray, own: np.ndarray, rep: np.ndarray, sig: np.ndarray) -> Iterator[tuple[int, int]]:
+        new = np.flatnonzero(np.append(True, (bucket[1:] != bucket[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1]))) if len(bucket) else np.zeros(0, int)
+        size = np.diff(np.append(new, len(bucket)))
+        for at, m in zip(new[size > 1].tolist(), size[size > 1].tolist()):
+            x = sig[at : at + m]
+            near = np.empty((m, m), bool)
+            step = max(1, (1 << 20) // (m * x.shape[1]))  # a few MB at once
+            for i in range(0, m, step):
+                near[i : i + step] = np.bitwise_count(x[i : i + step, None] ^ x[None]).sum(axis=2, dtype=np.int64) <= apart
+            np.fill_diagonal(near, False)
+            if lo[at] != hi[at]:
+                near &= own[at : at + m, None] != own[None, at : at + m]
+            if near.any():
+                ids = rep[at : at + m].tolist()
+                yield from ((ids[i], ids[j]) for i, j in _parts(near) if ids[i] != ids[j])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def given(columns: list[np.ndarray]) -> pa.RecordBatch:
+            a, b = zip(*found) if (found := list(judged(*columns))) else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+        held: list[np.ndarray] | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns[:-1]]
+            now.append(np.frombuffer(b"".join(batch.column(batch.num_columns - 1).to_pylist()), U).reshape(batch.num_rows, -1))
+            if held is not None:
+                now = [np.concatenate(x) for x in zip(held, now)]
+            last = np.ones(len(now[0]), bool)  # the last group may go on
+            for c in now[:3]:
+                last &= c == c[-1]
+            cut = int(np.argmax(last))
+            held = [c[cut:] for c in now]
+            yield given([c[:cut] for c in now])
+        if held is not None:
+            yield given(held)
+
+    return rows.mapInArrow(giving_back(run), "a long, b long")
+
+
 def _blocked(rows: DataFrame, keys: list[str], block: int) -> tuple[DataFrame, list[str]]:
     """Rows dealt to pairs of blocks (lo, hi) where a group has more than ``block`` of them;
     ``own`` is a row's block."""
@@ -196,24 +248,13 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
                 bucket = mix(codes ^ mix(np.arange(tables).astype(U) + U(seed))[None, :])
                 part, n = batch.take(pa.array(own)), len(own)
                 at = pa.array(np.repeat(np.arange(n), tables))
-                flat = pa.array([r.tobytes() for r in np.packbits(signs, axis=1)], pa.binary())
+                flat = pa.array([r.tobytes() for r in _signature(signs)], pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(bucket.ravel().view(np.int64)), part.column("rep").take(at), part.column("alt").take(at), flat.take(at)], ["bucket", "rep", "alt", "sig"])
 
     dealt = classes.select("label", "rep", "alt", "raw").mapInArrow(giving_back(deal), "bucket long, rep long, alt long, sig binary")
     tiles, keys = _blocked(dealt, ["bucket"], block)
 
-    def candidates(key: tuple, columns: list[list]) -> Iterator[tuple[int, int]]:
-        own, rep, sig = columns
-        signs = np.unpackbits(np.frombuffer(b"".join(sig), np.uint8).reshape(len(rep), -1), axis=1, count=tables * bits).astype(np.float32) * 2 - 1
-        near = signs @ signs.T >= tables * bits - 2 * apart
-        np.fill_diagonal(near, False)
-        if key[1] != key[2]:
-            near &= np.array(own)[:, None] != np.array(own)[None, :]
-        for i, j in _parts(near):
-            if rep[i] != rep[j]:
-                yield rep[i], rep[j]
-
-    pairs = _grouped(tiles.select(*keys, "own", "rep", "sig"), keys, candidates, "a long, b long", ["a", "b"])
+    pairs = _candidates(tiles.select(*keys, "own", "rep", "sig"), keys, apart)
     groups = connected_components(pairs)
     members = classes.join(groups.select(F.col("id").alias("rep"), F.col("component").alias("group")), "rep").select("group", "label", F.octet_length("raw").alias("width"), "rep", "alt", "size", "raw")
     tiles, keys = _blocked(members, ["group", "label", "width"], block)
