@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 from decimal import Decimal
@@ -49,6 +50,7 @@ class Options:
         )
 
 
+@functools.cache
 def arrow_schema(view: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 

@@ -238,3 +238,14 @@ def test_equidistant_saturates():
 def test_arrow_schema_matches():
     batch = next(iter(rows("f", mixed(), Options())))
     assert isinstance(batch, pa.RecordBatch) and batch.schema.names[0] == "file"
+
+
+def test_checksums_of_all_sizes():
+    import random
+
+    from chronospark.sources import checksums
+
+    rng = random.Random(1)
+    for n in [0, 1, 1023, 1024, 1025, 2047, 2048, 4096, 21_344, 65_535, 65_536, 100_001, *(rng.randrange(1000, 9000) for _ in range(60))]:
+        data = rng.randbytes(n)
+        assert crc32c(data) == checksums._plain(data, 0xFFFFFFFF) ^ 0xFFFFFFFF
