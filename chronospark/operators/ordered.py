@@ -92,18 +92,22 @@ def _neighbour(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket:
 
 
 def with_nearest(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, value: Column, back: str | None = "lo", forward: str | None = "hi") -> DataFrame:
-    """The last non-null value at or before each row, and the first at or after it."""
+    """The last non-null value at or before each row, and the first at or after it.
+
+    What follows is looked for in descending order, as a frame that ends with the
+    partition would be gone through anew for each of its rows.
+    """
     rows = df.withColumn("__bucket", bucket).withColumn("__v", value)
     place = F.when(F.col("__v").isNotNull(), F.struct(*order))
-    over = Window.partitionBy(*keys).orderBy("__bucket")
+    before = lambda *o: Window.partitionBy(*keys).orderBy(*o).rowsBetween(Window.unboundedPreceding, -1)
     table = rows.groupBy(*keys, "__bucket").agg(F.max_by("__v", place).alias("__last"), F.min_by("__v", place).alias("__first"))
-    carried = [F.last("__last", True).over(over.rowsBetween(Window.unboundedPreceding, -1)).alias("__from"), F.first("__first", True).over(over.rowsBetween(1, Window.unboundedFollowing)).alias("__to")]
+    carried = [F.last("__last", True).over(before("__bucket")).alias("__from"), F.last("__first", True).over(before(F.desc("__bucket"))).alias("__to")]
     table = table.select(*keys, "__bucket", *carried)
-    inside = _inside(keys, order)
+    so_far = lambda o: F.last("__v", True).over(_inside(keys, o).rowsBetween(Window.unboundedPreceding, 0))
     if back:
-        rows = rows.withColumn("__lo", F.last("__v", True).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+        rows = rows.withColumn("__lo", so_far(order))
     if forward:
-        rows = rows.withColumn("__hi", F.first("__v", True).over(inside.rowsBetween(0, Window.unboundedFollowing)))
+        rows = rows.withColumn("__hi", so_far([F.desc_nulls_last(c) if isinstance(c, str) else c.desc_nulls_last() for c in order]))
     out = rows.join(table, [*keys, "__bucket"]) if keys else rows.join(table, "__bucket")
     if back:
         out = out.withColumn(back, F.coalesce("__lo", "__from"))

@@ -77,6 +77,15 @@ def test_asof_equals_numpy(spark, series, bucket):
         assert zoh[r["ord"]] == (None if k < 0 else v[k])
 
 
+def test_asof_goes_through_no_frame_anew(spark):
+    """A frame up to the partition's end costs the square of its rows."""
+    df = frame(spark, [("a", i, float(i)) for i in range(9)])
+    for method in ("linear", "nearest", "zoh"):
+        plan = asof(df, df, method, bucket_ns=4)._jdf.queryExecution().optimizedPlan().toString().lower()
+        assert "windowexpression" in plan or "windowspecdefinition" in plan
+        assert "unboundedfollowing" not in plan
+
+
 def test_asof_edges(spark):
     source = frame(spark, [("s", 10, 1.0), ("s", 20, 3.0), ("s", 20, 5.0)])
     probe = frame(spark, [("p", 5, 0.0), ("p", 15, 0.0), ("p", 20, 0.0), ("p", 99, 0.0)]).select("ord", "ts_ns")
