@@ -8,6 +8,7 @@ stream reader and a sink, for paths that the workers can open themselves.
 
 from __future__ import annotations
 
+import io
 import json
 import posixpath
 import uuid
@@ -15,7 +16,9 @@ from collections.abc import Iterator
 from dataclasses import dataclass, replace
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -26,7 +29,8 @@ from pyspark.sql.datasource import (
     LessThan, LessThanOrEqual, WriterCommitMessage,
 )
 
-from .encode import Writer, numeric_value
+from .encode import Spooled, Writer, numeric_value
+from .frames import DTYPES
 from .views import VIEWS, Options, rows
 from .wire import EXTENSIONS, FormatError, compressed, head, peek, read_meta
 
@@ -234,34 +238,35 @@ class _Files:
         self.extension = EXTENSIONS[1] if self.compression else EXTENSIONS[0]
 
     def write_batches(self, batches: Iterator[pa.RecordBatch]) -> Written:
-        """One file's samples are in memory at a time; rows that are not sorted by file
-        give several parts of a recording."""
+        """Rows are put in order some MB at a time, so a task holds no more than these.
+
+        Rows that come in the order of recordings give one file for each; what comes later
+        and belongs before gives another part.
+        """
         store, base = _store(self.path)
-        held: list[pa.RecordBatch] = []
-        current, out = None, []
+        out: list[tuple[str, str]] = []
+        growing: Growing | None = None
+        current = None
 
-        def flush() -> None:
-            if held:
-                data = encode_samples(pa.Table.from_batches(held), self.version, self.integrity, self.compression, tag=self.tag, creator=self.creator)
+        def finish() -> None:
+            if growing is not None:
                 temporary = f"{base}/_temporary-{self.job}/{uuid.uuid4().hex}"
                 store.create_dir(posixpath.dirname(temporary), recursive=True)
                 with store.open_output_stream(temporary) as f:
-                    f.write(data)
+                    growing.write_to(f)
                 out.append((temporary, current or "recording"))
 
-        for batch in batches:
-            names = batch.column(batch.schema.get_field_index("file")).to_pylist()
-            at = 0
-            while at < len(names):
-                end = at
-                while end < len(names) and names[end] == names[at]:
-                    end += 1
-                if names[at] != current or not held:
-                    flush()
-                    held, current = [], names[at]
-                held.append(batch.slice(at, end - at))
-                at = end
-        flush()
+        for table in _gathered(batches):
+            table = _ordered(table, ("file",) + _order(table))
+            names = table.column("file")
+            edges = _changes(table, ("file",))
+            for at, end in zip(edges[:-1], edges[1:]):
+                name, part = names[at].as_py(), table.slice(at, end - at)
+                if growing is None or name != current or not growing.goes_on(part):
+                    finish()
+                    growing, current = Growing(self.version, self.integrity, self.compression, tag=self.tag, creator=self.creator), name
+                growing.add(part)
+        finish()
         return Written(out)
 
     def _present(self) -> set[str]:
@@ -365,48 +370,140 @@ def create_view(spark: SparkSession, name: str, path: str, view: str = "samples"
 _UNITS = ("physical_unit", "physical_dimension", "display_name", "comment", "reference", "mime_type", "channel_type")
 
 
-def encode_samples(table: pa.Table, version: int = 5, integrity: str = "none", compression: str | None = None, **info: Any) -> bytes:
-    """One recording from its samples: channels by index (or name), samples in order.
+#: Bytes of rows that a writing task puts in order at once.
+GATHERED = 32 << 20
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= GATHERED:
+            yield pa.Table.from_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _order(table: pa.Table) -> tuple[str, ...]:
+    """Columns by which the rows of a recording are in order."""
+    return tuple(c for c in ("channel_index", "channel", "block_ord", "sample_ord", "ts_ns") if c in table.column_names)
+
+
+def _ordered(table: pa.Table, keys: tuple[str, ...]) -> pa.Table:
+    """The rows in order; those that are already are not sorted again."""
+    n = table.num_rows
+    table = table.combine_chunks()
+    tie = np.ones(max(n - 1, 0), bool)
+    for k in keys:
+        a, b = table.column(k).slice(0, max(n - 1, 0)), table.column(k).slice(1)
+        same, less = (f(a, b).fill_null(False).to_numpy() for f in (pc.equal, pc.less))
+        if (tie & ~same & ~less).any():
+            return table.sort_by([(k, "ascending") for k in keys]).combine_chunks()
+        tie &= same
+    return table
+
+
+def _changes(table: pa.Table, keys: tuple[str, ...]) -> list[int]:
+    """Places where another value begins, with both ends."""
+    n = table.num_rows
+    new = np.zeros(max(n - 1, 0), bool)
+    for k in keys:
+        a, b = table.column(k).slice(0, max(n - 1, 0)), table.column(k).slice(1)
+        # Nulls are equal to nulls only.
+        differ = pc.not_equal(a, b).fill_null(False).to_numpy() | (a.is_null().to_numpy() != b.is_null().to_numpy())
+        new |= differ
+    return [0, *(np.flatnonzero(new) + 1).tolist(), n]
+
+
+def _plain(column: pa.ChunkedArray, datatype: str) -> Any:
+    """Values of a channel as the writer takes them; nothing is cut to fit."""
+    name = numeric_value(datatype)
+    if name in ("v_string", "v_binary"):
+        return column.to_pylist()
+    if name == "v_double":
+        return column.to_numpy()
+    if column.null_count:
+        raise ValueError(f"{datatype} channels have no nulls")
+    if name == "v_ulong":
+        return [int(v) for v in column.to_pylist()]
+    if name == "v_gps":
+        parts = column.combine_chunks()
+        return np.stack([parts.field(f).to_numpy(zero_copy_only=False) for f in ("latitude", "longitude", "altitude")], 1)
+    if name == "v_bool":
+        return column.cast(pa.uint8()).to_numpy()
+    values, room = column.to_numpy(), np.iinfo(DTYPES[datatype])
+    if len(values) and (values.min() < room.min or values.max() > room.max):
+        raise OverflowError(f"a value does not fit {datatype}")
+    return values
+
+
+class Growing(Spooled):
+    """A recording of samples that come in order, a table at a time.
 
     Equidistant channels keep their segments where the column rate_hz gives their rates;
     all others are written with a time for each sample.
     """
-    writer = Writer(version, integrity, compression, **info)
-    names = table.column_names
-    keys = [k for k in ("channel_index", "channel") if k in names]
-    order = [(k, "ascending") for k in (*keys, *(c for c in ("block_ord", "sample_ord", "ts_ns") if c in names))]
-    table = table.sort_by(order).combine_chunks()
-    label = list(zip(*(table.column(k).to_pylist() for k in keys)))
-    at = 0
-    while at < len(label):
-        end = at
-        while end < len(label) and label[end] == label[at]:
-            end += 1
-        part = table.slice(at, end - at)
-        first = {c: part.column(c)[0].as_py() for c in names}
-        more = {k: first[k] for k in _UNITS if first.get(k) is not None}
-        channel = writer.add_channel(first["channel"], first["datatype"], **more)
-        ts = part.column("ts_ns").to_pylist()
-        column = numeric_value(first["datatype"])
-        values = part.column(column).to_pylist()
-        if column == "v_ulong":
-            values = [int(v) for v in values]
-        elif column == "v_gps":
-            values = [(v["latitude"], v["longitude"], v["altitude"]) for v in values]
-        if first.get("mode") == "equidistant" and first.get("rate_hz"):
-            segment = part.column("seg_id").to_pylist()
-            rates = part.column("rate_hz").to_pylist()
-            i = 0
-            while i < len(segment):
-                j = i
-                while j < len(segment) and segment[j] == segment[i]:
-                    j += 1
-                writer.add_segment(channel, ts[i], rates[i], values[i:j])
-                i = j
-        else:
-            writer.add_samples(channel, ts, values)
-        at = end
-    return writer.to_bytes()
+
+    def __init__(self, version: int = 5, integrity: str = "none", compression: str | None = None, **info: Any):
+        super().__init__(Writer(version, integrity, compression, **info))
+        self.last: tuple | None = None
+        self.segment: tuple | None = None
+
+    def _place(self, table: pa.Table, row: int) -> tuple:
+        return tuple(table.column(k)[row].as_py() for k in _order(table))
+
+    def goes_on(self, table: pa.Table) -> bool:
+        """Whether the rows belong behind those that are there."""
+        try:
+            return self.last is None or self._place(table, 0) >= self.last
+        except TypeError:  # of nulls none is the first
+            return False
+
+    def add(self, table: pa.Table) -> None:
+        keys = tuple(k for k in ("channel_index", "channel") if k in table.column_names)
+        label = lambda t, row: tuple(t.column(k)[row].as_py() for k in keys)
+        edges = _changes(table, keys)
+        for at, end in zip(edges[:-1], edges[1:]):
+            if at < end:
+                self._add(label(table, at), table.slice(at, end - at))
+        self.last = self._place(table, table.num_rows - 1)
+        self.flush()
+
+    def _add(self, key: tuple, part: pa.Table) -> None:
+        w = self.writer
+        if key != getattr(self, "key", None):
+            first = {c: part.column(c)[0].as_py() for c in part.column_names}
+            more = {k: first[k] for k in _UNITS if first.get(k) is not None}
+            self.channel = w.add_channel(first["channel"], first["datatype"], **more)
+            self.key, self.segment = key, None
+            self.equidistant = first.get("mode") == "equidistant" and bool(first.get("rate_hz"))
+        datatype = w.channels[self.channel].datatype
+        if part.column("ts_ns").null_count:
+            raise ValueError("samples have times")
+        ts, values = part.column("ts_ns").to_numpy(), _plain(part.column(numeric_value(datatype)), datatype)
+        if not self.equidistant:
+            w.add_samples(self.channel, ts, values)
+            return
+        rates, edges = part.column("rate_hz"), _changes(part, ("seg_id",))
+        for i, j in zip(edges[:-1], edges[1:]):
+            segment = (part.column("seg_id")[i].as_py(),)
+            if segment == self.segment:
+                w.more(self.channel, values[i:j])
+            else:
+                w.add_segment(self.channel, int(ts[i]), rates[i].as_py(), values[i:j])
+            self.segment = segment
+
+
+def encode_samples(table: pa.Table, version: int = 5, integrity: str = "none", compression: str | None = None, **info: Any) -> bytes:
+    """One recording from its samples: channels by index (or name), samples in order."""
+    growing, out = Growing(version, integrity, compression, **info), io.BytesIO()
+    if table.num_rows:
+        growing.add(_ordered(table, _order(table)))
+    growing.write_to(out)
+    return out.getvalue()
 
 
 def with_rates(samples: DataFrame, blocks: DataFrame) -> DataFrame:

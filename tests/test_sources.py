@@ -1,13 +1,16 @@
 import json
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from chronospark import cli
 from chronospark.functions.types import numeric
 from chronospark.operators import verify
-from chronospark.sources import catalog, export, merging
+from chronospark.sources import catalog, export, merging, recordings
 from chronospark.sources.recordings import convert, read, register, sniff, with_rates, write
+from chronospark.sources.views import Options, rows
 from tests.recordings import START, mixed, simple, times
 
 
@@ -382,3 +385,21 @@ def test_live_recording(tmp_path):
         again = LiveRecording(str(tmp_path / "live.osfz"))
         again.add_channel("a", "double")
         again.start()
+
+
+# Tables that are larger than what a task holds
+
+
+def _batches(n, names, size=1000, **columns):
+    made = {"file": names, "channel": ["c"] * n, "datatype": ["double"] * n, "channel_index": pa.array([0] * n, pa.int32()), "ts_ns": list(range(n)), "v_double": [i / 2 for i in range(n)]} | columns
+    return pa.table(made).to_batches(max_chunksize=size)
+
+
+def test_interleaved_recordings_give_a_file_each(tmp_path):
+    """Each change of the name once began another file."""
+    sink = recordings._Files({"path": str(tmp_path)})
+    written = sink.write_batches(iter(_batches(4000, ["ab"[i % 2] for i in range(4000)])))
+    assert sorted(f for _, f in written.files) == ["a", "b"]
+    sink.finish([written])
+    got = [r for f in ("a", "b") for b in rows(f, (tmp_path / f"{f}.osf").read_bytes(), Options()) for r in b.to_pylist()]
+    assert sorted((r["ts_ns"], r["v_double"], r["file"]) for r in got) == [(i, i / 2, "ab"[i % 2]) for i in range(4000)]
