@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.recordings import encode_samples
-from ..sources.views import Options, rows
+from ..sources.recordings import decoded, encode_samples
+from ..sources.views import Options
 from .queries import S, _merged, query
 from .tables import samples, shared_dir, table, two_files
 
@@ -29,29 +28,18 @@ def _packed(df: DataFrame, **how: str) -> DataFrame:
     return _typed(df).groupBy("file").applyInArrow(pack, "file string, content binary")
 
 
-def _decoded(packed: DataFrame) -> DataFrame:
-    from ..functions.types import SAMPLES
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, data in zip(batch.column(0).to_pylist(), batch.column(1)):
-                yield from rows(name, data.as_py(), Options())
-
-    return packed.mapInArrow(run, SAMPLES)
-
-
 @query(f"{S} select channel, ts_ns, v from s")
 def frame_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event through a checked recording for its channel and day, and back."""
     days = samples(spark, sf_dir).withColumn("file", F.concat_ws("-", "channel", F.floor(F.col("ts_ns") / 86_400_000_000_000).cast("string")))
-    return _decoded(_packed(days, integrity="crc32c")).select("channel", "ts_ns", F.col("v_double").alias("v"))
+    return decoded(_packed(days, integrity="crc32c"), Options()).select("channel", "ts_ns", F.col("v_double").alias("v"))
 
 
 @query(f"{S} select channel, ts_ns, v from s")
 def frame_roundtrip_old(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same in the older version, compressed."""
     days = samples(spark, sf_dir).withColumn("file", F.concat_ws("-", "channel", F.floor(F.col("ts_ns") / 86_400_000_000_000).cast("string")))
-    return _decoded(_packed(days, version=4, compression="gzip")).select("channel", "ts_ns", F.col("v_double").alias("v"))
+    return decoded(_packed(days, version=4, compression="gzip"), Options()).select("channel", "ts_ns", F.col("v_double").alias("v"))
 
 
 def _folder(spark: SparkSession) -> str:

@@ -23,7 +23,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.functions import udtf
+from pyspark.sql.functions import arrow_udtf, udtf
 from pyspark.sql.datasource import (
     DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamArrowWriter, DataSourceStreamReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition,
     LessThan, LessThanOrEqual, WriterCommitMessage,
@@ -44,14 +44,27 @@ def read(spark: SparkSession, path: str | list[str], view: str = "samples", recu
     reader = spark.read.format("binaryFile")
     if paths is None:
         reader = reader.option("pathGlobFilter", GLOB).option("recursiveFileLookup", str(recursive).lower())
-    files = reader.load(path if paths is None else paths).select("path", "content")
+    return decoded(reader.load(path if paths is None else paths).select("path", "content"), chosen)
+
+
+#: Bytes of recordings that go to a worker at once, unless one alone is larger.
+WORKER_BYTES = "8m"
+
+
+def decoded(content: DataFrame, chosen: Options) -> DataFrame:
+    """A view of recordings: their names and bytes in two columns."""
+    content.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", WORKER_BYTES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, data in zip(batch.column(0).to_pylist(), batch.column(1)):
-                yield from rows(name, data.as_py(), chosen)
+            yield from _decode(batch, chosen)
+
+    return content.mapInArrow(run, VIEWS[chosen.view])
+
 
-    return files.mapInArrow(run, VIEWS[view])
+def _decode(batch: pa.RecordBatch, chosen: Options) -> Iterator[pa.RecordBatch]:
+    for name, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+        yield from rows(name, memoryview(data.as_buffer()).cast("B"), chosen)  # not copied
 
 
 def sniff(spark: SparkSession, path: str) -> DataFrame:
@@ -346,7 +359,10 @@ class RecordingSource(DataSource):
 
 
 class DecodeRecording:
-    """Rows of samples from a file's name and bytes, for SQL over binary files."""
+    """Rows of samples from a file's name and bytes, for SQL over binary files.
+
+    Spark takes all rows of a call at once, so this is for small files.
+    """
 
     def eval(self, file: str, content: bytes):
         for batch in rows(file, bytes(content), Options()):
@@ -354,9 +370,19 @@ class DecodeRecording:
                 yield tuple(r.values())
 
 
+class DecodeRecordings:
+    """The same from a table of names and bytes, some MB of samples at a time."""
+
+    def eval(self, files: pa.RecordBatch):
+        yield from _decode(files, Options())
+
+
 def register(spark: SparkSession) -> None:
-    """The format "recording", and the table function decode_recording(file, content)."""
+    """The format "recording", and the table functions decode_recording(file, content) and
+    decode_recordings(table(select file, content ...)), for files of any size."""
     spark.dataSource.register(RecordingSource)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", WORKER_BYTES)
+    spark.udtf.register("decode_recordings", arrow_udtf(DecodeRecordings, returnType=VIEWS["samples"]))
     spark.udtf.register("decode_recording", udtf(DecodeRecording, returnType=VIEWS["samples"]))
 
 

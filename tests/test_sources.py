@@ -403,3 +403,47 @@ def test_interleaved_recordings_give_a_file_each(tmp_path):
     sink.finish([written])
     got = [r for f in ("a", "b") for b in rows(f, (tmp_path / f"{f}.osf").read_bytes(), Options()) for r in b.to_pylist()]
     assert sorted((r["ts_ns"], r["v_double"], r["file"]) for r in got) == [(i, i / 2, "ab"[i % 2]) for i in range(4000)]
+
+
+def test_a_sink_holds_no_whole_recording(tmp_path):
+    """Rows in order go to one file, whatever their number; before, all were in memory as objects."""
+    n = 300_000
+    batches = _batches(n, ["all"] * n, 10_000)
+    sink = recordings._Files({"path": str(tmp_path)})
+    tracemalloc.start()
+    written = sink.write_batches(iter(batches))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [f for _, f in written.files] == ["all"] and peak < 20 << 20
+    sink.finish([written])
+    got = pa.Table.from_batches(rows("all", (tmp_path / "all.osf").read_bytes(), Options()))
+    assert got["ts_ns"].to_pylist() == list(range(n)) and got["v_double"].to_pylist() == [i / 2 for i in range(n)]
+
+
+@pytest.mark.parametrize("version, integrity, compression", [(5, "none", None), (5, "crc32c", "gzip"), (4, "none", None)])
+def test_a_recording_in_pieces_equals_one_at_once(tmp_path, monkeypatch, version, integrity, compression):
+    """Segments go on over the pieces, and length fields that grow late are right."""
+    n = 90
+    kind = ["double"] * 30 + ["double"] * 30 + ["string"] * 30
+    columns = {
+        "channel": ["a"] * 30 + ["b"] * 30 + ["c"] * 30, "channel_index": pa.array([0] * 30 + [1] * 30 + [2] * 30, pa.int32()), "datatype": kind, "mode": ["equidistant"] * 30 + ["timestamped"] * 60,
+        "seg_id": pa.array([0] * 20 + [1] * 10 + [None] * 60, pa.int32()), "rate_hz": pa.array([3.0] * 30 + [None] * 60), "ts_ns": [int(i * 1e9 / 3) for i in range(20)] + [10**12 + int(i * 1e9 / 3) for i in range(10)] + list(range(60)),
+        "v_double": pa.array([float(i) for i in range(60)] + [None] * 30), "v_string": [None] * 60 + ["x" * (70_000 if i == 29 else i) for i in range(30)],
+    }
+    batches = _batches(n, ["f"] * n, 7, **columns)
+    whole = recordings.encode_samples(pa.Table.from_batches(batches), version, integrity, compression)
+    monkeypatch.setattr(recordings, "GATHERED", 1)  # each batch is a piece
+    options = {"path": str(tmp_path), "version": str(version), "integrity": integrity} | ({"compression": compression} if compression else {})
+    written = recordings._Files(options).write_batches(iter(batches))
+    assert len(written.files) == 1
+    with open(written.files[0][0], "rb") as f:
+        pieces = f.read()
+    plain = lambda data: [{k: v for k, v in r.items() if k not in ("block_ord", "sample_ord")} for b in rows("f", data, Options(mode="FAILFAST")) for r in b.to_pylist()]
+    assert plain(pieces) == plain(whole) and len(plain(whole)) == n
+    assert max(r["seg_id"] or 0 for r in plain(pieces)) == 1
+
+
+def test_values_are_not_cut_to_fit(tmp_path):
+    rows_ = _batches(2, ["f"] * 2, datatype=["int8"] * 2, v_long=[1, 300])
+    with pytest.raises(OverflowError):
+        recordings._Files({"path": str(tmp_path)}).write_batches(iter(rows_))
