@@ -447,3 +447,11 @@ def test_values_are_not_cut_to_fit(tmp_path):
     rows_ = _batches(2, ["f"] * 2, datatype=["int8"] * 2, v_long=[1, 300])
     with pytest.raises(OverflowError):
         recordings._Files({"path": str(tmp_path)}).write_batches(iter(rows_))
+
+
+def test_small_blocks_share_batches():
+    """Each block, of one sample here, once was a batch of its own."""
+    from chronospark.plans.block_queries import CODES, _integers
+
+    made = list(rows("x", _integers([{"v": k, "ord": k} for k in range(100)]), Options()))
+    assert len(made) == 1 and made[0].num_rows == 100 * len(CODES)
