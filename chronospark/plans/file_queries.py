@@ -180,7 +180,7 @@ def decode_by_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     register(spark)
     name = f"f_{uuid.uuid4().hex}"
     spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(recorded(spark, sf_dir)).createOrReplaceTempView(name)
-    return spark.sql(f"select d.channel, count(*) as n from {name}, lateral decode_recording(path, content) d group by d.channel")
+    return spark.sql(f"select d.channel, count(*) as n from decode_recordings(table(select path, content from {name})) d group by d.channel")
 
 
 @query(f"{FILES} select file, channel, count(*) as n from f group by 1, 2")

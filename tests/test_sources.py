@@ -455,3 +455,14 @@ def test_small_blocks_share_batches():
 
     made = list(rows("x", _integers([{"v": k, "ord": k} for k in range(100)]), Options()))
     assert len(made) == 1 and made[0].num_rows == 100 * len(CODES)
+
+
+def test_table_function_gives_batches(spark, tmp_path):
+    """Of a recording of any size the table function holds some thousand rows."""
+    data = simple("x", list(range(100_000)), [float(i) for i in range(100_000)])
+    made = list(recordings.DecodeRecordings().eval(pa.RecordBatch.from_pydict({"path": ["f"], "content": [data]})))
+    assert sum(b.num_rows for b in made) == 100_000 and max(b.num_rows for b in made) < 40_000
+    (tmp_path / "f.osf").write_bytes(data)
+    register(spark)
+    spark.read.format("binaryFile").load(f"file://{tmp_path}").createOrReplaceTempView("whole")
+    assert spark.sql("select count(*) n, sum(v_double) s from decode_recordings(table(select path, content from whole))").first() == (100_000, 100_000 * 99_999 / 2)
