@@ -17,9 +17,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import filters, stats, timebase
+from ..operators.ordered import id_bucket, numbered
 from ..sources.checksums import crc32c
 from ..sources.live import LiveRecording
-from ..sources.views import VIEWS, Options, rows
+from ..sources.recordings import decoded
+from ..sources.views import Options, rows
 from .queries import S, query
 from .tables import samples, table
 
@@ -62,14 +64,7 @@ def packed(df: DataFrame, make: Callable[[list[dict]], bytes], order: str = "ord
 
 def view(content: DataFrame, name: str = "samples", **options: Any) -> DataFrame:
     """A view of recordings (file, content), as the reader gives it."""
-    chosen = Options.of({"view": name} | {k: str(v) for k, v in options.items()})
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for file, data in zip(batch.column(0).to_pylist(), batch.column(1)):
-                yield from rows(file, data.as_py(), chosen)
-
-    return content.mapInArrow(run, VIEWS[name])
+    return decoded(content, Options.of({"view": name} | {k: str(v) for k, v in options.items()}))
 
 
 def nations(spark: SparkSession, sf_dir: str, make: Callable[[int], bytes]) -> DataFrame:
@@ -82,6 +77,7 @@ def nations(spark: SparkSession, sf_dir: str, make: Callable[[int], bytes]) -> D
 
 
 def _segments(rows_: list[dict]) -> bytes:
+    """Blocks of rows that begin with a segment."""
     out = []
     for at in range(0, len(rows_), 10):
         own = rows_[at : at + 10]
@@ -89,14 +85,31 @@ def _segments(rows_: list[dict]) -> bytes:
         many = len(own) > 1
         body = head + (struct.pack("<I", len(own)) if many else b"") + struct.pack(f"<{len(own)}d", *[r["v"] for r in own])
         out.append(block(0, (START if at % 40 == 0 else CONTINUED) | (MANY if many else 0), body))
-    return recording([channel(0, "double")], b"".join(out))
+    return b"".join(out)
+
+
+#: Rows of a run of whole segments, which one call makes into blocks.
+RUN_ROWS = 40 * 250
+
+
+def in_runs(df: DataFrame, make: Callable[[list[dict]], bytes], begin: bytes) -> DataFrame:
+    """One recording of the rows of each ``file``, whose blocks are made run by run: no task
+    holds all rows of a recording, only its bytes."""
+    numbered_ = numbered(df, ["file"], ["ord"], id_bucket(F.col("ord")), "rn").withColumn("run", F.floor(F.col("rn") / RUN_ROWS))
+
+    def pack(t: pa.Table) -> pa.Table:
+        return pa.table({"file": t.column("file")[:1], "run": t.column("run")[:1], "blocks": pa.array([make(t.sort_by("rn").to_pylist())], pa.binary())})
+
+    made = numbered_.groupBy("file", "run").applyInArrow(pack, "file string, run long, blocks binary")
+    runs = F.array_sort(F.collect_list(F.struct("run", F.hex("blocks").alias("hex"))))
+    return made.groupBy("file").agg(F.concat(F.lit(begin), F.unhex(F.array_join(F.transform(runs, lambda r: r["hex"]), ""))).alias("content"))
 
 
 @query(f"""{S}, r as (select *, row_number() over (partition by channel order by event_id)-1 rn from s), q as (select *, rn//40 seg, rn%40 i from r), z as (select channel, seg, min(ts_ns) filter (i<10) start_ns from q group by 1,2)
 select channel, cast(seg as int) seg_id, start_ns + cast(trunc(i*1e9/3.0) as bigint) ts_ns, v from q join z using (channel, seg)""")
 def block_start_continued(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Equidistant segments: start blocks, and continued ones that go on with them."""
-    content = packed(samples(spark, sf_dir).withColumnRenamed("channel", "file"), _segments)
+    content = in_runs(samples(spark, sf_dir).withColumnRenamed("channel", "file"), _segments, recording([channel(0, "double")], b""))
     return view(content).select(F.col("file").alias("channel"), "seg_id", "ts_ns", F.col("v_double").alias("v"))
 
 
@@ -424,8 +437,6 @@ def crc32c_known(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{S}, r as (select *, row_number() over (partition by channel order by event_id)-1 i from s), z as (select channel, min(ts_ns) a from s group by 1) select channel, a + i * 1000 as ts_ns from r join z using (channel)")
 def timebase_increment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Start and place times the channel's increment, whatever segments and rates say."""
-    from ..operators.ordered import id_bucket, numbered
-
     rows_ = numbered(samples(spark, sf_dir), ["channel"], ["ord"], id_bucket(F.col("ord")), "i")
     start = timebase.time_range(samples(spark, sf_dir)).select("channel", F.col("first_ts").alias("a"))
     step: Column = F.lit(1000).cast("double")

@@ -466,3 +466,27 @@ def test_table_function_gives_batches(spark, tmp_path):
     register(spark)
     spark.read.format("binaryFile").load(f"file://{tmp_path}").createOrReplaceTempView("whole")
     assert spark.sql("select count(*) n, sum(v_double) s from decode_recordings(table(select path, content from whole))").first() == (100_000, 100_000 * 99_999 / 2)
+
+
+def test_runs_of_blocks_equal_the_whole(spark):
+    """No call gets more rows than a run has."""
+    from chronospark.plans import block_queries as q
+
+    def make(rows_):
+        assert len(rows_) <= q.RUN_ROWS
+        return q._segments(rows_)
+
+    df = spark.range(25_003).selectExpr("'f' as file", "id as ord", "id * 7 as ts_ns", "cast(id as double) as v")
+    begin = q.recording([q.channel(0, "double")], b"")
+    made = q.in_runs(df, make, begin).collect()
+    assert len(made) == 1 and bytes(made[0]["content"]) == begin + q._segments([r.asDict() for r in df.orderBy("ord").collect()])
+
+
+def test_workers_get_a_few_mb_at_once(spark):
+    from chronospark.plans.block_queries import view
+
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    content = spark.range(40, numPartitions=1).selectExpr("cast(id as string) as file", "cast(repeat('x', 1 << 20) as binary) as content")
+    view(content)
+    sizes = content.mapInArrow(lambda it: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in it), "n long").collect()
+    assert max(r["n"] for r in sizes) <= 9
